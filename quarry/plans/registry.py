@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["q_events"]
+FAMILIES = ["q_events", "q_clean"]
 
 
 def all_queries():
