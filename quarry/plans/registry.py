@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["q_events", "q_clean"]
+FAMILIES = ["q_events", "q_clean", "q_tables"]
 
 
 def all_queries():
