@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["q_events", "q_clean", "q_tables"]
+FAMILIES = ["q_events", "q_clean", "q_tables", "q_metrics"]
 
 
 def all_queries():
