@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["q_events", "q_clean", "q_tables", "q_metrics", "q_sampling", "q_text"]
+FAMILIES = ["q_events", "q_clean", "q_tables", "q_metrics", "q_sampling", "q_text", "q_neighbors"]
 
 
 def all_queries():
