@@ -58,29 +58,45 @@ def distinct_counts(df: DataFrame, cols, by: str | None = None) -> DataFrame:
     return df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def quantiles(df: DataFrame, cols, probs=(0.25, 0.5, 0.75)) -> DataFrame:
-    """Exact linearly-interpolated quantiles (pandas/numpy default) per column.
+def quantiles(df: DataFrame, cols, probs=(0.25, 0.5, 0.75), by=None) -> DataFrame:
+    """Exact linearly-interpolated quantiles (pandas/numpy default) per column
+    (and per group when ``by`` is given).
 
     The value at 1-based position 1+(n-1)·p, interpolated between the two
-    neighbouring order statistics.  Distributed: values are ranked per column
-    by a range-partitioned sort; the (column × prob × 2)-row target table is
-    broadcast (its size is fixed by the arguments) and only the rows at the
-    needed ranks survive the join.  Returns (column, p, value).
+    neighbouring order statistics.  Distributed: values are ranked per
+    (group, column) by a range-partitioned sort; the small target table
+    (groups × columns × probs × 2 rows) selects the rows at the needed ranks.
+    Returns ([by,] column, p, value).
     """
-    long = _stack(df, cols).where(F.col("value").isNotNull())
-    ranked = row_number(long, ["value"], ["column"], out="_r")
-    n = long.groupBy("column").agg(F.count(F.lit(1)).alias("_n"))
-    pos = n.select("column", F.explode(F.array(*[
+    by = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS double)" for c in cols)
+    long = df.selectExpr(*[f"`{b}`" for b in by],
+                         f"stack({len(cols)}, {pairs}) AS (column, value)").where(
+        F.col("value").isNotNull())
+    keys = by + ["column"]
+    ranked = row_number(long, ["value"], keys, out="_r")
+    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    pos = n.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(float(p)).alias("p"), ((F.col("_n") - 1) * F.lit(float(p)) + 1).alias("pos"))
-        for p in probs])).alias("t")).select("column", "t.p", "t.pos")
+        for p in probs])).alias("t")).select(*keys, "t.p", "t.pos")
     lo = F.floor("pos").cast("long")
     fr = F.col("pos") - lo
-    picks = pos.select("column", "p", F.explode(F.array(
+    picks = pos.select(*keys, "p", F.explode(F.array(
         F.struct(lo.alias("_r"), (F.lit(1.0) - fr).alias("w")),
         F.struct((lo + 1).alias("_r"), fr.alias("w")))).alias("t")).select(
-        "column", "p", "t._r", "t.w").where(F.col("w") > 0)
-    return (ranked.join(F.broadcast(picks), ["column", "_r"])
-            .groupBy("column", "p").agg(F.sum(F.col("value") * F.col("w")).alias("value")))
+        *keys, "p", "t._r", "t.w").where(F.col("w") > 0)
+    if not by:  # size fixed by the arguments: columns × probs × 2
+        picks = F.broadcast(picks)
+    return (ranked.join(picks, keys + ["_r"])
+            .groupBy(*keys, "p").agg(F.sum(F.col("value") * F.col("w")).alias("value")))
+
+
+def five_numbers(df: DataFrame, cols, by) -> DataFrame:
+    """min, q1, median, q3, max per group and column — what a box plot draws."""
+    q = quantiles(df, cols, (0.0, 0.25, 0.5, 0.75, 1.0), by=by)
+    by = [by] if isinstance(by, str) else list(by)
+    return (q.groupBy(*by, "column").pivot("p", [0.0, 0.25, 0.5, 0.75, 1.0]).agg(F.first("value"))
+            .toDF(*by, "column", "min", "q1", "median", "q3", "max"))
 
 
 def describe(df: DataFrame, cols) -> DataFrame:
