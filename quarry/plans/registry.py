@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["q_events", "q_clean", "q_tables", "q_metrics", "q_sampling", "q_text", "q_neighbors", "q_models", "q_topics"]
+FAMILIES = ["q_events", "q_clean", "q_tables", "q_metrics", "q_sampling", "q_text", "q_neighbors", "q_models", "q_topics", "q_sources"]
 
 
 def all_queries():
