@@ -30,31 +30,35 @@ _PID = "_q_pid"
 
 
 def _local_pass(partition_cols, sum_cols, out_cols):
-    """mapInPandas body: per contiguous group run, running count and sums."""
+    """mapInPandas body: per contiguous group run, running count and sums.
+    Vectorised per Arrow batch; the running state of the last run is carried
+    into the next batch of the same partition."""
 
     def fn(batches):
         from pyspark import TaskContext
 
         pid = TaskContext.get().partitionId()
-        last_key = None
-        carry = None  # running values of the current (last) group run
+        last_key = None      # key tuple of the last row seen in this partition
+        carry = None         # running values of that row's run
         for pdf in batches:
             n = len(pdf)
             if n == 0:
                 continue
             if partition_cols:
-                keys = list(pdf[partition_cols].itertuples(index=False, name=None))
+                kdf = pdf[partition_cols]
+                prev = kdf.shift()
+                # per column, null == null counts as equal
+                diff = (kdf != prev) & ~(kdf.isna() & prev.isna())
+                change = diff.any(axis=1).to_numpy()
+                first_key = tuple(kdf.iloc[0].tolist())
+                change[0] = (last_key is None) or (first_key != last_key)
+                last_key = tuple(kdf.iloc[-1].tolist())
             else:
-                keys = [()] * n
-            # run boundaries: key differs from the previous row
-            starts = np.zeros(n, dtype=bool)
-            prev = last_key
-            for i, k in enumerate(keys):
-                if k != prev:
-                    starts[i] = True
-                prev = k
-            run = np.cumsum(starts)
-            cont = (not starts[0])  # first run continues the previous batch
+                change = np.zeros(n, dtype=bool)
+                change[0] = last_key is None
+                last_key = ()
+            run = np.cumsum(change)
+            cont = not change[0]          # first run continues the previous batch
             vals = {"_q_one": np.ones(n, dtype=np.int64)}
             for c in sum_cols:
                 vals[c] = pdf[c].fillna(0).to_numpy()
@@ -63,11 +67,10 @@ def _local_pass(partition_cols, sum_cols, out_cols):
                 cs = pd.Series(v).groupby(run).cumsum().to_numpy()
                 if cont and carry is not None:
                     first = run == run[0]
-                    cs = cs.astype(np.result_type(cs.dtype, type(carry[name])))
+                    cs = cs.astype(np.result_type(cs.dtype, np.asarray(carry[name]).dtype))
                     cs[first] = cs[first] + carry[name]
                 res[name] = cs
             carry = {name: res[name][-1] for name in res}
-            last_key = keys[-1]
             out = pdf.copy()
             out[_PID] = np.int32(pid)
             out["_q_lpos"] = res["_q_one"]
@@ -115,7 +118,7 @@ def prefix_sums(df: DataFrame, order_cols, sum_cols=(), partition_cols=(),
         runs = (runs.withColumn("_q_k", gkey)
                 .withColumn("_q_lo", F.min("_q_k").over(wp))
                 .withColumn("_q_hi", F.max("_q_k").over(wp))
-                .where((F.col("_q_k") == F.col("_q_lo")) | (F.col("_q_k") == F.col("_q_hi")))
+                .where(F.col("_q_k").eqNullSafe(F.col("_q_lo")) | F.col("_q_k").eqNullSafe(F.col("_q_hi")))
                 .drop("_q_k", "_q_lo", "_q_hi"))
     # offsets: totals of the same group in earlier partitions (tiny table)
     wo = (Window.partitionBy(*partition_cols).orderBy(_PID)
@@ -124,8 +127,12 @@ def prefix_sums(df: DataFrame, order_cols, sum_cols=(), partition_cols=(),
                        F.coalesce(F.sum("_q_n").over(wo), F.lit(0)).alias("_q_on"),
                        *[F.coalesce(F.sum(f"_q_t{i}").over(wo), F.lit(0)).alias(f"_q_o{i}")
                          for i in range(len(sum_cols))])
-    joined = local.join(F.broadcast(offs), [_PID, *partition_cols], "left")
-    sel = [F.col(c) for c in df.columns]
+    # null-safe equality: a null group key is a group like any other
+    o = offs.select(*[F.col(c).alias(f"_q_k_{c}") for c in [_PID, *partition_cols]],
+                    "_q_on", *[f"_q_o{i}" for i in range(len(sum_cols))])
+    cond = [local[c].eqNullSafe(o[f"_q_k_{c}"]) for c in [_PID, *partition_cols]]
+    joined = local.join(F.broadcast(o), cond, "left")
+    sel = [local[c] for c in df.columns]
     if rank_col:
         sel.append((F.col("_q_lpos") + F.coalesce(F.col("_q_on"), F.lit(0))).cast("long")
                    .alias(rank_col))
