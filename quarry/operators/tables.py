@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 
 def exclude_values(df: DataFrame, col: str, values) -> DataFrame:
-    """Rows whose ``col`` is not in ``values`` (C5).  The list is a literal of
-    known size, so broadcasting it is bounded; null keys are kept, as
-    ``~isin`` keeps them."""
-    spark = df.sparkSession
-    vals = spark.createDataFrame([(v,) for v in sorted(set(values))], [col])
-    return df.join(F.broadcast(vals), col, "left_anti")
+    """Rows whose ``col`` is not in ``values`` (C5).  The literal list is a
+    hash-set membership test (``INSET``) evaluated in the scan stage; null
+    keys are kept, as ``~isin`` keeps them in the reference."""
+    vals = sorted(set(values))
+    return df.where(F.col(col).isNull() | ~F.col(col).isin(vals))
 
 
 def arg_extreme(df: DataFrame, by, target: str, value: str, tie: str | None = None,

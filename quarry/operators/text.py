@@ -44,13 +44,14 @@ def letter_tokens(c: Column) -> Column:
 
 
 def drop_words(tokens: Column, stop=STOP_WORDS, min_len: int = 0) -> Column:
-    """Filter an array of tokens, keeping order and duplicates."""
-    stop_arr = F.array(*[F.lit(w) for w in sorted(set(stop))]) if stop else None
+    """Filter an array of tokens, keeping order and duplicates (C6).  The
+    stop list becomes a hash-set membership test (``INSET``), not a scan."""
+    stop = sorted(set(stop)) if stop else []
 
     def keep(x):
         cond = F.length(x) > min_len
-        if stop_arr is not None:
-            cond = cond & ~F.array_contains(stop_arr, x)
+        if stop:
+            cond = cond & ~x.isin(stop)
         return cond
     return F.filter(tokens, keep)
 
@@ -103,9 +104,8 @@ def top_words(df: DataFrame, col: str, n: int = 200, stop=STOP_WORDS, ignore=())
     (E13, C5).  Ties are broken by word so the cut is deterministic."""
     words = df.select(F.explode(whitespace_tokens(F.col(col))).alias("word"))
     excluded = sorted(set(stop) | {str(w) for w in ignore})
-    if excluded:
-        bad = df.sparkSession.createDataFrame([(w,) for w in excluded], "word string")
-        words = words.join(F.broadcast(bad), "word", "left_anti")  # list of known size
+    if excluded:   # literal list of known size: hash-set test, no join
+        words = words.where(~F.col("word").isin(excluded))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     return counts.orderBy(F.desc("count"), "word").limit(n)
 
