@@ -85,7 +85,7 @@ def silhouette_points(df: DataFrame, id_col: str, vec: str, cluster: str,
     sums = q.groupBy("qblk", "bblk").cogroup(r.groupBy("qblk", "bblk")).applyInPandas(
         _silhouette_kernel, "qid long, qc long, bc long, s double, n long")
     per = sums.groupBy("qid", "qc", "bc").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    mean = F.col("s") / F.col("n")
+    mean = F.try_divide(F.col("s"), F.col("n"))
     pt = per.groupBy("qid", "qc").agg(
         F.max(F.when(F.col("bc") == F.col("qc"), mean)).alias("a"),
         F.max(F.when(F.col("bc") == F.col("qc"), F.col("n"))).alias("n_own"),
