@@ -126,3 +126,15 @@ def group_size(df: DataFrame, key: str, out: str = "group_size") -> DataFrame:
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias(out))
     return df.join(sizes, key, "left")
+
+
+def drop_null_rows(df: DataFrame, subset) -> DataFrame:
+    """Rows with a value in every ``subset`` column."""
+    return df.dropna(subset=list(subset))
+
+
+def split_xy(df: DataFrame, label: str | None = None):
+    """Feature columns and label column; by default the label is the last
+    column, as positional slicing does in the reference (B21)."""
+    label = label or df.columns[-1]
+    return [c for c in df.columns if c != label], label

@@ -340,3 +340,27 @@ def permutation_importance(df: DataFrame, id_col: str, features, label: str, sco
         perm = by_id.join(donor, "_r").withColumn(f, F.col("_perm")).drop("_r", "_perm")
         rows.append((f, float(base), float(base - acc(score_fn(perm)))))
     return df.sparkSession.createDataFrame(rows, "feature string, base_accuracy double, importance double")
+
+
+# -------------------------------------------------------------------- K14
+def text_classifier(docs: DataFrame, tokens: str, label: str, num_features: int = 1 << 18,
+                    max_iter: int = 100):
+    """Token arrays → hashed term frequencies → IDF → logistic regression, one
+    MLlib pipeline fitted on the labelled rows (K14: the scoring side of the
+    reference's fine-tuned text classifier, re-aimed)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF
+    pipe = Pipeline(stages=[HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=num_features),
+                            IDF(inputCol="_tf", outputCol="_tfidf"),
+                            LogisticRegression(featuresCol="_tfidf", labelCol=label, maxIter=max_iter)])
+    return pipe.fit(docs.where(F.col(label).isNotNull())
+                    .withColumn(label, F.col(label).cast("double")))
+
+
+def score_texts(model, docs: DataFrame, id_col: str) -> DataFrame:
+    """Batch scoring: (id, probability of class 1, prediction)."""
+    from pyspark.ml.functions import vector_to_array
+    return model.transform(docs).select(
+        id_col, vector_to_array("probability").getItem(1).alias("probability"),
+        F.col("prediction").cast("int").alias("prediction"))

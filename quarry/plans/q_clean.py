@@ -327,3 +327,12 @@ def e14_min_max_median(spark, sf):
 Q["e14_min_max_median"] = e14_min_max_median
 SQL["e14_min_max_median"] = cte("fx_num") + """
 SELECT ROUND(MIN(x1), 6) AS min, ROUND(MEDIAN(x1), 6) AS median, ROUND(MAX(x1), 6) AS max FROM fx_num"""
+
+
+def c7_dropna(spark, sf):
+    return clean.drop_null_rows(_pax(spark, sf), ["age", "cabin"]).select("row_id", "age", "cabin")
+
+
+Q["c7_dropna"] = c7_dropna
+SQL["c7_dropna"] = cte("fx_pax") + \
+    "SELECT row_id, age, cabin FROM fx_pax WHERE age IS NOT NULL AND cabin IS NOT NULL"
