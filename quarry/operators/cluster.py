@@ -77,7 +77,7 @@ def _silhouette_kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
 def silhouette_points(df: DataFrame, id_col: str, vec: str, cluster: str,
                       block_rows: int = 2048) -> DataFrame:
     """Per-point silhouette (id, cluster, s); a point alone in its cluster scores 0."""
-    b = n_blocks(df.count(), block_rows)
+    b = n_blocks(df.count(), block_rows, 2 * df.sparkSession.sparkContext.defaultParallelism)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"),
                      F.col(cluster).cast("long").alias("c"))
     q = replicate(base.toDF("qid", "qv", "qc"), "qid", "qblk", "bblk", b)

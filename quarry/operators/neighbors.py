@@ -62,7 +62,7 @@ def knn(queries: DataFrame, base: DataFrame | None, k: int, id_col: str, vec: st
     base = queries if same else base
     exclude_self = same if exclude_self is None else exclude_self
     n = max(queries.count(), base.count())
-    b = n_blocks(n, block_rows)
+    b = n_blocks(n, block_rows, 2 * queries.sparkSession.sparkContext.defaultParallelism)
     q = replicate(queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec).alias("qv")),
                   "qid", "qblk", "bblk", b)
     r = replicate(base.select(F.col(id_col).cast("long").alias("bid"), F.col(vec).alias("bv")),

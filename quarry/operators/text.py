@@ -32,6 +32,18 @@ won won't wouldn wouldn't
 LETTERS = r"\p{L}+"
 
 
+def explode_tokens(df: DataFrame, tokens, *keep, alias: str = "term", pos: str | None = None) -> DataFrame:
+    """One row per array element.  ``explode_outer`` + a null filter instead
+    of ``explode``: a plain explode makes Catalyst infer ``size(array) > 0``
+    below the projection, which would evaluate the whole tokeniser twice."""
+    col = F.col(tokens) if isinstance(tokens, str) else tokens
+    if pos:
+        out = df.select(*keep, F.posexplode_outer(col).alias(pos, alias))
+    else:
+        out = df.select(*keep, F.explode_outer(col).alias(alias))
+    return out.where(F.col(alias).isNotNull())
+
+
 def whitespace_tokens(c: Column, lower: bool = True) -> Column:
     """``text.split()`` (optionally lower-cased) with empty edge pieces removed."""
     s = F.lower(c) if lower else c
@@ -76,8 +88,12 @@ def preprocess(df: DataFrame, col: str, out: str = "tokens", stop=STOP_WORDS,
 
 
 def term_counts(df: DataFrame, doc: str, tokens: str) -> DataFrame:
-    """Bag of words in long form (doc, term, tf)."""
-    return (df.select(doc, F.explode(tokens).alias("term"))
+    """Bag of words in long form (doc, term, tf).
+
+    Token arrays are hash-partitioned by document *before* exploding: one
+    shuffle of compact arrays, after which the per-(doc, term) count and any
+    later per-document window need no further exchange."""
+    return (explode_tokens(df.select(doc, tokens).repartition(doc), tokens, doc)
             .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -102,7 +118,7 @@ def tfidf(counts: DataFrame, doc: str, n_docs: int | None = None) -> DataFrame:
 def top_words(df: DataFrame, col: str, n: int = 200, stop=STOP_WORDS, ignore=()) -> DataFrame:
     """Most common lower-cased whitespace words not in ``stop`` / ``ignore``
     (E13, C5).  Ties are broken by word so the cut is deterministic."""
-    words = df.select(F.explode(whitespace_tokens(F.col(col))).alias("word"))
+    words = explode_tokens(df, whitespace_tokens(F.col(col)), alias="word")
     excluded = sorted(set(stop) | {str(w) for w in ignore})
     if excluded:   # literal list of known size: hash-set test, no join
         words = words.where(~F.col("word").isin(excluded))
@@ -112,7 +128,7 @@ def top_words(df: DataFrame, col: str, n: int = 200, stop=STOP_WORDS, ignore=())
 
 def vocabulary(df: DataFrame, tokens: str, reserved=("[PAD]", "[UNK]", "[CLS]", "[SEP]")) -> DataFrame:
     """(term, id): reserved symbols first (pad = 0), then terms in order."""
-    terms = df.select(F.explode(tokens).alias("term")).distinct()
+    terms = explode_tokens(df, tokens).distinct()
     r = row_number(terms, ["term"], out="_rn")
     voc = r.select("term", (F.col("_rn") - 1 + len(reserved)).alias("id"))
     res = df.sparkSession.createDataFrame([(t, i) for i, t in enumerate(reserved)], voc.schema)
@@ -126,7 +142,7 @@ def encode_pad(df: DataFrame, doc: str, tokens: str, vocab: DataFrame, max_len:
     a join on (term) over exploded positions, then re-assembled per document
     in position order."""
     # truncation to max_len is the feature: later positions never get an id
-    ex = df.select(doc, F.posexplode(tokens).alias("pos", "term")).where(F.col("pos") < max_len - 2)
+    ex = explode_tokens(df, tokens, doc, pos="pos").where(F.col("pos") < max_len - 2)
     ids = ex.join(vocab, "term", "left").select(doc, "pos", F.coalesce("id", F.lit(1)).alias("id"))
     per = ids.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
     body = F.slice(F.transform(F.col("_p"), lambda s: s["id"]), 1, max_len - 2)
@@ -144,7 +160,7 @@ def lexicon_sentiment(df: DataFrame, doc: str, tokens: str, lexicon: DataFrame)
     """Average polarity and subjectivity of the lexicon words found in each
     document; 0.0 when none is found (K15).  ``lexicon`` has columns
     (word, polarity, subjectivity)."""
-    ex = df.select(doc, F.explode(tokens).alias("word"))
+    ex = explode_tokens(df, tokens, doc, alias="word")
     hits = ex.join(lexicon, "word").groupBy(doc).agg(
         F.avg("polarity").alias("polarity"), F.avg("subjectivity").alias("subjectivity"))
     return df.select(doc).join(hits, doc, "left").select(

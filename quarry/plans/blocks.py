@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import hash_int
 
 
-def n_blocks(n_rows: int, block_rows: int = 2048) -> int:
-    return max(1, math.ceil(n_rows / block_rows))
+def n_blocks(n_rows: int, block_rows: int = 2048, min_tasks: int = 1) -> int:
+    """Blocks per side: enough that a block holds at most ``block_rows``
+    rows, and enough that the B² block pairs give at least ``min_tasks``
+    tasks (but never more blocks than rows)."""
+    b = max(1, math.ceil(n_rows / block_rows), math.ceil(math.sqrt(min_tasks)))
+    return max(1, min(b, n_rows))
 
 
 def replicate(df: DataFrame, id_col: str, own: str, other: str, b: int) -> DataFrame:

@@ -140,7 +140,7 @@ SELECT vec_id, CAST(cluster AS BIGINT) AS cluster FROM d WHERE rk = 1"""
 
 
 def l14_silhouette(spark, sf):
-    s = CL.silhouette(_vec(spark, sf), "vec_id", "embedding", "label", block_rows=128)
+    s = CL.silhouette(_vec(spark, sf), "vec_id", "embedding", "label")
     return s.select(F.round("silhouette", 6).alias("silhouette"))
 
 

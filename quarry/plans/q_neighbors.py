@@ -31,7 +31,7 @@ SELECT src, dst, dist, rank FROM (
 
 
 def d8_knn_graph(spark, sf):
-    g = N.knn(_vec(spark, sf), None, 5, "vec_id", "embedding", block_rows=128)
+    g = N.knn(_vec(spark, sf), None, 5, "vec_id", "embedding")
     return g.select("src", "dst", F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -42,8 +42,7 @@ SELECT src, dst, ROUND(dist, 6) AS dist, CAST(rank AS BIGINT) AS rank FROM g"""
 
 def d7_nearest(spark, sf):
     v = _vec(spark, sf)
-    g = N.knn(v.where("minority = 1"), v.where("minority = 0"), 1, "vec_id", "embedding",
-              block_rows=128)
+    g = N.knn(v.where("minority = 1"), v.where("minority = 0"), 1, "vec_id", "embedding")
     return g.select("src", "dst", F.round("dist", 6).alias("dist"))
 
 
@@ -69,7 +68,7 @@ FROM g JOIN v a ON a.vec_id = g.src JOIN v b ON b.vec_id = g.dst"""
 
 def g11_distances(spark, sf):
     v = _vec(spark, sf)
-    g = N.knn(v, None, 5, "vec_id", "embedding", block_rows=128)
+    g = N.knn(v, None, 5, "vec_id", "embedding")
     a = v.select(F.col("vec_id").alias("src"), F.col("embedding").cast("array<double>").alias("a"))
     b = v.select(F.col("vec_id").alias("dst"), F.col("embedding").cast("array<double>").alias("b"))
     p = g.select("src", "dst").join(a, "src").join(b, "dst")
@@ -89,7 +88,7 @@ FROM g JOIN v a ON a.vec_id = g.src JOIN v b ON b.vec_id = g.dst"""
 def _agg_q(how):
     def q(spark, sf):
         v = _vec(spark, sf)
-        g = N.knn(v, None, 5, "vec_id", "embedding", block_rows=128)
+        g = N.knn(v, None, 5, "vec_id", "embedding")
         a = N.aggregate_neighbors(v, g, "vec_id", "embedding", how)
         return a.select("vec_id", F.transform("agg", lambda x: F.round(x, 6)).alias("agg"))
     return q
@@ -119,7 +118,7 @@ for _how in ["mean", "sum", "gcn"]:
 
 def k18_drop_edges(spark, sf):
     v = _vec(spark, sf)
-    g = N.knn(v, None, 5, "vec_id", "embedding", block_rows=128)
+    g = N.knn(v, None, 5, "vec_id", "embedding")
     return N.drop_edges(g, 0.2)
 
 
