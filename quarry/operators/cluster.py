@@ -95,8 +95,22 @@ def silhouette_points(df: DataFrame, id_col: str, vec: str, cluster: str,
     return pt.select(F.col("qid").alias(id_col), F.col("qc").alias(cluster), s.alias("silhouette"))
 
 
-def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str, block_rows: int = 2048) -> DataFrame:
-    """Mean silhouette over all points (L14, exact Euclidean)."""
+def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str, block_rows: int = 2048,
+               fast: bool = False) -> DataFrame:
+    """Mean silhouette over all points.
+
+    Default: exact Euclidean silhouette (all pairs, blocked).  ``fast=True``
+    uses MLlib's ``ClusteringEvaluator``, which is linear in n because it
+    works from per-cluster summaries — but with **squared** Euclidean
+    distance, so its value differs; use it when O(n²) is out of reach."""
+    if fast:
+        from pyspark.ml.evaluation import ClusteringEvaluator
+        from pyspark.ml.functions import array_to_vector
+        data = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("_f"),
+                         F.col(cluster).cast("double").alias("_c"))
+        v = ClusteringEvaluator(featuresCol="_f", predictionCol="_c",
+                                distanceMeasure="squaredEuclidean").evaluate(data)
+        return df.sparkSession.createDataFrame([(float(v),)], "silhouette double")
     return silhouette_points(df, id_col, vec, cluster, block_rows).agg(
         F.avg("silhouette").alias("silhouette"))
 

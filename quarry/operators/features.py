@@ -64,13 +64,18 @@ def preprocess(df: DataFrame, fit_on: DataFrame | None = None,
     return out.drop(*drop)
 
 
-def pca_curve(df: DataFrame, vec: str, k: int = 10):
-    """Fit PCA **once** with k components on (already standardised) vectors
-    and return (model, DataFrame of component, explained, cumulative) (J7).
-    Component signs are fixed so the largest-magnitude loading is positive."""
-    from pyspark.ml.feature import PCA
+def pca_curve(df: DataFrame, vec: str, k: int = 10, standardize_first: bool = False):
+    """Fit PCA **once** with k components and return (model, DataFrame of
+    component, explained, cumulative) (J7) — one fit gives the whole
+    cumulative curve for k = 1..10.  With ``standardize_first`` each
+    dimension is scaled to unit variance (MLlib scaler; the explained-variance
+    *ratios* do not depend on sample vs population deviation)."""
+    from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector
     data = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("_f"))
+    if standardize_first:
+        data = StandardScaler(inputCol="_f", outputCol="_s", withMean=True, withStd=True) \
+            .fit(data).transform(data).select(F.col("_s").alias("_f"))
     model = PCA(k=k, inputCol="_f", outputCol="_p").fit(data)
     ev = [float(x) for x in model.explainedVariance.toArray()]
     rows, acc = [], 0.0
@@ -81,6 +86,22 @@ def pca_curve(df: DataFrame, vec: str, k: int = 10):
     return model, curve
 
 
+def pca_components(model, names=None, spark=None):
+    """Loadings of a fitted PCA as (component, feature, loading), each
+    component's sign fixed so its largest-magnitude loading is positive (J7)."""
+    import numpy as np
+    pc = model.pc.toArray()                      # d × k model state
+    rows = []
+    for j in range(pc.shape[1]):
+        col = pc[:, j]
+        sign = 1.0 if col[int(np.argmax(np.abs(col)))] >= 0 else -1.0
+        for i, v in enumerate(col):
+            rows.append((j + 1, names[i] if names else str(i), float(sign * v)))
+    from pyspark.sql import SparkSession
+    spark = spark or SparkSession.getActiveSession()
+    return spark.createDataFrame(rows, "component int, feature string, loading double")
+
+
 def rfe(df: DataFrame, features, label: str, n_keep: int, step: int = 1, num_trees: int = 100,
         seed: int = 42):
     """Recursive feature elimination with a random forest: refit, drop the

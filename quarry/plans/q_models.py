@@ -212,10 +212,26 @@ SQL["j7_covariance"] = _std_sql() + "\n" + " UNION ALL ".join(
 # ------------------------------------------------- fitted models (rows-only)
 def j7_pca_curve(spark, sf):
     v = _vec(spark, sf)
-    _, curve = FE.pca_curve(v, "embedding", 10)
+    _, curve = FE.pca_curve(v, "embedding", 10, standardize_first=True)
     return curve
 
 
+def j7_pca_components(spark, sf):
+    s = FE.standardize(_num(spark, sf), X)
+    model, _ = FE.pca_curve(s.select(F.array(*X).alias("v")), "v", 2)
+    return FE.pca_components(model, X, spark)
+
+
+Q["j7_pca_components"] = j7_pca_components
+
+
+def l14_silhouette_fast(spark, sf):
+    return CL.silhouette(_vec(spark, sf), "vec_id", "embedding", "label", fast=True)
+
+
+Q["l14_silhouette_fast"] = l14_silhouette_fast
+
+
 Q["j7_pca_curve"] = j7_pca_curve
 
 
