@@ -6,7 +6,7 @@ a partial aggregate, which also neutralises a hot cluster.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,18 +56,17 @@ def itt_tot(df: DataFrame, arm: str = "arm", took_up: str = "took_up",
     TOT = ITT / (difference in take-up rates), the Wald estimator (E6).
 
     Pass another arm as ``control`` for arm-vs-arm contrasts (e.g. T2 vs T1).
-    The comparison values are spread over the per-arm table (a handful of
-    rows) with a window, not a join.
+    The reference arm's rates come back as one aggregate row and are applied
+    as literals (no join, no unpartitioned window).
     """
     per = df.groupBy(arm).agg(F.avg(outcome).alias("outcome_rate"),
                               F.avg(took_up).alias("take_up"),
                               F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()
-    is_c = F.col(arm) == F.lit(control)
-    per = (per.withColumn("ref_outcome", F.max(F.when(is_c, F.col("outcome_rate"))).over(w))
-           .withColumn("ref_take_up", F.max(F.when(is_c, F.col("take_up"))).over(w)))
-    itt = F.col("outcome_rate") - F.col("ref_outcome")
-    return per.where(~is_c).select(
+    # the reference arm's two rates: one small aggregate row, used as literals
+    ref = df.where(F.col(arm) == F.lit(control)).agg(
+        F.avg(outcome).alias("o"), F.avg(took_up).alias("t")).first()
+    itt = F.col("outcome_rate") - F.lit(ref["o"])
+    return per.where(F.col(arm) != F.lit(control)).select(
         arm, F.lit(control).alias("reference_arm"), "n", "outcome_rate", "take_up",
         itt.alias("itt"),
-        F.try_divide(itt, F.col("take_up") - F.col("ref_take_up")).alias("tot"))
+        F.try_divide(itt, F.col("take_up") - F.lit(ref["t"])).alias("tot"))

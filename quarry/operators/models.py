@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,11 +22,12 @@ def mean_ensemble(df: DataFrame, probs, out: str = "ensemble") -> DataFrame:
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight, ratio_to_first): normalised inverse frequency and the
-    count ratio to the smallest label (E16).  The window runs over the
-    per-class table (one row per class), not over the data."""
+    count ratio to the smallest label (E16).  Per-class counts are one small
+    aggregate; the two normalisers (Σ 1/n and the first label's n) come back
+    as one row and are applied as literals."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy()
+    tot = c.agg(F.sum(F.lit(1.0) / F.col("n")).alias("inv"),
+                F.min_by(F.col("n"), F.col(label)).alias("first")).first()
     inv = F.lit(1.0) / F.col("n")
-    first = F.min_by(F.col("n"), F.col(label)).over(w)
-    return c.select(label, "n", (inv / F.sum(inv).over(w)).alias("weight"),
-                    (F.col("n") / first).alias("ratio_to_first"))
+    return c.select(label, "n", (inv / F.lit(tot["inv"])).alias("weight"),
+                    (F.col("n") / F.lit(float(tot["first"]))).alias("ratio_to_first"))
