@@ -297,3 +297,18 @@ def test_event_summary_stream_equals_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.sql("SELECT * FROM ev_stream_test").collect())
     want = sorted(tuple(r) for r in events.event_summary(log).collect())
     assert got == want
+
+
+def test_lsi_matches_numpy_svd(spark):
+    rng = np.random.default_rng(11)
+    A = (rng.random((30, 12)) < 0.3) * rng.random((30, 12))
+    A[:, 0] += 2.0 * (np.arange(30) % 2)           # two clear directions
+    A[:, 1] += 1.5 * (np.arange(30) % 3 == 0)
+    rows = [(d, f"t{t:02d}", float(A[d, t])) for d in range(30) for t in range(12) if A[d, t] > 0]
+    long = spark.createDataFrame(rows, "doc long, term string, tfidf double")
+    sv, top = topics.lsi(long, "doc", 2, n_terms=3)
+    want = np.linalg.svd(A, compute_uv=False)[:2]
+    assert np.allclose(sv, want, rtol=1e-6)
+    _, _, vt = np.linalg.svd(A)
+    lead = f"t{int(np.argmax(np.abs(vt[0]))):02d}"
+    assert top.where("topic = 0 AND rank = 1").first()["term"] == lead
