@@ -46,6 +46,11 @@ FROM customer""",
     "fx_rev": """
 SELECT d.doc_id, d.text AS content, d.source AS business_id, 1 + d.doc_id % 5 AS score, l.quality AS quality
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    # reviews without the label join, for text queries that never read the
+    # label (labels.doc_id is unique, so rows are the same as fx_rev's)
+    "fx_docs": """
+SELECT d.doc_id, d.text AS content, d.source AS business_id, 1 + d.doc_id % 5 AS score
+FROM documents d""",
     # passenger-like rows with nulls, composite strings, groups of 3 and 1
     "fx_pax": """
 SELECT c_custkey AS row_id,

@@ -211,7 +211,7 @@ SELECT or_suite, day, ROUND(SUM({_SCHED_HR}), 6) AS sum_booked_hr FROM fx_sched
 
 
 def f3_argmin(spark, sf):
-    r = fixture(spark, sf, "fx_rev")
+    r = fixture(spark, sf, "fx_docs")
     lo = tb.arg_extreme(r, "business_id", "doc_id", "score", out="min_doc")
     hi = tb.arg_extreme(r, "business_id", "doc_id", "score", largest=True, out="max_doc")
     return lo.select("business_id", "min_doc", F.col("score").alias("min_score")).join(
@@ -219,10 +219,10 @@ def f3_argmin(spark, sf):
 
 
 Q["f3_argmin"] = f3_argmin
-SQL["f3_argmin"] = cte("fx_rev") + """
+SQL["f3_argmin"] = cte("fx_docs") + """
 SELECT business_id, arg_min(doc_id, (score, doc_id)) AS min_doc, MIN(score) AS min_score,
        arg_max(doc_id, (score, -doc_id)) AS max_doc, MAX(score) AS max_score
-FROM fx_rev GROUP BY business_id"""
+FROM fx_docs GROUP BY business_id"""
 
 
 def f5_f6_top_n(spark, sf):

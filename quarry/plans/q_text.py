@@ -20,7 +20,7 @@ LEXICON = [("good", 0.7, 0.6), ("great", 0.8, 0.75), ("bad", -0.7, 0.67), ("poor
 
 
 def _rev(spark, sf):
-    return fixture(spark, sf, "fx_rev")
+    return fixture(spark, sf, "fx_docs")
 
 
 def _clean(spark, sf):
@@ -35,8 +35,8 @@ def g5_tokens(spark, sf):
 
 
 Q["g5_tokens"] = g5_tokens
-SQL["g5_tokens"] = cte("fx_rev") + """,
-t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> '') AS w FROM fx_rev)
+SQL["g5_tokens"] = cte("fx_docs") + """,
+t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> '') AS w FROM fx_docs)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, w[1] AS first_word, w[-1] AS last_word FROM t"""
 
 
@@ -46,12 +46,12 @@ def g6_preprocess(spark, sf):
 
 
 Q["g6_preprocess"] = g6_preprocess
-SQL["g6_preprocess"] = cte("fx_rev") + f"""
+SQL["g6_preprocess"] = cte("fx_docs") + f"""
 SELECT doc_id, array_to_string({_CLEAN}, ' ') AS content_clean, CAST(len({_CLEAN}) AS BIGINT) AS n_tokens
-FROM fx_rev"""
+FROM fx_docs"""
 
-_LONG = cte("fx_rev") + f""",
-tok AS (SELECT doc_id, unnest({_CLEAN}) AS term FROM fx_rev),
+_LONG = cte("fx_docs") + f""",
+tok AS (SELECT doc_id, unnest({_CLEAN}) AS term FROM fx_docs),
 tc AS (SELECT doc_id, term, COUNT(*) AS tf FROM tok GROUP BY doc_id, term)"""
 
 
@@ -85,7 +85,7 @@ def j5_tfidf(spark, sf):
 
 Q["j5_tfidf"] = j5_tfidf
 SQL["j5_tfidf"] = _LONG + """,
-n AS (SELECT COUNT(*) AS n FROM fx_rev),
+n AS (SELECT COUNT(*) AS n FROM fx_docs),
 d AS (SELECT term, COUNT(*) AS df FROM tc GROUP BY term),
 w AS (SELECT tc.doc_id, tc.term, tc.tf * LOG2(n.n / d.df) AS w FROM tc JOIN d USING (term), n),
 w2 AS (SELECT * FROM w WHERE ABS(w) > 1e-12)
@@ -99,8 +99,8 @@ def e13_top_words(spark, sf):
 
 Q["e13_top_words"] = e13_top_words
 _IGN = "[" + ", ".join(f"'{w}'" for w in IGNORE) + "]"
-SQL["e13_top_words"] = cte("fx_rev") + f""",
-w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> '')) AS word FROM fx_rev)
+SQL["e13_top_words"] = cte("fx_docs") + f""",
+w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> '')) AS word FROM fx_docs)
 SELECT word, CAST(COUNT(*) AS BIGINT) AS count FROM w
 WHERE NOT list_contains({_STOP}, word) AND NOT list_contains({_IGN}, word)
 GROUP BY word ORDER BY count DESC, word LIMIT 200"""
@@ -114,8 +114,8 @@ def g8_encode_pad(spark, sf):
 
 
 Q["g8_encode_pad"] = g8_encode_pad
-SQL["g8_encode_pad"] = cte("fx_rev") + f""",
-c AS (SELECT doc_id, {_CLEAN} AS tokens FROM fx_rev),
+SQL["g8_encode_pad"] = cte("fx_docs") + f""",
+c AS (SELECT doc_id, {_CLEAN} AS tokens FROM fx_docs),
 voc AS (SELECT term, ROW_NUMBER() OVER (ORDER BY term) + 3 AS id
         FROM (SELECT DISTINCT unnest(tokens) AS term FROM c)),
 ex AS (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM c),
@@ -135,8 +135,8 @@ def g9_max_len(spark, sf):
 
 
 Q["g9_max_len"] = g9_max_len
-SQL["g9_max_len"] = cte("fx_rev") + f"""
-SELECT CAST(MAX(len({_CLEAN})) AS BIGINT) AS max_len, ROUND(AVG(len({_CLEAN})), 6) AS mean_len FROM fx_rev"""
+SQL["g9_max_len"] = cte("fx_docs") + f"""
+SELECT CAST(MAX(len({_CLEAN})) AS BIGINT) AS max_len, ROUND(AVG(len({_CLEAN})), 6) AS mean_len FROM fx_docs"""
 
 
 def k15_sentiment(spark, sf):
@@ -149,9 +149,9 @@ def k15_sentiment(spark, sf):
 
 Q["k15_sentiment"] = k15_sentiment
 _LEX = ", ".join(f"('{w}', {p}, {s})" for w, p, s in LEXICON)
-SQL["k15_sentiment"] = cte("fx_rev") + f""",
+SQL["k15_sentiment"] = cte("fx_docs") + f""",
 lex AS (SELECT * FROM (VALUES {_LEX}) v(word, polarity, subjectivity)),
-w AS (SELECT doc_id, unnest(regexp_extract_all(lower(content), '\\p{{L}}+')) AS word FROM fx_rev),
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(content), '\\p{{L}}+')) AS word FROM fx_docs),
 h AS (SELECT doc_id, AVG(polarity) AS p, AVG(subjectivity) AS s FROM w JOIN lex USING (word) GROUP BY doc_id)
 SELECT r.doc_id, ROUND(COALESCE(h.p, 0.0), 6) AS polarity, ROUND(COALESCE(h.s, 0.0), 6) AS subjectivity
-FROM fx_rev r LEFT JOIN h USING (doc_id)"""
+FROM fx_docs r LEFT JOIN h USING (doc_id)"""
