@@ -73,9 +73,11 @@ def best_splits(df: DataFrame, features, label: str, node: str = "node") -> Data
                                                       F.sum("y").alias("pos"))
     cum = prefix_sums(cnt, [F.desc("value")], ["n", "pos"], ["node", "feature"],
                       out_cols=["nl", "pl"], rank_col=None)
-    tot = df.groupBy(F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("tot_n"),
-                                                    F.sum(F.col(label).cast("int")).alias("tot_p"))
-    j = cum.join(tot, "node")
+    # node totals per (node, feature) from the same counts: an equi-join on
+    # two keys (never degenerates into a cross join when ``node`` is
+    # constant); rows with a null feature value take no part in its split
+    tot = cnt.groupBy("node", "feature").agg(F.sum("n").alias("tot_n"), F.sum("pos").alias("tot_p"))
+    j = cum.join(tot, ["node", "feature"])
     N, P, nl, pl = (F.col(c).cast("double") for c in ("tot_n", "tot_p", "nl", "pl"))
     nr, pr = N - nl, P - pl
     gain = _h2(P / N) - (nl / N) * _h2(pl / nl) - (nr / N) * F.coalesce(
