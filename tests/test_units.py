@@ -312,3 +312,26 @@ def test_lsi_matches_numpy_svd(spark):
     _, _, vt = np.linalg.svd(A)
     lead = f"t{int(np.argmax(np.abs(vt[0]))):02d}"
     assert top.where("topic = 0 AND rank = 1").first()["term"] == lead
+
+
+def test_ranking_with_a_hot_group_spanning_partitions(spark):
+    # one group holds a third of all rows and must span several range partitions
+    df = spark.range(0, 900).select(
+        "id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50).alias("g"),
+        (F.col("id") * 37 % 211).cast("double").alias("v"))
+    r = prefix_sums(df, [F.desc("v"), "id"], ["v"], ["g"], num_partitions=6)
+    w = Window.partitionBy("g").orderBy(F.desc("v"), "id")
+    ref = df.withColumn("rn2", F.row_number().over(w)).withColumn(
+        "c2", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    bad = r.join(ref.select("id", "rn2", "c2"), "id").where("_rn <> rn2 OR abs(cum_v - c2) > 1e-9")
+    assert bad.count() == 0
+
+
+def test_match_pct_and_group_size_with_hot_key(spark):
+    from quarry.operators import clean as C
+    a = spark.range(0, 300).select(F.when(F.col("id") < 100, 1).otherwise(F.col("id")).alias("key"))
+    b = spark.range(0, 60).select(F.when(F.col("id") < 20, 1).otherwise(F.col("id") + 1000).alias("key"))
+    r = events.match_pct(a, b, "key").first()
+    assert r["matched_rows"] == 100 * 20 and r["left_rows"] == 300
+    g = C.group_size(a, "key", "n")
+    assert g.where("key = 1").select(F.min("n"), F.max("n")).first() == (100, 100)
