@@ -156,12 +156,27 @@ def encode_pad(df: DataFrame, doc: str, tokens: str, vocab: DataFrame, max_len:
         mask, F.transform(F.col(out), lambda x: (x != 0).cast("int")))
 
 
-def lexicon_sentiment(df: DataFrame, doc: str, tokens: str, lexicon: DataFrame) -> DataFrame:
+def lexicon_sentiment(df: DataFrame, doc: str, tokens: str, lexicon) -> DataFrame:
     """Average polarity and subjectivity of the lexicon words found in each
-    document; 0.0 when none is found (K15).  ``lexicon`` has columns
-    (word, polarity, subjectivity)."""
-    ex = explode_tokens(df, tokens, doc, alias="word")
-    hits = ex.join(lexicon, "word").groupBy(doc).agg(
+    document; 0.0 when none is found (K15).
+
+    ``lexicon`` is either a DataFrame (word, polarity, subjectivity) — joined
+    after exploding, broadcast only if AQE finds it small — or a list of
+    (word, polarity, subjectivity) tuples: then its size is known, each token
+    array is first filtered to lexicon words with a hash-set test, and only
+    the hits are exploded and joined."""
+    if isinstance(lexicon, DataFrame):
+        lex = lexicon
+        toks = F.col(tokens)
+    else:
+        entries = list(lexicon)
+        lex = df.sparkSession.createDataFrame(
+            entries, "word string, polarity double, subjectivity double")
+        words = sorted({w for w, _, _ in entries})
+        toks = F.filter(F.col(tokens), lambda x: x.isin(words))
+        lex = F.broadcast(lex)     # literal list: size known
+    ex = explode_tokens(df, toks, doc, alias="word")
+    hits = ex.join(lex, "word").groupBy(doc).agg(
         F.avg("polarity").alias("polarity"), F.avg("subjectivity").alias("subjectivity"))
     return df.select(doc).join(hits, doc, "left").select(
         doc, F.coalesce("polarity", F.lit(0.0)).alias("polarity"),

@@ -141,8 +141,7 @@ SELECT CAST(MAX(len({_CLEAN})) AS BIGINT) AS max_len, ROUND(AVG(len({_CLEAN})),
 
 def k15_sentiment(spark, sf):
     c = T.preprocess(_rev(spark, sf), "content", "tokens", stop=(), min_len=0)
-    lex = spark.createDataFrame(LEXICON, "word string, polarity double, subjectivity double")
-    s = T.lexicon_sentiment(c, "doc_id", "tokens", lex)
+    s = T.lexicon_sentiment(c, "doc_id", "tokens", LEXICON)
     return s.select("doc_id", F.round("polarity", 6).alias("polarity"),
                     F.round("subjectivity", 6).alias("subjectivity"))
 
