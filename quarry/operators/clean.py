@@ -7,8 +7,6 @@ number of rows — and then apply it lazily as literals.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,10 +65,11 @@ def to_number(df: DataFrame, cols, dtype: str = "double") -> DataFrame:
 
 def levels(df: DataFrame, cols, max_levels: int = 10000) -> dict:
     """Sorted distinct non-null values (as strings) of each column, computed
-    as one distributed distinct over a stacked (column, value) view.  Fails
+    as one distributed distinct over a stacked (column, value) view (one scan).  Fails
     loudly above ``max_levels`` in total instead of building huge schemas."""
-    stacked = reduce(DataFrame.unionByName, [
-        df.select(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v")) for c in cols])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v"))
+                                for c in cols]))
+    stacked = df.select(pairs.alias("_p")).select("_p._c", "_p._v")     # one scan
     rows = stacked.where(F.col("_v").isNotNull()).distinct().limit(max_levels + 1).collect()
     if len(rows) > max_levels:
         raise ValueError(f"more than {max_levels} category levels; one-hot columns would explode")

@@ -17,12 +17,13 @@ from quarry.plans.blocks import as_matrix, n_blocks, pair_distances, replicate
 
 
 def centroids(df: DataFrame, vec: str, cluster: str) -> DataFrame:
-    """(cluster, n, centroid array) by element-wise averaging on the long form."""
-    long = df.select(cluster, F.posexplode(vec).alias("pos", "x"))
-    per = long.groupBy(cluster, "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    arr = per.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_a"))
-    n = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
-    return arr.join(n, cluster).select(cluster, "n", F.transform("_a", lambda s: s["m"]).alias("centroid"))
+    """(cluster, n, centroid array): MLlib's vector ``Summarizer`` mean per
+    cluster — one partial aggregate on whole vectors, no per-element rows."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = array_to_vector(F.col(vec).cast("array<double>"))
+    return df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"),
+                                   vector_to_array(Summarizer.mean(v)).alias("centroid"))
 
 
 def _dist(a, b):

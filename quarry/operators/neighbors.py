@@ -82,17 +82,18 @@ def nearest_label(queries: DataFrame, base: DataFrame, id_col: str, vec: str, la
     return nn.join(labs, "dst").select(F.col("src").alias(id_col), "dst", "dist", "predicted")
 
 
-def _long(nodes: DataFrame, id_col: str, vec: str) -> DataFrame:
-    return nodes.select(F.col(id_col).alias("node"), F.posexplode(vec).alias("pos", "x"))
-
-
 def aggregate_neighbors(nodes: DataFrame, edges: DataFrame, id_col: str, vec: str,
                         how: str = "mean") -> DataFrame:
     """Neighbourhood aggregation of feature vectors, messages flowing
     src → dst (K17): ``mean`` (SAGE), ``sum`` (GraphConv) or ``gcn``
     (self loops + symmetric degree normalisation 1/sqrt(deg_i·deg_j)).
-    Element-wise work happens on the long form (node, pos, x)."""
-    long = _long(nodes, id_col, vec)
+    Vectors are summed whole with MLlib's (weighted) ``Summarizer`` — one
+    partial aggregate per destination, so a hub node is pre-aggregated
+    map-side and no per-element rows are created."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    feats = nodes.select(F.col(id_col).alias("src"),
+                         array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
     e = edges.select("src", "dst")
     if how == "gcn":
         e = e.unionByName(nodes.select(F.col(id_col).alias("src"), F.col(id_col).alias("dst")))
@@ -100,15 +101,17 @@ def aggregate_neighbors(nodes: DataFrame, edges: DataFrame, id_col: str, vec: st
         e = (e.join(deg.select(F.col("dst").alias("src"), F.col("deg").alias("ds")), "src")
              .join(deg.select("dst", F.col("deg").alias("dd")), "dst")
              .withColumn("w", F.lit(1.0) / F.sqrt(F.col("ds") * F.col("dd"))))
+    m = e.join(feats, "src")
+    if how == "mean":
+        agg = Summarizer.mean(F.col("_v"))
+    elif how == "sum":
+        agg = Summarizer.sum(F.col("_v"))
+    elif how == "gcn":
+        agg = Summarizer.metrics("sum").summary(F.col("_v"), F.col("w")).getField("sum")
     else:
-        e = e.withColumn("w", F.lit(1.0))
-    m = e.join(long.withColumnRenamed("node", "src"), "src")
-    agg = {"mean": F.avg(F.col("x") * F.col("w")), "sum": F.sum(F.col("x") * F.col("w")),
-           "gcn": F.sum(F.col("x") * F.col("w"))}[how]
-    per = m.groupBy("dst", "pos").agg(agg.alias("v"))
-    vecs = per.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_a"))
-    return vecs.select(F.col("dst").alias(id_col),
-                       F.transform("_a", lambda s: s["v"]).alias("agg"))
+        raise ValueError(how)
+    return m.groupBy("dst").agg(vector_to_array(agg).alias("agg")).select(
+        F.col("dst").alias(id_col), "agg")
 
 
 def drop_edges(edges: DataFrame, p: float = 0.2, salt: str = "drop") -> DataFrame:
