@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import hash_int, hash_unit
 from quarry.plans.blocks import as_matrix, n_blocks, pair_distances, replicate
 from quarry.plans.ranking import row_number
+from quarry.session import cut_lineage
 
 
 def _topk_kernel(k: int, exclude_self: bool):
@@ -51,12 +52,16 @@ def _topk_kernel(k: int, exclude_self: bool):
 
 
 def knn(queries: DataFrame, base: DataFrame | None, k: int, id_col: str, vec: str,
-        exclude_self: bool | None = None, block_rows: int = 2048) -> DataFrame:
+        exclude_self: bool | None = None, block_rows: int = 2048,
+        materialize: bool = True) -> DataFrame:
     """Exact k nearest neighbours by Euclidean distance.
 
     Returns (src, dst, dist, rank) with rank 1..k; with ``base=None`` the
     graph is built over ``queries`` itself and a row never pairs with its own
-    id (ids, not positions, decide what "self" is).
+    id (ids, not positions, decide what "self" is).  The O(n²) kernel runs
+    once: with ``materialize`` (default) the n·k result is written to the
+    checkpoint folder, so graph operators that read it several times (degree,
+    joins, symmetrisation) do not recompute it.
     """
     same = base is None
     base = queries if same else base
@@ -70,7 +75,8 @@ def knn(queries: DataFrame, base: DataFrame | None, k: int, id_col: str, vec: st
     cand = q.groupBy("qblk", "bblk").cogroup(r.groupBy("qblk", "bblk")).applyInPandas(
         _topk_kernel(k, exclude_self), "src long, dst long, dist double")
     w = Window.partitionBy("src").orderBy("dist", "dst")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return cut_lineage(out) if materialize else out
 
 
 def nearest_label(queries: DataFrame, base: DataFrame, id_col: str, vec: str, label: str,
@@ -120,8 +126,9 @@ def drop_edges(edges: DataFrame, p: float = 0.2, salt: str = "drop") -> DataFram
     und = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")) \
         .where(F.col("a") != F.col("b")).distinct()
     kept = und.where(hash_unit(F.concat_ws("-", "a", "b"), salt) >= F.lit(p))
-    return kept.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
-        kept.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
+                             F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    return kept.select(both.alias("_e")).select("_e.src", "_e.dst")   # one pass, both directions
 
 
 def smote(df: DataFrame, id_col: str, vec: str, label: str, minority_value, ratio: float = 0.5,
