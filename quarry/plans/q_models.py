@@ -108,8 +108,8 @@ SQL["j2_preprocess"] = cte("fx_main") + """,
 tr AS (SELECT * FROM fx_main WHERE record_date < DATE '2022-01-01'),""" + _idx_sql("category_a") + "," + \
     _idx_sql("category_b") + """,
 s AS (SELECT AVG(numeric_feature) AS m, STDDEV_SAMP(numeric_feature) AS sd FROM tr)
-SELECT f.id, COALESCE(ia.idx, (SELECT k FROM n_category_a)) AS category_a_idx,
-       COALESCE(ib.idx, (SELECT k FROM n_category_b)) AS category_b_idx,
+SELECT f.id, CAST(COALESCE(ia.idx, (SELECT k FROM n_category_a)) AS DOUBLE) AS category_a_idx,
+       CAST(COALESCE(ib.idx, (SELECT k FROM n_category_b)) AS DOUBLE) AS category_b_idx,
        ROUND((f.numeric_feature - s.m) / s.sd, 6) AS scaled_numeric_feature
 FROM fx_main f LEFT JOIN i_category_a ia ON ia.v = f.category_a
 LEFT JOIN i_category_b ib ON ib.v = f.category_b, s"""

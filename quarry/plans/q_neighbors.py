@@ -133,7 +133,8 @@ SELECT a AS src, b AS dst FROM k UNION ALL SELECT b, a FROM k"""
 def h6_smote(spark, sf):
     v = _vec(spark, sf).select("vec_id", "embedding", "minority")
     s = N.smote(v, "vec_id", "embedding", "minority", 1, ratio=0.5, k=5)
-    return s.select("vec_id", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"),
+    return s.select("vec_id", F.transform(F.col("embedding").cast("array<double>"),
+                                          lambda x: F.round(x, 4)).alias("embedding"),
                     "minority", "synthetic")
 
 

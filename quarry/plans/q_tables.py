@@ -127,7 +127,7 @@ Q["m1_audit"] = m1_audit
 SQL["m1_audit"] = cte("fx_sched") + f""",
 s AS (SELECT *, {_SCHED_HR} AS booked_hr FROM fx_sched)
 SELECT 'day_hours' AS rule, NULL::INT AS or_suite, day, NULL::BIGINT AS hour, NULL::BIGINT AS encounter_id,
-       ROUND(SUM(booked_hr), 6) AS value, 24.0 AS cap FROM s GROUP BY day HAVING SUM(booked_hr) > 24
+       ROUND(SUM(booked_hr), 6) AS value, CAST(24.0 AS DOUBLE) AS cap FROM s GROUP BY day HAVING SUM(booked_hr) > 24
 UNION ALL
 SELECT 'room_one_at_a_time', or_suite, day, hour, NULL, COUNT(*), 1.0 FROM s
   GROUP BY or_suite, day, hour HAVING COUNT(*) > 1
@@ -153,7 +153,7 @@ def m2_utilisation(spark, sf):
 Q["m2_utilisation"] = m2_utilisation
 SQL["m2_utilisation"] = cte("fx_sched") + f""",
 s AS (SELECT *, {_SCHED_HR} AS booked_hr FROM fx_sched)
-SELECT 'room' AS level, or_suite, NULL::BIGINT AS day, ROUND(SUM(booked_hr), 6) AS hours, 56.0 AS capacity,
+SELECT 'room' AS level, or_suite, NULL::BIGINT AS day, ROUND(SUM(booked_hr), 6) AS hours, CAST(56.0 AS DOUBLE) AS capacity,
        ROUND(SUM(booked_hr) / 56.0, 6) AS utilisation FROM s GROUP BY or_suite
 UNION ALL
 SELECT 'day', NULL, day, ROUND(SUM(booked_hr), 6), 24.0, ROUND(SUM(booked_hr) / 24.0, 6) FROM s GROUP BY day
@@ -169,7 +169,7 @@ def m3_demand(spark, sf):
 
 Q["m3_demand"] = m3_demand
 SQL["m3_demand"] = cte("fx_sched") + f"""
-SELECT ROUND(SUM({_SCHED_HR}), 6) AS booked_hours, 168.0 AS capacity,
+SELECT ROUND(SUM({_SCHED_HR}), 6) AS booked_hours, CAST(168.0 AS DOUBLE) AS capacity,
        ROUND(SUM({_SCHED_HR}) / 168.0, 6) AS ratio FROM fx_sched"""
 
 
