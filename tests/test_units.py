@@ -335,3 +335,63 @@ def test_match_pct_and_group_size_with_hot_key(spark):
     assert r["matched_rows"] == 100 * 20 and r["left_rows"] == 300
     g = C.group_size(a, "key", "n")
     assert g.where("key = 1").select(F.min("n"), F.max("n")).first() == (100, 100)
+
+
+# ------------------------------------------------------------------ more edge cases (FIXTURES §3)
+def test_equal_take_up_gives_null_tot(spark):
+    df = spark.createDataFrame([(0, 1, 1), (0, 0, 0), (1, 1, 1), (1, 0, 1)],
+                               "arm int, took_up int, outcome int")
+    r = experiment.itt_tot(df).first()
+    assert r["itt"] == 0.5 and r["tot"] is None
+
+
+def test_unmapped_value_and_category_only_in_test(spark):
+    df = spark.createDataFrame([(1, "A/1/P"), (2, "B/2/Q"), (3, None)], "id int, cabin string")
+    p = clean.split_parts(df, "cabin", "/", ["deck", "num", "side"])
+    m = {r["id"]: r["side"] for r in clean.map_values(p, "side", {"P": "Port", "S": "Starboard"}).collect()}
+    assert m == {1: "Port", 2: None, 3: None}
+    train = clean.dummies(p.select("id", "deck").where("id = 1"), ["deck"])
+    test = clean.dummies(p.select("id", "deck"), ["deck"])
+    aligned = clean.align(test, train.columns)
+    assert aligned.columns == ["id", "deck_A"]          # test-only level B dropped
+
+
+def test_score_exactly_at_threshold_and_identical_centres(spark):
+    df = spark.createDataFrame([(1, 0.5), (0, 0.5), (1, 0.7)], "label int, score double")
+    p = metrics.binarize(df, "score", 0.5).orderBy("score").collect()
+    assert [r["prediction"] for r in p] == [0, 0, 1]     # strictly greater
+    v = spark.createDataFrame([(1, [0.0, 0.0], 0), (2, [0.0, 0.0], 1), (3, [1.0, 0.0], 1)],
+                              "id long, v array<double>, c int")
+    r = cluster.centroid_scores(v, "v", "c").first()
+    assert r["inertia"] == 0.5 and r["davies_bouldin"] >= 0
+
+
+def test_smote_with_fewer_minority_rows_than_k(spark):
+    df, _ = _vecs(spark, n=30, dup=False)
+    df = df.withColumn("y", (F.col("id") < 3).cast("int"))      # 3 minority rows, k=5
+    s = neighbors.smote(df, "id", "v", "y", 1, ratio=0.5, k=5)
+    assert s.where("synthetic = 1").count() == int(0.5 * 27 - 3)
+
+
+def test_stratified_split_with_single_row_label(spark):
+    df = spark.range(0, 20).withColumn("label", F.when(F.col("id") == 0, 9).otherwise(F.col("id") % 2))
+    h = sampling.holdout(df, "id", 0.25, by="label")
+    assert h.where("label = 9").first()["is_test"] == 1          # ceil(1 · 0.25) = 1
+    f = sampling.kfold(df, "id", 5, by="label")
+    assert f.where("label = 9").first()["fold"] == 0
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_results_unchanged_by_repartition(spark, parts):
+    df = spark.range(0, 200).select("id", (F.col("id") % 3).alias("label"),
+                                    F.array((F.col("id") % 7).cast("double"),
+                                            (F.col("id") % 5).cast("double")).alias("v"))
+    d = df.repartition(parts)
+    h = {r["id"]: r["is_test"] for r in sampling.holdout(d, "id", 0.3, by="label").collect()}
+    h0 = {r["id"]: r["is_test"] for r in sampling.holdout(df.coalesce(1), "id", 0.3, by="label").collect()}
+    assert h == h0
+    g = sorted(tuple(r) for r in neighbors.knn(d, None, 3, "id", "v", block_rows=32)
+               .select("src", "dst", "rank").collect())
+    g0 = sorted(tuple(r) for r in neighbors.knn(df.coalesce(1), None, 3, "id", "v")
+                .select("src", "dst", "rank").collect())
+    assert g == g0
