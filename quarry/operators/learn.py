@@ -188,6 +188,14 @@ def estimator(kind: str, **params):
     return cls(**d)
 
 
+def sklearn_style_logreg(n_rows: int, C: float = 1.0, max_iter: int = 1000, **params):
+    """MLlib logistic regression with the objective of scikit-learn's default
+    (L2, C=1, unstandardised penalty): Σ loss + ½‖w‖²/C equals n·(mean loss
+    + regParam·½‖w‖²) with regParam = 1/(C·n) (K2)."""
+    return estimator("logreg", maxIter=max_iter, regParam=1.0 / (C * max(n_rows, 1)),
+                     elasticNetParam=0.0, standardization=False, **params)
+
+
 def random_fourier(df: DataFrame, features, n_components: int = 100, gamma: float = 0.1,
                    seed: int = 42, prefix: str = "rff") -> DataFrame:
     """Random Fourier features approximating an RBF kernel (K9): columns

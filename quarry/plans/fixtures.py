@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.sources.tables import register
+from quarry.sources.tables import load
 
 FX = {
     # event log; 'error' opens, 'purchase' resolves, the rest is noise
@@ -104,10 +104,15 @@ def tables_of(sql: str) -> list[str]:
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build a fixture DataFrame over the tables in ``sf_dir``."""
+    """Build a fixture DataFrame over the tables in ``sf_dir``.
+
+    The shared SQL text is run with its tables passed as DataFrame arguments
+    (``spark.sql("... FROM {customer}", customer=df)``), so no temp view is
+    created or replaced in the caller's session."""
     sql = FX[name]
-    register(spark, sf_dir, tables_of(sql))
-    return spark.sql(sql)
+    names = tables_of(sql)
+    templ = _TABLE_RE.sub(lambda m: m.group(0).replace(m.group(1), "{" + m.group(1) + "}"), sql)
+    return spark.sql(templ, **{n: load(spark, sf_dir, n) for n in names})
 
 
 def cte(*names: str) -> str:
