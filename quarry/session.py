@@ -19,7 +19,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.driver.memory", "16g"))
+         .config("spark.driver.memory", "16g")
+         # remove checkpoint files once their DataFrames are garbage-collected
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
