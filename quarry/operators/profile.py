@@ -7,8 +7,6 @@ buffer a whole column inside one task.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

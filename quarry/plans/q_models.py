@@ -1,8 +1,6 @@
 """Registered queries: features, clustering, models (J*, K*, L14, L15, E15)."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from quarry.operators import cluster as CL
