@@ -90,14 +90,16 @@ def prefix_sums(df: DataFrame, order_cols, sum_cols=(), partition_cols=(),
     ``order_cols`` may be Column expressions (e.g. ``F.desc("score")``);
     ``sum_cols`` must be numeric column names.
     """
-    spark = df.sparkSession
     partition_cols = list(partition_cols)
     sum_cols = list(sum_cols)
     out_cols = list(out_cols or [f"cum_{c}" for c in sum_cols])
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in partition_cols] + [F.col(c) if isinstance(c, str) else c
                                                  for c in order_cols]
-    s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Without an explicit count, AQE sizes the range partitions at run time
+    # (coalescing merges only neighbouring ranges, so order is kept).
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys))
+    s = ranged.sortWithinPartitions(*keys)
     fields = list(df.schema.fields) + [T.StructField(_PID, T.IntegerType()),
                                        T.StructField("_q_lpos", T.LongType())]
     for c, oc in zip(sum_cols, out_cols):
