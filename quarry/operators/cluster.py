@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.blocks import as_matrix, n_blocks, pair_distances, replicate
+from quarry.session import ship_package
 
 
 def centroids(df: DataFrame, vec: str, cluster: str) -> DataFrame:
@@ -78,6 +79,7 @@ def _silhouette_kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
 def silhouette_points(df: DataFrame, id_col: str, vec: str, cluster: str,
                       block_rows: int = 2048) -> DataFrame:
     """Per-point silhouette (id, cluster, s); a point alone in its cluster scores 0."""
+    ship_package(df.sparkSession)
     b = n_blocks(df.count(), block_rows, 2 * df.sparkSession.sparkContext.defaultParallelism)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"),
                      F.col(cluster).cast("long").alias("c"))

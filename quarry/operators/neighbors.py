@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import hash_int, hash_unit
 from quarry.plans.blocks import as_matrix, n_blocks, pair_distances, replicate
 from quarry.plans.ranking import row_number
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, ship_package
 
 
 def _topk_kernel(k: int, exclude_self: bool):
@@ -63,6 +63,7 @@ def knn(queries: DataFrame, base: DataFrame | None, k: int, id_col: str, vec: st
     checkpoint folder, so graph operators that read it several times (degree,
     joins, symmetrisation) do not recompute it.
     """
+    ship_package(queries.sparkSession)
     same = base is None
     base = queries if same else base
     exclude_self = same if exclude_self is None else exclude_self

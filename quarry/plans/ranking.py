@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, ship_package
 
 _PID = "_q_pid"
 
@@ -90,6 +90,7 @@ def prefix_sums(df: DataFrame, order_cols, sum_cols=(), partition_cols=(),
     ``order_cols`` may be Column expressions (e.g. ``F.desc("score")``);
     ``sum_cols`` must be numeric column names.
     """
+    ship_package(df.sparkSession)
     partition_cols = list(partition_cols)
     sum_cols = list(sum_cols)
     out_cols = list(out_cols or [f"cum_{c}" for c in sum_cols])

@@ -54,6 +54,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                        "before running iterative operators")
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in the Python workers of this application.
+
+    Arrow kernels (``mapInPandas`` / ``applyInPandas``) reference functions of
+    this package, which executors must import.  If the package is not
+    installed there, it is zipped once per application and distributed with
+    ``SparkContext.addPyFile`` (Spark's own file distribution)."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="quarry-pyfiles-")
+    path = os.path.join(out_dir, "quarry.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
