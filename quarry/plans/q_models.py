@@ -289,7 +289,7 @@ Q["k9_svm_rff"] = k9_svm_rff
 
 
 def k4_tree(spark, sf):
-    tree = LN.build_tree(_num(spark, sf), ["x1", "x3"], "label", max_depth=4)
+    tree = LN.build_tree(_num(spark, sf), ["x1", "x3"], "label")     # grown to purity
     return spark.createDataFrame(
         [(t["node"], t["feature"], t["threshold"], t["gain_ratio"], t["n"], t["pos"], t["value"])
          for t in tree],
