@@ -52,28 +52,31 @@ def kmeans(df: DataFrame, vec: str, k: int, seed: int = 123, max_iter: int = 20)
 
 
 def _silhouette_kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    cols = {"qid": [], "qc": [], "bc": [], "s": [], "n": []}
-    if len(q) and len(b):
-        qm, bm = as_matrix(q["qv"]), as_matrix(b["bv"])
-        qid = q["qid"].to_numpy(np.int64)
-        bid = b["bid"].to_numpy(np.int64)
-        qc = q["qc"].to_numpy(np.int64)
-        bc = b["bc"].to_numpy(np.int64)
-        labs = np.unique(bc)
-        for s, d in pair_distances(qm, bm):
-            same = qid[s:s + d.shape[0], None] == bid[None, :]
-            for lab in labs:
-                m = (bc[None, :] == lab) & ~same
-                cols["qid"].append(qid[s:s + d.shape[0]])
-                cols["qc"].append(qc[s:s + d.shape[0]])
-                cols["bc"].append(np.full(d.shape[0], lab, np.int64))
-                cols["s"].append(np.where(m, d, 0.0).sum(axis=1))
-                cols["n"].append(m.sum(axis=1).astype(np.int64))
-    if not cols["qid"]:
-        return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "qc": pd.Series([], dtype="int64"),
-                             "bc": pd.Series([], dtype="int64"), "s": pd.Series([], dtype="float64"),
-                             "n": pd.Series([], dtype="int64")})
-    return pd.DataFrame({k: np.concatenate(v) for k, v in cols.items()})
+    """Per query point and base cluster: sum and count of distances to the
+    other points of that cluster in this block pair (two matrix products
+    against the base block's one-hot cluster matrix)."""
+    empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "qc": pd.Series([], dtype="int64"),
+                          "bc": pd.Series([], dtype="int64"), "s": pd.Series([], dtype="float64"),
+                          "n": pd.Series([], dtype="int64")})
+    if len(q) == 0 or len(b) == 0:
+        return empty
+    qm, bm = as_matrix(q["qv"]), as_matrix(b["bv"])
+    qid = q["qid"].to_numpy(np.int64)
+    bid = b["bid"].to_numpy(np.int64)
+    qc = q["qc"].to_numpy(np.int64)
+    labs, bc_idx = np.unique(b["bc"].to_numpy(np.int64), return_inverse=True)
+    onehot = np.zeros((len(bid), len(labs)))
+    onehot[np.arange(len(bid)), bc_idx] = 1.0
+    parts = []
+    for s, d in pair_distances(qm, bm):
+        other = (qid[s:s + d.shape[0], None] != bid[None, :]).astype(np.float64)
+        sums = (d * other) @ onehot
+        cnts = np.rint(other @ onehot).astype(np.int64)
+        m = d.shape[0]
+        parts.append(pd.DataFrame({
+            "qid": np.repeat(qid[s:s + m], len(labs)), "qc": np.repeat(qc[s:s + m], len(labs)),
+            "bc": np.tile(labs, m), "s": sums.ravel(), "n": cnts.ravel()}))
+    return pd.concat(parts, ignore_index=True) if parts else empty
 
 
 def silhouette_points(df: DataFrame, id_col: str, vec: str, cluster: str,

@@ -20,32 +20,31 @@ from quarry.session import cut_lineage, ship_package
 
 def _topk_kernel(k: int, exclude_self: bool):
     def fn(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"src": pd.Series([], dtype="int64"),
+                              "dst": pd.Series([], dtype="int64"),
+                              "dist": pd.Series([], dtype="float64")})
         if len(q) == 0 or len(b) == 0:
-            return pd.DataFrame({"src": pd.Series([], dtype="int64"),
-                                 "dst": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
+            return empty
         qm, bm = as_matrix(q["qv"]), as_matrix(b["bv"])
         qid = q["qid"].to_numpy(dtype=np.int64)
         bid = b["bid"].to_numpy(dtype=np.int64)
+        kk = min(k, len(bid))
         out_s, out_d, out_x = [], [], []
         for s, d in pair_distances(qm, bm):
             if exclude_self:
                 d = np.where(qid[s:s + d.shape[0], None] == bid[None, :], np.inf, d)
-            kk = min(k, d.shape[1])
-            for r in range(d.shape[0]):
-                row = d[r]
-                # all candidates up to the k-th distance (ties kept), then
-                # order by (distance, id) and cut at k
-                kth = np.partition(row, kk - 1)[kk - 1]
-                cand = np.nonzero(row <= kth)[0]
-                cand = cand[np.isfinite(row[cand])]
-                order = np.lexsort((bid[cand], row[cand]))[:kk]
-                sel = cand[order]
-                out_s.append(np.full(len(sel), qid[s + r], dtype=np.int64))
-                out_d.append(bid[sel])
-                out_x.append(row[sel])
+            # per row: order by (distance, neighbour id), keep the first k —
+            # one vectorised lexsort per chunk, ties broken by id
+            ids = np.broadcast_to(bid, d.shape)
+            order = np.lexsort((ids, d), axis=1)[:, :kk]
+            dist = np.take_along_axis(d, order, axis=1)
+            keep = np.isfinite(dist)
+            src = np.broadcast_to(qid[s:s + d.shape[0], None], order.shape)
+            out_s.append(src[keep])
+            out_d.append(bid[order][keep])
+            out_x.append(dist[keep])
         if not out_s:
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
+            return empty
         return pd.DataFrame({"src": np.concatenate(out_s), "dst": np.concatenate(out_d),
                              "dist": np.concatenate(out_x)})
     return fn

@@ -44,10 +44,14 @@ def as_matrix(series: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()])
 
 
-def pair_distances(q: np.ndarray, b: np.ndarray, chunk: int = 256):
+def pair_distances(q: np.ndarray, b: np.ndarray, budget_bytes: int = 64 << 20):
     """Yield (row_offset, euclidean distance chunk) between rows of q and b,
     computed from explicit differences (no |a|²+|b|²−2ab cancellation, so
-    duplicate vectors give exactly 0 and ties stay ties)."""
+    duplicate vectors give exactly 0 and ties stay ties).  The chunk height
+    keeps the difference tensor under ``budget_bytes`` whatever the
+    dimension, so a task's memory is bounded by the block sizes."""
+    d = max(q.shape[1], 1)
+    chunk = max(1, int(budget_bytes // (8 * d * max(b.shape[0], 1))))
     for s in range(0, q.shape[0], chunk):
-        d = q[s:s + chunk, None, :] - b[None, :, :]
-        yield s, np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+        diff = q[s:s + chunk, None, :] - b[None, :, :]
+        yield s, np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
