@@ -89,7 +89,7 @@ def test_event_summary_null_vs_empty(spark):
 
 
 # ------------------------------------------------------------------ experiments
-def test_itt_tot_flu_shot_numbers(spark):
+def test_itt_tot_three_arm_golden_numbers(spark):
     rows = []
     spec = {0: (0.64, 0.0), 1: (0.66, 0.40), 2: (0.68, 0.60)}
     for arm, (out, take) in spec.items():
