@@ -213,7 +213,7 @@ def random_fourier(df: DataFrame, features, n_components: int = 100, gamma: floa
 
 
 def adaboost(df: DataFrame, features, label: str, n_estimators: int = 50,
-             learning_rate: float = 1.0, checkpoint_every: int = 5):
+             learning_rate: float = 1.0, checkpoint_every: int = 5, max_bins: int = 256):
     """Discrete SAMME boosting of depth-1 trees (K7).  Row weights are a
     column re-computed each round; lineage is cut every few rounds.
     Returns a list of (model, alpha)."""
@@ -225,7 +225,8 @@ def adaboost(df: DataFrame, features, label: str, n_estimators: int = 50,
                       .withColumn("_w", F.lit(1.0 / n)))
     stages = []
     for m in range(n_estimators):
-        dt = DecisionTreeClassifier(maxDepth=1, featuresCol="_x", labelCol="_y",
+        # fine candidate thresholds: stumps close to exhaustive-split stumps
+        dt = DecisionTreeClassifier(maxDepth=1, featuresCol="_x", labelCol="_y", maxBins=max_bins,
                                     weightCol="_w", predictionCol="_p", seed=42)
         model = dt.fit(cur)
         pred = model.transform(cur).select("_x", "_y", "_w", "_p")
