@@ -64,8 +64,11 @@ def ship_package(spark: SparkSession) -> None:
     this package, which executors must import.  If the package is not
     installed there, it is zipped once per application and distributed with
     ``SparkContext.addPyFile`` (Spark's own file distribution)."""
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: nothing to ship from here
+        return
     if app in _SHIPPED:
         return
     import zipfile
