@@ -118,10 +118,11 @@ def tfidf(counts: DataFrame, doc: str, n_docs: int | None = None) -> DataFrame:
 def top_words(df: DataFrame, col: str, n: int = 200, stop=STOP_WORDS, ignore=()) -> DataFrame:
     """Most common lower-cased whitespace words not in ``stop`` / ``ignore``
     (E13, C5).  Ties are broken by word so the cut is deterministic."""
-    words = explode_tokens(df, whitespace_tokens(F.col(col)), alias="word")
     excluded = sorted(set(stop) | {str(w) for w in ignore})
-    if excluded:   # literal list of known size: hash-set test, no join
-        words = words.where(~F.col("word").isin(excluded))
+    toks = whitespace_tokens(F.col(col))
+    if excluded:   # literal list of known size: hash-set test inside the array, no join
+        toks = F.filter(toks, lambda x: ~x.isin(excluded))
+    words = explode_tokens(df, toks, alias="word")
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     return counts.orderBy(F.desc("count"), "word").limit(n)
 
