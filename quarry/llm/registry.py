@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from quarry.llm.bpe import op6_bpe
 from quarry.llm.decontaminate import op4_decontaminate
+from quarry.llm.licenses import op5_licenses
 from quarry.llm.minhash import op9_near_duplicates
 from quarry.llm.quality import op10_quality
 from quarry.llm.toxicity import op8_toxicity
 
-Q = {f.__name__: f for f in (op4_decontaminate, op6_bpe, op8_toxicity,
+Q = {f.__name__: f for f in (op4_decontaminate, op5_licenses, op6_bpe, op8_toxicity,
                               op9_near_duplicates, op10_quality)}
 
 SQL: dict[str, str] = {}
