@@ -9,9 +9,9 @@
    the similarity on the full sets.  Links give components (large-star,
    small-star).
 4. Buckets that now hold several components are compared in blocks, across
-   components only, with more minima for a sharper cut: first each node's
-   nearest partners, then, where components are still apart, all that agree
-   in enough minima.  These pairs are confirmed on the full sets too.
+   components only: first each node's nearest partners, then, where
+   components are still apart, all that agree in enough of 1024 more minima.
+   These pairs are confirmed on the full sets too.
 
 So no bucket is listed as pairs and no member is left out: two nodes of a
 bucket end in one component, or their minima were compared.
@@ -37,7 +37,7 @@ from quarry.llm.components import components
 SHINGLE, BANDS, ROWS = 5, 32, 4
 SIMILARITY = 75         # percent
 AGREE = 0.57            # share of equal minima below which a pair at 0.75 is out of reach (4.7 deviations)
-FINE, FINE_AGREE = 1024, 0.69   # the same with more minima (4.4 deviations), for nodes of open buckets
+FINE, FINE_AGREE = 1024, 0.69   # the same with more minima (4.4 deviations), for nodes of open buckets, a byte of each
 BLOCK = 512             # nodes of a bucket compared with as many others at a time
 NEAREST = (2, None)     # partners that a node of an open bucket is confirmed against, round by round
 FILTER_BITS = 1 << 23
@@ -159,7 +159,7 @@ def _fine(shingle: int):
     def run(batches):
         shingles, minima = Shingler(shingle), Minima(FINE, seed=2)
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "fine": [minima(shingles(raw)).astype(np.uint16).tobytes() for raw in pdf["raw"]]})
+            yield pd.DataFrame({"node": pdf["node"], "fine": [minima(shingles(raw)).astype(np.uint8).tobytes() for raw in pdf["raw"]]})
     return run
 
 
@@ -190,7 +190,7 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             .select("u", "v", "x", "y").mapInPandas(_agreeing, "u long, v long"))
 
 
-def _compare(group: pd.DataFrame, nearest: int | None) -> pd.DataFrame:
+def _compare(group: pd.DataFrame, nearest: int | None, rows: int) -> pd.DataFrame:
     """Pairs across components within one block of a bucket, or between two blocks.
 
     Nodes of the component that has most nodes here wait to be asked: a pair
@@ -204,24 +204,27 @@ def _compare(group: pd.DataFrame, nearest: int | None) -> pd.DataFrame:
     if len(names) < 2:
         return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
     minima = np.frombuffer(b"".join(group["minima"]), np.uint32).reshape(len(group), -1)
-    fine = np.frombuffer(b"".join(group["fine"]), np.uint16).reshape(len(group), -1)
-    out = []
+    fine = None if nearest else np.frombuffer(b"".join(group["fine"]), np.uint8).reshape(len(group), -1)
+    band, out = int(group["band"].iat[0]), []
     for k in asks:
         fits = (component != component[k]) & (100 * np.minimum(n, n[k]) >= SIMILARITY * np.maximum(n, n[k]))
         if i != j:
             fits &= block != block[k]
         at = np.flatnonzero(fits)
-        agree = (minima[at] == minima[k]).mean(1)
-        at = at[agree >= AGREE]
-        agree = (fine[at] == fine[k]).mean(1)
-        at, agree = at[agree >= FINE_AGREE], agree[agree >= FINE_AGREE]
+        same = minima[at] == minima[k]
+        first = same.reshape(len(at), same.shape[1] // rows, rows).all(2).argmax(1)    # a pair belongs to its first common bucket
+        agree = same.mean(1)
+        own = (agree >= AGREE) & (first == band)
+        at, agree = at[own], agree[own]
+        if fine is not None:
+            at = at[(fine[at] == fine[k]).mean(1) >= FINE_AGREE]
         if nearest is not None and len(at) > nearest:
             at = at[np.lexsort((node[at], -agree))[:nearest]]
         out += [(min(node[k], x), max(node[k], x)) for x in node[at]]
     return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64).drop_duplicates()
 
 
-def _grouped(nearest: int | None):
+def _grouped(nearest: int | None, rows: int):
     """Cut sorted batches into the groups (bucket, i, j) and compare each; a group has at
     most two blocks of nodes."""
     def run(batches):
@@ -231,34 +234,33 @@ def _grouped(nearest: int | None):
             key = pdf[["bucket", "i", "j"]].to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             edges = [0, *cuts]
-            found = [_compare(pdf.iloc[a:b], nearest) for a, b in zip(edges, edges[1:]) if b - a > 1]
+            found = [_compare(pdf.iloc[a:b], nearest, rows) for a, b in zip(edges, edges[1:]) if b - a > 1]
             rest = pdf.iloc[edges[-1]:] if len(pdf) else None
             if found:
                 yield pd.concat(found).drop_duplicates()
         if rest is not None and len(rest) > 1:
-            yield _compare(rest, nearest)
+            yield _compare(rest, nearest, rows)
     return run
 
 
 def open_buckets(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """(bucket, blocks, node, component) of the buckets that hold several components."""
+    """(bucket, band, blocks, node, component) of the buckets that hold several components."""
     now = (members.join(linked, "node", "left")
-           .select("bucket", "node", F.coalesce("component", "node").alias("component")))
+           .select("bucket", "band", "node", F.coalesce("component", "node").alias("component")))
     mixed = (now.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"),
                                        F.count("*").alias("size"))
              .where("a <> b").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     return written(now.join(written(mixed, "mixed"), "bucket"), "open")
 
 
-def pairs_across(opened: DataFrame, minima: DataFrame, nearest: int | None) -> DataFrame:
+def pairs_across(opened: DataFrame, minima: DataFrame, nearest: int | None, rows: int) -> DataFrame:
     """Pairs (u, v) of different components that share a bucket and agree in enough minima."""
-    rows = (opened.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
-            .join(minima, "node")
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                    "block", "node", "component", "n", "minima", "fine"))
-    return (rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-            .mapInPandas(_grouped(nearest), "u long, v long").distinct())
+    cells = (opened.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                     "block", "node", "component").join(minima, "node"))
+    return (cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+            .mapInPandas(_grouped(nearest, rows), "u long, v long").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
@@ -270,7 +272,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
                                           F.min_by("minima", "doc_id").alias("minima")), "nodes")
     width = 4 * rows
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("minima", 1 + width * b, width)) for b in range(bands)])
-    buckets = nodes.select("node", "n", F.explode(keys).alias("bucket"))
+    buckets = nodes.select("node", "n", F.posexplode(keys).alias("band", "bucket"))
     firsts = written(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("first"))
                      .where("size > 1").select("bucket", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")), "firsts")
     members = written(buckets.join(firsts, "bucket"), "members")
@@ -281,13 +283,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     likely = written(agreeing(stars, minima), "likely")
     links = written(confirmed(likely, docs, shingle, text_col), "links")
     linked = components(links)
-    tested, fine = likely, None
+    tested = likely
     for nearest in NEAREST:
-        opened = open_buckets(members.select("bucket", "node"), linked)
-        if fine is None:
+        opened = open_buckets(members, linked)
+        if nearest is None:
             ids = written(opened.select("node").distinct(), "opened")
             fine = written(texts_of(docs, ids, text_col).mapInPandas(_fine(shingle), "node long, fine binary"), "fine")
-        more = written(pairs_across(opened, minima.join(fine, "node"), nearest)
+            minima = minima.join(fine, "node")
+        more = written(pairs_across(opened, minima, nearest, rows)
                        .join(tested, ["u", "v"], "left_anti"), "more")
         if not more.isEmpty():
             tested = tested.union(more)
