@@ -78,7 +78,7 @@ def template_rows(phrases=None, templates=None) -> list[tuple]:
 def _pairs(words: Column, step: int) -> Column:
     """words[i] + ' ' + words[i + step] for every i that has both."""
     n = F.greatest(F.size(words) - step, F.lit(0))
-    return F.zip_with(F.slice(words, 1, n), F.slice(words, step + 1, n), lambda a, b: F.concat_ws(" ", a, b))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, step + 1, n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def hits(docs: DataFrame, templates: DataFrame) -> DataFrame:
