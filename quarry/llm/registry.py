@@ -6,10 +6,11 @@ from quarry.llm.chat import OP2_SQL, op2_chat_format
 from quarry.llm.decontaminate import op4_decontaminate
 from quarry.llm.licenses import op5_licenses
 from quarry.llm.minhash import op9_near_duplicates
+from quarry.llm.ngram_lm import op7_lm_score
 from quarry.llm.quality import op10_quality
 from quarry.llm.toxicity import op8_toxicity
 
-Q = {f.__name__: f for f in (op2_chat_format, op4_decontaminate, op5_licenses, op6_bpe, op8_toxicity,
+Q = {f.__name__: f for f in (op2_chat_format, op4_decontaminate, op5_licenses, op6_bpe, op7_lm_score, op8_toxicity,
                               op9_near_duplicates, op10_quality)}
 
 SQL: dict[str, str] = {"op2_chat_format": OP2_SQL}
