@@ -9,8 +9,10 @@ from quarry.llm.minhash import op9_near_duplicates
 from quarry.llm.ngram_lm import op7_lm_score
 from quarry.llm.quality import op10_quality
 from quarry.llm.toxicity import op8_toxicity
+from quarry.llm.voronoi import OP3_SQL, op3_voronoi
+from quarry.llm.warc import op1_warc
 
-Q = {f.__name__: f for f in (op2_chat_format, op4_decontaminate, op5_licenses, op6_bpe, op7_lm_score, op8_toxicity,
+Q = {f.__name__: f for f in (op1_warc, op2_chat_format, op3_voronoi, op4_decontaminate, op5_licenses, op6_bpe, op7_lm_score, op8_toxicity,
                               op9_near_duplicates, op10_quality)}
 
-SQL: dict[str, str] = {"op2_chat_format": OP2_SQL}
+SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_voronoi": OP3_SQL}
