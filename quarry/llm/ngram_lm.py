@@ -188,17 +188,18 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["range", "block", "total", "held", "n", "v", "n_rest", "v_rest"])
 
 
-def _counts(texts: bytes, answers: pd.DataFrame):
-    """A block again with the counts it asked for: (ids, use, block, total of ..., held of ...)."""
+def _counts(texts: bytes, answers: pd.DataFrame, rest: bool):
+    """A block again with the counts it asked for, of all training texts or of the ``rest``
+    without the held-out ones: (ids, use, sizes, counts of words, contexts, pairs)."""
     ids, use, raws = _load(texts)
     own = Tokens()(raws)
     words, contexts, pairs = _key_table(own)
     keys = np.unique(np.concatenate([words, pairs, contexts]))
     answers = answers.sort_values("range")
-    total = np.concatenate([_unpack_counts(c) for c in answers["total"]])
-    held = np.concatenate([_unpack_counts(c) for c in answers["held"]])
-    place = [np.searchsorted(keys, k) for k in (words, contexts, pairs)]
-    return ids, use, own[3], [total[p] for p in place], [(total - held)[p] for p in place]
+    counts = np.concatenate([_unpack_counts(c) for c in answers["total"]])
+    if rest:
+        counts = counts - np.concatenate([_unpack_counts(c) for c in answers["held"]])
+    return ids, use, own[3], [counts[np.searchsorted(keys, k)] for k in (words, contexts, pairs)]
 
 
 def estimates(word, context, pair, n):
@@ -211,7 +212,7 @@ def _grid(n: int):
     def run(key, texts, answers):
         if not len(texts):
             return pd.DataFrame({"bucket": [], "pair": [], "word": [], "tokens": []}, dtype=np.int64)
-        _, _, _, _, (w, c, p) = _counts(texts["texts"].iat[0], answers)
+        _, _, _, (w, c, p) = _counts(texts["texts"].iat[0], answers, rest=True)
         bucket, p2, p1 = estimates(w, c, p, n)
         cell = lambda x: np.where(x > 0, np.round(GRID * np.log2(np.maximum(x, 1e-300))), 1).astype(np.int64)
         out = pd.DataFrame({"bucket": bucket, "pair": cell(p2), "word": cell(p1), "tokens": 1})
@@ -241,9 +242,9 @@ def _score(n: int, v: int, weights: np.ndarray):
     def run(key, texts, answers):
         if not len(texts):
             return pd.DataFrame(columns=["doc_id", "use", "n_tokens", "n_known", "base_score", "score"])
-        ids, use, sizes, (w, c, p), _ = _counts(texts["texts"].iat[0], answers)
+        ids, use, sizes, (w, c, p) = _counts(texts["texts"].iat[0], answers, rest=False)
         bucket, p2, p1 = estimates(w, c, p, n)
-        mixed = (weights[bucket] * np.stack([p2, p1, np.full(len(w), 1 / (v + 1))], 1)).sum(1)
+        mixed = weights[bucket, 0] * p2 + weights[bucket, 1] * p1 + weights[bucket, 2] / (v + 1)
         base = np.log10((w + 0.1) / (n + 0.1 * (v + 1)))
         starts = np.cumsum(sizes) - sizes
         by_text = lambda x: np.add.reduceat(x, starts)
