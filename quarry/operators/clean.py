@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
+from quarry.session import cut_lineage
 
 
 def drop_all_null(df: DataFrame) -> DataFrame:
@@ -119,12 +120,11 @@ def group_size(df: DataFrame, key: str, out: str = "group_size") -> DataFrame:
     """Group size attached to every row (F1).
 
     Computed as a partial aggregate joined back on the key rather than a
-    window: a hot key is pre-aggregated map-side, and the join side carrying
-    the hot key is split by AQE's skew-join handling instead of sorting a
-    third of the data in one window task.
+    window: a hot key is pre-aggregated map-side.  The sizes are checkpointed
+    first: only then does AQE split the join side that carries the hot key.
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias(out))
-    return df.join(sizes, key, "left")
+    return df.join(cut_lineage(sizes), key, "left")
 
 
 def drop_null_rows(df: DataFrame, subset) -> DataFrame:

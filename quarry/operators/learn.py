@@ -145,26 +145,6 @@ def tree_predict(df: DataFrame, features, tree, out: str = "prediction") -> Data
     return df.withColumn(out, expr(1))
 
 
-def render_tree(tree, names=None) -> str:
-    """Indented text form of a split table."""
-    by = {t["node"]: t for t in tree}
-    lines = []
-
-    def walk(nd, pad):
-        t = by[nd]
-        if t["feature"] is None or (2 * nd) not in by:
-            lines.append(f"{pad}Predict: {t['value']}")
-            return
-        f = names[t["feature"]] if names else f"Feature {t['feature']}"
-        lines.append(f"{pad}{f} >= {t['threshold']}?")
-        lines.append(f"{pad}--> True:")
-        walk(2 * nd, pad + "  ")
-        lines.append(f"{pad}--> False:")
-        walk(2 * nd + 1, pad + "  ")
-    walk(1, "")
-    return "\n".join(lines)
-
-
 # ----------------------------------------------------------- MLlib models
 def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
     """Feature columns → one ML vector column."""
@@ -354,15 +334,15 @@ def permutation_importance(df: DataFrame, id_col: str, features, label: str, sco
 
 
 # -------------------------------------------------------------------- K14
-def text_classifier(docs: DataFrame, tokens: str, label: str, num_features: int = 1 << 18,
-                    max_iter: int = 100):
-    """Token arrays → hashed term frequencies → IDF → logistic regression, one
+def text_classifier(docs: DataFrame, tokens: str, label: str, max_iter: int = 100):
+    """Token arrays → term counts over the whole vocabulary → IDF → logistic regression, one
     MLlib pipeline fitted on the labelled rows (K14: the scoring side of the
     reference's fine-tuned text classifier, re-aimed)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF
-    pipe = Pipeline(stages=[HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=num_features),
+    from pyspark.ml.feature import IDF, CountVectorizer
+    terms = docs.select(F.explode(tokens).alias("term")).distinct().count()
+    pipe = Pipeline(stages=[CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=max(terms, 1)),
                             IDF(inputCol="_tf", outputCol="_tfidf"),
                             LogisticRegression(featuresCol="_tfidf", labelCol=label, maxIter=max_iter)])
     return pipe.fit(docs.where(F.col(label).isNotNull())

@@ -121,10 +121,9 @@ def aggregate_neighbors(nodes: DataFrame, edges: DataFrame, id_col: str, vec: st
 
 
 def drop_edges(edges: DataFrame, p: float = 0.2, salt: str = "drop") -> DataFrame:
-    """Drop undirected edges with probability ``p`` (hash-decided, so both
-    directions agree), then make the graph symmetric (K18)."""
-    und = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")) \
-        .where(F.col("a") != F.col("b")).distinct()
+    """Keep the edges with src < dst, drop each with probability ``p`` (decided by
+    a hash), then make the graph symmetric (K18)."""
+    und = edges.where(F.col("src") < F.col("dst")).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     kept = und.where(hash_unit(F.concat_ws("-", "a", "b"), salt) >= F.lit(p))
     both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
                              F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
@@ -163,7 +162,8 @@ def smote(df: DataFrame, id_col: str, vec: str, label: str, minority_value, rati
     s = j.join(ranked.select("_r", F.col(id_col).alias("src"), F.col(vec).alias("x")), "_r")
     s = s.join(nb.select("src", "rank", "dst"), ["src", "rank"])
     s = s.join(mino.select(F.col(id_col).alias("dst"), F.col(vec).alias("y")), "dst")
-    new_vec = F.zip_with("x", "y", lambda a, b: a + F.col("u") * (b - a))
+    wide = lambda c: F.col(c).cast("array<double>")  # noqa: E731 - no rounding to float in between
+    new_vec = F.zip_with(wide("x"), wide("y"), lambda a, b: a + F.col("u") * (b - a))
     syn = s.select((F.lit(max_id) + 1 + F.col("j")).alias(id_col), new_vec.alias(vec),
                    F.lit(minority_value).alias(label), F.lit(1).alias("synthetic"))
     out_cols = [id_col, vec, label, "synthetic"]

@@ -3,8 +3,9 @@
 Tokenising, stop-word filtering and encoding are JVM expressions over
 arrays (``regexp_extract_all``, ``filter``, ``transform``) — no Python per
 row.  Corpus-level statistics use the *long* form ``(doc, term, tf)``:
-document frequencies are partial aggregates, and a term present in every
-document (a skewed join key) is handled by AQE's skew-join splitting.
+document frequencies are partial aggregates, checkpointed before they are
+joined back, so that AQE can split the side of a term present in every
+document (it cannot where an aggregate stands between shuffle and join).
 """
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.plans.ranking import row_number
+from quarry.session import cut_lineage
 
 # The standard English stop-word list (179 words) used by the
 # reference's NLP toolkit.
@@ -108,7 +110,7 @@ def tfidf(counts: DataFrame, doc: str, n_docs: int | None = None) -> DataFrame:
     """tf · log2(N/df), L2-normalised per document; zero weights dropped."""
     N = n_docs if n_docs is not None else counts.select(doc).distinct().count()
     dfreq = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    w = counts.join(dfreq, "term").withColumn(
+    w = counts.join(cut_lineage(dfreq), "term").withColumn(
         "_w", F.col("tf") * F.log2(F.lit(float(N)) / F.col("_df")))
     w = w.where(F.abs(F.col("_w")) > 1e-12)
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
@@ -143,7 +145,8 @@ def encode_pad(df: DataFrame, doc: str, tokens: str, vocab: DataFrame, max_len:
     a join on (term) over exploded positions, then re-assembled per document
     in position order."""
     # truncation to max_len is the feature: later positions never get an id
-    ex = explode_tokens(df, tokens, doc, pos="pos").where(F.col("pos") < max_len - 2)
+    cut = df.withColumn(tokens, F.slice(tokens, 1, max_len - 2))
+    ex = explode_tokens(cut, tokens, doc, pos="pos")
     ids = ex.join(vocab, "term", "left").select(doc, "pos", F.coalesce("id", F.lit(1)).alias("id"))
     per = ids.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
     body = F.slice(F.transform(F.col("_p"), lambda s: s["id"]), 1, max_len - 2)

@@ -366,7 +366,7 @@ Q["j6_rfe"] = j6_rfe
 def k14_text_scoring(spark, sf):
     from quarry.operators import text as T
     d = T.preprocess(fixture(spark, sf, "fx_rev"), "content", "tokens")
-    model = LN.text_classifier(d, "tokens", "quality", num_features=1 << 16, max_iter=50)
+    model = LN.text_classifier(d, "tokens", "quality", max_iter=50)
     return LN.score_texts(model, d, "doc_id")
 
 

@@ -90,7 +90,7 @@ def _agg_q(how):
         v = _vec(spark, sf)
         g = N.knn(v, None, 5, "vec_id", "embedding")
         a = N.aggregate_neighbors(v, g, "vec_id", "embedding", how)
-        return a.select("vec_id", F.transform("agg", lambda x: F.round(x, 6)).alias("agg"))
+        return a.select("vec_id", F.posexplode("agg").alias("pos", "agg"))
     return q
 
 
@@ -108,7 +108,7 @@ ew AS (SELECT e.src, e.dst, 1.0 / SQRT(ds.d * dd.d) AS w FROM e JOIN deg ds ON d
     agg = "AVG(x * w)" if how == "mean" else "SUM(x * w)"
     return base + f""",
 per AS (SELECT ew.dst, lv.pos, {agg} AS val FROM ew JOIN lv ON lv.node = ew.src GROUP BY ew.dst, lv.pos)
-SELECT dst AS vec_id, list(ROUND(val, 6) ORDER BY pos) AS agg FROM per GROUP BY dst"""
+SELECT dst AS vec_id, CAST(pos - 1 AS INTEGER) AS pos, val AS agg FROM per"""
 
 
 for _how in ["mean", "sum", "gcn"]:
@@ -124,18 +124,16 @@ def k18_drop_edges(spark, sf):
 
 Q["k18_drop_edges"] = k18_drop_edges
 SQL["k18_drop_edges"] = _V + ", g AS (" + _knn_sql(5) + """),
-u AS (SELECT DISTINCT LEAST(src, dst) AS a, GREATEST(src, dst) AS b FROM g WHERE src <> dst),
+u AS (SELECT DISTINCT src AS a, dst AS b FROM g WHERE src < dst),
 k AS (SELECT a, b FROM u WHERE ('0x' || substr(md5('drop' || CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR)), 1, 8))::BIGINT
                               / 4294967296.0 >= 0.2)
 SELECT a AS src, b AS dst FROM k UNION ALL SELECT b, a FROM k"""
 
 
 def h6_smote(spark, sf):
-    v = _vec(spark, sf).select("vec_id", "embedding", "minority")
+    v = _vec(spark, sf).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "minority")
     s = N.smote(v, "vec_id", "embedding", "minority", 1, ratio=0.5, k=5)
-    return s.select("vec_id", F.transform(F.col("embedding").cast("array<double>"),
-                                          lambda x: F.round(x, 4)).alias("embedding"),
-                    "minority", "synthetic")
+    return s.select("vec_id", F.posexplode("embedding").alias("pos", "value"), "minority", "synthetic")
 
 
 Q["h6_smote"] = h6_smote
@@ -152,6 +150,6 @@ syn AS (SELECT (SELECT mx FROM cnt) + 1 + js.j AS vec_id,
                list_transform(list_zip(rk.e, y.e), lambda t: t[1] + u * (t[2] - t[1])) AS e
         FROM js JOIN rk ON rk.r = js.r JOIN nb ON nb.src = rk.vec_id AND nb.rank = js.rank
         JOIN m y ON y.vec_id = nb.dst)
-SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: ROUND(x, 4)) AS embedding, minority, 0 AS synthetic FROM fx_vec
+SELECT vec_id, CAST(generate_subscripts(e, 1) - 1 AS INTEGER) AS pos, unnest(e) AS value, minority, 0 AS synthetic FROM v
 UNION ALL
-SELECT vec_id, list_transform(e::FLOAT[]::DOUBLE[], lambda x: ROUND(x, 4)), 1, 1 FROM syn"""
+SELECT vec_id, CAST(generate_subscripts(e, 1) - 1 AS INTEGER), unnest(e), 1, 1 FROM syn"""

@@ -32,6 +32,17 @@ Q["a2_a3_semicolon_typed"] = a2_a3_semicolon_typed
 SQL["a2_a3_semicolon_typed"] = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders"
 
 
+def a2_inferred(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    path = io.write_csv(o, io.scratch_path(spark, "orders-inferred"))
+    c = io.read_csv(spark, path, infer=True)
+    return c.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_totalprice", "o_orderstatus")
+
+
+Q["a2_inferred"] = a2_inferred
+SQL["a2_inferred"] = "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders"
+
+
 def a4_points(spark, sf):
     n = fixture(spark, sf, "fx_num")
     path = io.write_points(n, io.scratch_path(spark, "points"), ["x1", "x3", "label"])

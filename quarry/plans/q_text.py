@@ -109,7 +109,7 @@ GROUP BY word ORDER BY count DESC, word LIMIT 200"""
 def g8_encode_pad(spark, sf):
     c = _clean(spark, sf)
     voc = T.vocabulary(c, "tokens")
-    e = T.encode_pad(c, "doc_id", "tokens", voc, max_len=64)
+    e = T.encode_pad(c, "doc_id", "tokens", voc, max_len=512)
     return e.select("doc_id", "input_ids", "attention_mask")
 
 
@@ -120,10 +120,10 @@ voc AS (SELECT term, ROW_NUMBER() OVER (ORDER BY term) + 3 AS id
         FROM (SELECT DISTINCT unnest(tokens) AS term FROM c)),
 ex AS (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM c),
 per AS (SELECT ex.doc_id, list(voc.id ORDER BY ex.pos) AS ids FROM ex JOIN voc USING (term)
-        WHERE ex.pos <= 62 GROUP BY ex.doc_id),
+        WHERE ex.pos <= 510 GROUP BY ex.doc_id),
 seq AS (SELECT c.doc_id, list_concat([2], COALESCE(per.ids, []), [3]) AS s FROM c LEFT JOIN per USING (doc_id))
-SELECT doc_id, list_resize(s, 64, 0) AS input_ids,
-       list_transform(list_resize(s, 64, 0), lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END) AS attention_mask
+SELECT doc_id, list_resize(s, 512, 0) AS input_ids,
+       list_transform(list_resize(s, 512, 0), lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END) AS attention_mask
 FROM seq"""
 
 

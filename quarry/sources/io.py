@@ -24,14 +24,19 @@ def all_string_schema(columns) -> T.StructType:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             columns=None, sep: str = ",", header: bool = True) -> DataFrame:
+             columns=None, sep: str = ",", header: bool = True,
+             infer: bool = False, sampling: float = 1.0) -> DataFrame:
     """CSV with header.  With ``schema`` the types are applied by the reader
-    (A2, A3); with only ``columns`` every column is read as string (A1)."""
+    (A2, A3); with only ``columns`` every column is read as string (A1);
+    with ``infer`` the reader finds the types in a first pass over the share
+    ``sampling`` of the rows (A2)."""
     r = spark.read.option("header", header).option("sep", sep)
     if schema is None and columns is not None:
         schema = all_string_schema(columns)
     if schema is not None:
         r = r.schema(schema)
+    elif infer:
+        r = r.option("inferSchema", True).option("samplingRatio", sampling)
     return r.csv(path)
 
 
