@@ -113,7 +113,7 @@ def _extract(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Column | None = None,
-        max_rows: int = 6000, steps: int = 150, rate: float = 0.05, ridge: float = 1e-3,
+        max_rows: int = 2500, steps: int = 150, rate: float = 0.05, ridge: float = 1e-3,
         seed: int = 7) -> Model:
     """Fit on at most about ``max_rows`` labelled rows (a bounded sample on the driver)."""
     sample = labelled_sample(docs, labels, label, F.lit(True) if train is None else train, max_rows)
@@ -140,17 +140,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train: Colum
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in state]
     for step in range(1, steps + 1):
         b, w, v = state
-        gathered = [v[s:, f][bucket] for f in range(RANK)]
-        sums = np.stack([stats @ v[:s, f] + by_row(value * gathered[f]) for f in range(RANK)], 1)
-        own = (stats ** 2) @ (v[:s] ** 2) + np.stack([by_row((value * g) ** 2) for g in gathered], 1)
+        parts = []
+        for f in range(RANK):
+            g = value * v[s:, f][bucket]
+            parts.append((by_row(g), by_row(g * g)))
+        sums = stats @ v[:s] + np.stack([a for a, _ in parts], 1)
+        own = (stats ** 2) @ (v[:s] ** 2) + np.stack([b for _, b in parts], 1)
         z = b[0] + stats @ w[:s] + by_row(value * w[s:][bucket]) + 0.5 * (sums ** 2 - own).sum(1)
         d = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(y)
         dx = d[row] * value
         gw = np.concatenate([stats.T @ d, by_word(dx)]) + ridge * w / len(y)
-        gv = np.empty_like(v)
+        gv, squared = np.empty_like(v), by_word(dx * value)
         for f in range(RANK):
             gv[:s, f] = stats.T @ (d * sums[:, f]) - (stats ** 2).T @ d * v[:s, f]
-            gv[s:, f] = by_word(dx * sums[row, f]) - by_word(dx * value) * v[s:, f]
+            gv[s:, f] = by_word(dx * sums[:, f][row]) - squared * v[s:, f]
         gv += ridge * v / len(y)
         for p, g, (m1, m2) in zip(state, (np.array([d.sum()]), gw, gv), moments):
             m1 += 0.1 * (g - m1)

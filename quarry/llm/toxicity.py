@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import alnum_words, crc_mod, table, utf8
+from quarry.llm.common import alnum_words, crc_mod, table, utf8, written
 
 #: Identity terms by group; a term's counterfactual is the next one of its group.
 IDENTITY_GROUPS = (
@@ -112,51 +112,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column | None = None,
-        max_rows: int = 8000, max_features: int = 800, min_z: float = 3.5,
+        max_rows: int = 8000, max_features: int = 300, min_z: float = 3.5,
         ridge: float = 1.0, fairness: float = 10.0, groups=IDENTITY_GROUPS) -> Model:
-    """Fit on at most about ``max_rows`` labelled rows (their features, gathered on the
-    driver: a bounded sample); everything else about the corpus is read in full."""
+    """Fit on at most about ``max_rows`` labelled rows (a bounded sample). Features are
+    counted and chosen on Spark; the driver gets the rows' chosen features only."""
     pairs = swaps(groups)
     sample = labelled_sample(docs, labels, label, F.lit(True) if train is None else train, max_rows)
-    rows = sample.mapInPandas(_extract(pairs), "label int, x array<int>, other array<int>").toPandas()
-    y = rows["label"].to_numpy(float) if len(rows) else np.zeros(0)
-    prior = (y.sum() + 0.5) / (len(y) + 1)
-    if len(y) == 0 or y.min() == y.max():
+    rows = written(sample.mapInPandas(_extract(pairs), "label int, x array<int>, other array<int>"), "toxicity-sample")
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    share, prior = positive / max(n, 1), (positive + 0.5) / (n + 1)
+    if positive in (0, n):
         return Model(math.log(prior / (1 - prior)))
-    xs, others = list(rows["x"]), list(rows["other"])
-    size = 1 << HASH_BITS
-    df1 = np.bincount(np.concatenate([x for x, t in zip(xs, y) if t]), minlength=size).astype(float)
-    df = np.bincount(np.concatenate(xs), minlength=size).astype(float)
     # z score of the share of positives among the rows with the feature
-    share, n = y.mean(), len(y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = (df1 - df * share) / np.sqrt(df * share * (1 - share) * np.maximum(1 - df / n, 1 / n))
-    z[(df < 2) | ~np.isfinite(z)] = 0
-    order = np.argsort(-np.abs(z), kind="stable")[:max_features]
-    chosen = set(order[np.abs(z[order]) >= min_z].tolist())
-    for a in pairs:
-        chosen |= {f for f in word_features(a) if df[f]}
-    chosen = np.array(sorted(chosen), np.int64)
-    column = np.full(size, -1, np.int64)
-    column[chosen] = np.arange(len(chosen))
+    df = F.col("df")
+    z = (F.col("hits") - df * share) / F.sqrt(df * share * (1 - share) * F.greatest(1 - df / n, F.lit(1 / n)))
+    counts = (rows.select("label", F.explode("x").alias("feature")).groupBy("feature")
+              .agg(F.count("*").cast("double").alias("df"), F.sum("label").alias("hits")))
+    best = (counts.where(df >= 2).withColumn("z", F.abs(z)).where(F.col("z") >= min_z)
+            .orderBy(F.desc("z"), "feature").limit(max_features).select("feature").collect())
+    chosen = np.array(sorted({r["feature"] for r in best} | set().union(*map(word_features, pairs))), np.int64)
+    column = {int(f): i for i, f in enumerate(chosen)}
+    only = lambda c: F.filter(c, lambda f: f.isin(*map(int, chosen)))
+    found = rows.select("label", only("x").alias("x"), only("other").alias("other")).toPandas()
+    y, xs, others = found["label"].to_numpy(float), list(found["x"]), list(found["other"])
 
     def matrix(sets) -> np.ndarray:
-        m = np.zeros((len(sets), len(chosen)))
+        m = np.zeros((len(sets), len(chosen) + 1))
         for i, s in enumerate(sets):
-            c = column[s]
-            m[i, c[c >= 0]] = 1
+            m[i, [column[f] for f in s]] = 1
         return m
 
-    x = np.hstack([matrix(xs), np.ones((n, 1))])
+    x = matrix(xs)
+    x[:, -1] = 1
     swapped = [i for i, o in enumerate(others) if o is not None]
-    gap = np.hstack([x[swapped, :-1] - matrix([others[i] for i in swapped]), np.zeros((len(swapped), 1))])
+    gap = x[swapped] - matrix([others[i] for i in swapped])
+    gap[:, -1] = 0
     penalty = np.diag([ridge] * len(chosen) + [1e-6]) + 2 * fairness * gap.T @ gap
     w = np.zeros(x.shape[1])
     w[-1] = math.log(prior / (1 - prior))
     loss = math.inf
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
+        curve = sum((x[i:i + 500] * (p * (1 - p))[i:i + 500, None]).T @ x[i:i + 500] for i in range(0, len(x), 500))
+        step = np.linalg.solve(curve + penalty, x.T @ (p - y) + penalty @ w)
         rate = 1.0
         while rate > 1e-4:
             new = w - rate * step
