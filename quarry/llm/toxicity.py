@@ -130,7 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column
               .agg(F.count("*").cast("double").alias("df"), F.sum("label").alias("hits")))
     best = (counts.where(df >= 2).withColumn("z", F.abs(z)).where(F.col("z") >= min_z)
             .orderBy(F.desc("z"), "feature").limit(max_features).select("feature").collect())
-    chosen = np.array(sorted({r["feature"] for r in best} | set().union(*map(word_features, pairs))), np.int64)
+    # identity terms that occur; one that does not could only share the weight of its partner
+    named = sorted(set().union(*map(word_features, pairs)))
+    best += counts.where(F.col("feature").isin(named)).select("feature").collect()
+    chosen = np.array(sorted({r["feature"] for r in best}), np.int64)
     column = {int(f): i for i, f in enumerate(chosen)}
     only = lambda c: F.filter(c, lambda f: f.isin(*map(int, chosen)))
     found = rows.select("label", only("x").alias("x"), only("other").alias("other")).toPandas()
