@@ -17,37 +17,36 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, minhash, quality, toxicity
-from quarry.llm.common import crc_mod, scratch_dir, table
-from quarry.session import ship_package
+from quarry.llm.common import crc_mod, prepared, scratch_dir, table
 
 
+@prepared
 def drop_toxic(spark, docs, sf_dir):
-    ship_package(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", crc_mod("doc_id", 5) != 0)
     return (toxicity.scored(docs, model, into="__toxic").where(F.col("__toxic") < 0.5)
             .select(*docs.columns))
 
 
+@prepared
 def drop_low_quality(spark, docs, sf_dir):
-    ship_package(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", crc_mod("doc_id", 3) != 1)
     return (quality.scored(docs, model, into="__quality").where(F.col("__quality") >= 0.5)
             .select(*docs.columns))
 
 
+@prepared
 def drop_near_duplicates(spark, docs, sf_dir):
-    ship_package(spark)
     return minhash.deduplicated(docs)
 
 
+@prepared
 def drop_contaminated(spark, docs, sf_dir):
-    ship_package(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@prepared
 def to_tokens(spark, docs, sf_dir):
     import public_tokenizers
-    ship_package(spark)
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
 
 

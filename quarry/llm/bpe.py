@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import table
 
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class MergeAutomaton:

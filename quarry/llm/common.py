@@ -2,12 +2,13 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import ensure_checkpoint_dir
+from quarry.session import ensure_checkpoint_dir, ship_package
 
 #: ASCII letters lower-cased, every byte outside 0-9, a-z and 0x80-0xFF a blank.
 WORD_TABLE = bytes(
@@ -18,6 +19,23 @@ WORD_TABLE = bytes(
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Words whose codes a task remembers at a time; beyond it the memory is cleared and filled anew.
+WORD_CACHE = 100_000
+#: Size of the batches that go to Python, unless the session names its own: texts may be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def prepared(fn):
+    """``fn(spark, ...)`` with the package on the workers and small batches to Python."""
+    @functools.wraps(fn)
+    def run(spark, *args, **kwargs):
+        ship_package(spark)
+        for key, value in BATCHES.items():
+            if spark.conf.get(key, None) is None:
+                spark.conf.set(key, value)
+        return fn(spark, *args, **kwargs)
+    return run
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import space_words, table, utf8, written
+from quarry.llm.common import WORD_CACHE, space_words, table, utf8, written
 from quarry.llm.components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -52,7 +52,7 @@ class Shingler:
         self.k, self.known = shingle, {}
 
     def word(self, w: bytes) -> int:
-        if len(self.known) >= 400_000:
+        if len(self.known) >= WORD_CACHE:
             self.known.clear()
         found = self.known[w] = xxhash.xxh3_64_intdigest(w)
         return found

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_mod, space_words, table, utf8, written
+from quarry.llm.common import WORD_CACHE, crc_mod, space_words, table, utf8, written
 
 BLOCK_BYTES = 12 << 20      # text bytes of a block
 BUCKETS = 64                # context-frequency buckets: binary digits of a long
@@ -54,7 +54,7 @@ class Tokens:
         self.known: dict[bytes, int] = {}
 
     def word(self, w: bytes) -> int:
-        if len(self.known) >= 400_000:
+        if len(self.known) >= WORD_CACHE:
             self.known.clear()
         found = self.known[w] = xxhash.xxh3_64_intdigest(w)
         return found

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import alnum_words, crc_mod, table, utf8
+from quarry.llm.common import WORD_CACHE, alnum_words, crc_mod, table, utf8
 from quarry.llm.toxicity import labelled_sample
 
 HASH_BITS = 14
@@ -65,7 +65,7 @@ class Reader:
         self.known: dict[bytes, int] = {}
 
     def code(self, word: bytes) -> int:
-        if len(self.known) >= 400_000:
+        if len(self.known) >= WORD_CACHE:
             self.known.clear()
         found = self.known[word] = zlib.crc32(word)
         return found

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from quarry.llm.bpe import op6_bpe
 from quarry.llm.chat import OP2_SQL, op2_chat_format
+from quarry.llm.common import prepared
 from quarry.llm.decontaminate import op4_decontaminate
 from quarry.llm.licenses import op5_licenses
 from quarry.llm.minhash import op9_near_duplicates
@@ -12,7 +13,7 @@ from quarry.llm.toxicity import op8_toxicity
 from quarry.llm.voronoi import OP3_SQL, op3_voronoi
 from quarry.llm.warc import op1_warc
 
-Q = {f.__name__: f for f in (op1_warc, op2_chat_format, op3_voronoi, op4_decontaminate, op5_licenses, op6_bpe, op7_lm_score, op8_toxicity,
+Q = {f.__name__: prepared(f) for f in (op1_warc, op2_chat_format, op3_voronoi, op4_decontaminate, op5_licenses, op6_bpe, op7_lm_score, op8_toxicity,
                               op9_near_duplicates, op10_quality)}
 
 SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_voronoi": OP3_SQL}

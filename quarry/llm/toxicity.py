@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import alnum_words, crc_mod, table, utf8, written
+from quarry.llm.common import WORD_CACHE, alnum_words, crc_mod, table, utf8, written
 
 #: Identity terms by group; a term's counterfactual is the next one of its group.
 IDENTITY_GROUPS = (
@@ -68,7 +68,7 @@ class Model:
 
     def scorer(self):
         """Score of a text's bytes; the weights of a word's features are looked up once."""
-        weights, bias, limit = self.weights, self.bias, 400_000
+        weights, bias, limit = self.weights, self.bias, WORD_CACHE
         known: dict[bytes, tuple[int, ...]] = {}
 
         def score(raw: bytes | None) -> float:
