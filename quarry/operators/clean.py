@@ -34,9 +34,13 @@ def impute_mean(df: DataFrame, cols, fit_on: DataFrame | None = None) -> DataFra
 
 def modes(df: DataFrame, cols) -> dict:
     """Most frequent non-null value per column; ties go to the smallest value.
-    One pass for all columns (Spark's ``mode`` aggregate)."""
-    row = df.agg(*[F.mode(F.col(c), True).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    Values are counted on Spark per column, so no task holds all values of one."""
+    found = {}
+    for c in cols:
+        top = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+               .orderBy(F.desc("n"), "v").first())
+        found[c] = top["v"] if top else None
+    return found
 
 
 def impute_mode(df: DataFrame, cols, fit_on: DataFrame | None = None) -> DataFrame:

@@ -126,7 +126,7 @@ def centroid_scores(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     spark = df.sparkSession
     cen = centroids(df, vec, cluster)
     pts = df.select(cluster, F.col(vec).cast("array<double>").alias("_v")).join(
-        cen.select(cluster, "centroid"), cluster)
+        F.broadcast(cen.select(cluster, "centroid")), cluster)      # k rows, collected below as well
     d = _dist(F.col("_v"), F.col("centroid"))
     per = pts.groupBy(cluster).agg(F.sum(d * d).alias("ss"), F.avg(d).alias("spread"))
     rows = per.join(cen, cluster).orderBy(cluster).collect()   # k rows of model state

@@ -1,16 +1,16 @@
 """Table profiles and summary statistics.
 
-All statistics are single aggregate jobs; exact quantiles use the
-distributed ranking in :mod:`quarry.plans.ranking` (range-partitioned sort +
-boundary offsets) instead of Spark's ``percentile`` aggregate, which would
-buffer a whole column inside one task.
+All statistics are single aggregate jobs; exact quantiles count equal values
+first and add up the counts with :mod:`quarry.plans.ranking`, instead of
+Spark's ``percentile`` aggregate, which would buffer a whole column inside one
+task.  A value that most rows share is one counted row.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans.ranking import row_number
+from quarry.plans.ranking import prefix_sums
 
 
 def catalog(spark: SparkSession, tables: dict) -> DataFrame:
@@ -22,27 +22,36 @@ def catalog(spark: SparkSession, tables: dict) -> DataFrame:
         rows, "table_name string, column_name string, position int, data_type string")
 
 
+def _ref(df: DataFrame, name: str):
+    """The column of that very name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _unfold(df: DataFrame, names, rows, keep=()) -> DataFrame:
+    """``keep`` and one row of ``names`` per tuple of ``rows`` (text or columns)."""
+    as_col = lambda x: F.lit(x) if isinstance(x, str) else x
+    cells = F.explode(F.array(*[F.struct(*[as_col(x).alias(n) for n, x in zip(names, r)]) for r in rows]))
+    return df.select(*keep, cells.alias("__cell")).select(*keep, *[F.col("__cell")[n].alias(n) for n in names])
+
+
 def _stack(df: DataFrame, cols, value_type: str = "double") -> DataFrame:
     """Long form (column, value) of the chosen columns — one narrow pass."""
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS {value_type})" for c in cols)
-    return df.selectExpr(f"stack({len(cols)}, {pairs}) AS (column, value)")
+    return _unfold(df, ["column", "value"], [(c, _ref(df, c).cast(value_type)) for c in cols])
 
 
 def null_counts(df: DataFrame) -> DataFrame:
     """(column, null_count) — one aggregate over all columns."""
-    row = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in df.columns])
-    pairs = ", ".join(f"'{c}', `{c}`" for c in df.columns)
-    return row.selectExpr(f"stack({len(df.columns)}, {pairs}) AS (column, null_count)")
+    row = df.agg(*[F.count_if(_ref(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    return _unfold(row, ["column", "null_count"], [(c, F.col(f"n{i}")) for i, c in enumerate(df.columns)])
 
 
 def column_profile(df: DataFrame) -> DataFrame:
     """(column, data_type, non_null, rows) — ``info()`` as a table."""
-    aggs = [F.count(F.lit(1)).alias("_rows")] + [F.count(F.col(c)).alias(c) for c in df.columns]
-    row = df.agg(*aggs)
-    types = dict(df.dtypes)
-    pairs = ", ".join(f"'{c}', '{types[c]}', `{c}`" for c in df.columns)
-    return row.selectExpr(f"stack({len(df.columns)}, {pairs}) AS (column, data_type, non_null)",
-                          "_rows AS rows")
+    row = df.agg(F.count(F.lit(1)).alias("rows"),
+                 *[F.count(_ref(df, c)).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    cells = [(c, t, F.col(f"n{i}")) for i, (c, t) in enumerate(df.dtypes)]
+    return _unfold(row, ["column", "data_type", "non_null"], cells, ["rows"]).select(
+        "column", "data_type", "non_null", "rows")
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -61,19 +70,18 @@ def quantiles(df: DataFrame, cols, probs=(0.25, 0.5, 0.75), by=None) -> DataFram
     (and per group when ``by`` is given).
 
     The value at 1-based position 1+(n-1)·p, interpolated between the two
-    neighbouring order statistics.  Distributed: values are ranked per
-    (group, column) by a range-partitioned sort; the small target table
-    (groups × columns × probs × 2 rows) selects the rows at the needed ranks.
-    Returns ([by,] column, p, value).
+    neighbouring order statistics.  Distributed: equal values are counted
+    (map-side), the counts are added up in value order per (group, column),
+    and the target table (groups × columns × probs × 2 rows) selects the
+    values whose rank interval holds a needed rank.  Returns ([by,] column, p, value).
     """
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS double)" for c in cols)
-    long = df.selectExpr(*[f"`{b}`" for b in by],
-                         f"stack({len(cols)}, {pairs}) AS (column, value)").where(
-        F.col("value").isNotNull())
+    long = _unfold(df, ["column", "value"], [(c, _ref(df, c).cast("double")) for c in cols],
+                   [_ref(df, b) for b in by]).where(F.col("value").isNotNull())
     keys = by + ["column"]
-    ranked = row_number(long, ["value"], keys, out="_r")
-    n = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = prefix_sums(counts, ["value"], ["_c"], keys, out_cols=["_hi"], rank_col=None)
+    n = ranked.groupBy(*keys).agg(F.max("_hi").alias("_n"))
     pos = n.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(float(p)).alias("p"), ((F.col("_n") - 1) * F.lit(float(p)) + 1).alias("pos"))
         for p in probs])).alias("t")).select(*keys, "t.p", "t.pos")
@@ -85,7 +93,7 @@ def quantiles(df: DataFrame, cols, probs=(0.25, 0.5, 0.75), by=None) -> DataFram
         *keys, "p", "t._r", "t.w").where(F.col("w") > 0)
     if not by:  # size fixed by the arguments: columns × probs × 2
         picks = F.broadcast(picks)
-    return (ranked.join(picks, keys + ["_r"])
+    return (ranked.join(picks, keys).where((F.col("_r") <= F.col("_hi")) & (F.col("_r") > F.col("_hi") - F.col("_c")))
             .groupBy(*keys, "p").agg(F.sum(F.col("value") * F.col("w")).alias("value")))
 
 
@@ -111,12 +119,10 @@ def describe(df: DataFrame, cols) -> DataFrame:
 
 def corr_matrix(df: DataFrame, cols) -> DataFrame:
     """Pearson correlation for every ordered column pair, one aggregate."""
-    aggs = [F.corr(a, b).alias(f"{i}_{j}") for i, a in enumerate(cols)
-            for j, b in enumerate(cols)]
-    row = df.agg(*aggs)
-    pairs = ", ".join(f"'{a}', '{b}', `{i}_{j}`" for i, a in enumerate(cols)
-                      for j, b in enumerate(cols))
-    return row.selectExpr(f"stack({len(cols) ** 2}, {pairs}) AS (col_a, col_b, corr)")
+    row = df.agg(*[F.corr(_ref(df, a), _ref(df, b)).alias(f"r{i}_{j}") for i, a in enumerate(cols)
+                   for j, b in enumerate(cols) if i <= j])     # symmetric: each pair once
+    return _unfold(row, ["col_a", "col_b", "corr"],
+                   [(a, b, F.col(f"r{min(i, j)}_{max(i, j)}")) for i, a in enumerate(cols) for j, b in enumerate(cols)])
 
 
 def histogram(df: DataFrame, col: str, bins: int = 5) -> DataFrame:
