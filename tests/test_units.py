@@ -395,3 +395,13 @@ def test_results_unchanged_by_repartition(spark, parts):
     g0 = sorted(tuple(r) for r in neighbors.knn(df.coalesce(1), None, 3, "id", "v")
                 .select("src", "dst", "rank").collect())
     assert g == g0
+
+
+# ------------------------------------------------------------------ profiles
+def test_profiles_with_odd_column_names_and_a_value_most_rows_share(spark):
+    from quarry.operators import profile as P
+    df = spark.createDataFrame([(0.0, 2.0)] * 30 + [(3.0, None), (5.0, 4.0)], ["it's", "_rows"])
+    assert {tuple(r) for r in P.null_counts(df).collect()} == {("it's", 0), ("_rows", 1)}
+    assert {tuple(r) for r in P.column_profile(df).collect()} == {("it's", "double", 32, 32), ("_rows", "double", 31, 32)}
+    got = {(r["column"], r["p"]): r["value"] for r in P.quantiles(df, ["it's", "_rows"], (0.5, 1.0)).collect()}
+    assert got == {("it's", 0.5): 0.0, ("it's", 1.0): 5.0, ("_rows", 0.5): 2.0, ("_rows", 1.0): 4.0}
