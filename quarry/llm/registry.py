@@ -13,7 +13,8 @@ from quarry.llm.toxicity import op8_toxicity
 from quarry.llm.voronoi import OP3_SQL, op3_voronoi
 from quarry.llm.warc import op1_warc
 
-Q = {f.__name__: prepared(f) for f in (op1_warc, op2_chat_format, op3_voronoi, op4_decontaminate, op5_licenses, op6_bpe, op7_lm_score, op8_toxicity,
+# op1 has few long batches by itself; small ones only cost it time
+Q = {"op1_warc": op1_warc} | {f.__name__: prepared(f) for f in (op2_chat_format, op3_voronoi, op4_decontaminate, op5_licenses, op6_bpe, op7_lm_score, op8_toxicity,
                               op9_near_duplicates, op10_quality)}
 
 SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_voronoi": OP3_SQL}
