@@ -13,7 +13,7 @@ from quarry.llm.toxicity import op8_toxicity
 from quarry.llm.voronoi import OP3_SQL, op3_voronoi
 from quarry.llm.warc import op1_warc
 
-# op1 has few long batches by itself; small ones only cost it time
+# op1 keeps the session's batch sizes
 Q = {"op1_warc": op1_warc} | {f.__name__: prepared(f) for f in (op2_chat_format, op3_voronoi, op4_decontaminate, op5_licenses, op6_bpe, op7_lm_score, op8_toxicity,
                               op9_near_duplicates, op10_quality)}
 
