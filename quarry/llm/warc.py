@@ -23,12 +23,12 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
-import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +37,8 @@ from quarry.llm.common import scratch_dir, table, utf8, written
 
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 REVISIT_HEAD = b"HTTP/1.1 304 Not Modified\r\n\r\n"
+#: Rows read from, and bytes gathered for, one exchange with Spark.
+SLICE_ROWS, FLUSH_BYTES = 64, 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -69,6 +71,34 @@ def dechunk(body: bytes) -> bytes | None:
         at = end + 4 + size
 
 
+def _rows(batches, names: list[str]):
+    """Tuples of the named columns; few rows at a time become Python values."""
+    for batch in batches:
+        columns = [batch.column(name) for name in names]
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield from zip(*(c.slice(start, SLICE_ROWS).to_pylist() for c in columns))
+
+
+def _batches(rows, schema: pa.Schema):
+    """Record batches of about FLUSH_BYTES; the last column is the large one."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"") + 200
+        if size >= FLUSH_BYTES:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
+
+
+_RECORD = pa.schema([("record", pa.binary())])
+
+
 def _record(kind: str, record_id: str, block: bytes, fields: list[tuple[str, object]]) -> bytes:
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), *fields, ("Content-Length", len(block))]
     text = "".join(f"{k}: {v}\r\n" for k, v in head if v is not None)
@@ -102,18 +132,17 @@ def _writer(segment_bytes: int, chunk_bytes: int, date: str):
                     ("WARC-Segment-Total-Length", len(block) if k == len(starts) else None)])
 
     def run(batches):
-        for pdf in batches:
-            for page, url, raw, refers in zip(pdf["page_id"], pdf["url"], pdf["raw"], pdf["refers_to"]):
-                rows = list(records(None if pd.isna(page) else int(page), url, raw or b"", None if pd.isna(refers) else int(refers)))
-                yield pd.DataFrame({"record": rows})
+        made = (record for row in _rows(batches, ["page_id", "url", "raw", "refers_to"])
+                for record in records(row[0], row[1], row[2] or b"", row[3]))
+        return _batches(((record,) for record in made), _RECORD)
     return run
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, print, refers_to) of the pages that repeat another page's payload."""
     raw = F.coalesce(utf8("html"), F.lit(b""))
-    own = (pages.where(F.col("page_id").isNotNull() & (F.length(raw) >= min_bytes))
-           .select(F.col("page_id").cast("long").alias("page_id"), F.sha2(raw, 256).alias("print")))
+    own = written(pages.where(F.col("page_id").isNotNull() & (F.length(raw) >= min_bytes))
+                  .select(F.col("page_id").cast("long").alias("page_id"), F.sha2(raw, 256).alias("print")), "warc-prints")
     classes = written(own.groupBy("print").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
                       .where("n > 1").select("print", "refers_to"), "warc-classes")
     return own.join(classes, "print").where("page_id <> refers_to").select("page_id", "print", "refers_to").distinct()
@@ -125,7 +154,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes
     raw = F.coalesce(utf8("html"), F.lit(b""))
     rows = (pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), raw.alias("raw"))
             .withColumn("print", F.sha2("raw", 256)).join(revisits(pages, min_bytes), ["page_id", "print"], "left"))
-    (rows.select("page_id", "url", "raw", "refers_to").mapInPandas(_writer(segment_bytes, chunk_bytes, date), "record binary")
+    (rows.select("page_id", "url", "raw", "refers_to").mapInArrow(_writer(segment_bytes, chunk_bytes, date), "record binary")
      .select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", records_per_file).text(path))
     return path
@@ -145,65 +174,87 @@ def split_records(data: bytes):
         at = end + 4 + size + 4
 
 
-_FIELDS = ["origin", "segment", "total", "kind", "page_id", "target", "digest", "length", "refers_to", "block"]
-_SCHEMA = ("origin string, segment int, total long, kind string, page_id long, target string, digest string, length long, "
-           "refers_to long, block binary")
+_HEAD = [("kind", pa.string()), ("page_id", pa.int64()), ("target", pa.string()), ("digest", pa.string()), ("length", pa.int64()),
+         ("refers_to", pa.int64())]
+_SEGMENT = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), *_HEAD, ("block", pa.binary())])
+_SEGMENT_SQL = ("origin string, segment int, total long, kind string, page_id long, target string, digest string, length long, "
+                "refers_to long, block binary")
+_PAGE = pa.schema([("page_id", pa.int64()), ("target", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+                   ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+_PAGE_SQL = ("page_id long, target string, payload_bytes long, payload_digest string, record_type string, refers_to long, "
+             "payload binary")
 
 
 def _number(text: str | None) -> int | None:
     return None if text is None else int(text)
 
 
-def _parse(batches):
-    for pdf in batches:
-        for content in pdf["content"]:
-            data = zlib.decompress(content, 47) if content[:2] == b"\x1f\x8b" else bytes(content)
-            rows = []
-            for f, block in split_records(data):
+def _head(f: dict[str, str], kind: str | None) -> tuple:
+    """The fields of _HEAD from a record's headers."""
+    refers = f.get("WARC-Refers-To")
+    return (kind, _number(f.get("X-Page-ID")), f.get("WARC-Target-URI"), f.get("WARC-Payload-Digest"), _number(f.get("X-Payload-Length")),
+            _number(refers and refers.rpartition(":")[2].rstrip(">")))
+
+
+def _archive_records(batches):
+    for batch in batches:
+        for content in batch.column("content"):
+            data = content.as_py()
+            yield from split_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+
+
+def _page(head: tuple, block: bytes, whole: bool) -> tuple:
+    """A row of _PAGE from a reassembled record."""
+    kind, page, target, told, size, refers = head
+    told, payload = (told or "").removeprefix("sha1:"), None
+    if kind != "revisit":
+        if whole and kind == "response":
+            http, _, body = block.partition(b"\r\n\r\n")
+            payload = dechunk(body) if b"transfer-encoding: chunked" in http.lower() else body
+        if payload is None or digest(payload) != told:
+            kind, payload, size = "damaged", None, None
+        else:
+            size = len(payload)
+    return page, target, size, told, kind, refers, payload
+
+
+def _unsegmented(batches):
+    return _batches((_page(_head(f, f["WARC-Type"]), block, True) for f, block in _archive_records(batches)
+                     if "WARC-Segment-Number" not in f), _PAGE)
+
+
+def _segments(batches):
+    def rows():
+        for f, block in _archive_records(batches):
+            if "WARC-Segment-Number" in f:
                 more = f["WARC-Type"] == "continuation"
-                refers = f.get("WARC-Refers-To")
-                rows.append((f["WARC-Segment-Origin-ID" if more else "WARC-Record-ID"], _number(f.get("WARC-Segment-Number")) or 0,
-                             _number(f.get("WARC-Segment-Total-Length")), None if more else f["WARC-Type"], _number(f.get("X-Page-ID")),
-                             f.get("WARC-Target-URI"), f.get("WARC-Payload-Digest"), _number(f.get("X-Payload-Length")),
-                             _number(refers and refers.rpartition(":")[2].rstrip(">")), block))
-            yield pd.DataFrame(rows, columns=_FIELDS, dtype=object)
-
-
-def _assemble(batches):
-    for pdf in batches:
-        out = []
-        for _, r in pdf.iterrows():
-            parts = sorted(((p["segment"], p["block"]) for p in r["parts"]), key=lambda p: p[0])
-            numbers = [p[0] for p in parts]
-            block = b"".join(p[1] for p in parts)
-            whole = numbers == [0] or (numbers == list(range(1, len(parts) + 1)) and not pd.isna(r["total"]) and len(block) == r["total"])
-            kind, payload, size, told = r["kind"], None, r["length"], (r["digest"] or "").removeprefix("sha1:")
-            if kind == "revisit":
-                size = int(size)
-            else:
-                head, _, body = block.partition(b"\r\n\r\n")
-                if whole and kind == "response":
-                    payload = dechunk(body) if b"transfer-encoding: chunked" in head.lower() else body
-                if payload is None or digest(payload) != told:
-                    kind, payload, size = "damaged", None, None
-                else:
-                    size = len(payload)
-            out.append((r["page_id"], r["target"], size, told, kind, r["refers_to"], payload))
-        yield pd.DataFrame(out, columns=["page_id", "target", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"], dtype=object)
+                yield (f["WARC-Segment-Origin-ID" if more else "WARC-Record-ID"], int(f["WARC-Segment-Number"]),
+                       _number(f.get("WARC-Segment-Total-Length")), *_head(f, None if more else f["WARC-Type"]), block)
+    return _batches(rows(), _SEGMENT)
+
+
+def _reassembled(batches):
+    def rows():
+        for batch in batches:
+            for i in range(batch.num_rows):  # one record's segments at a time
+                total, *head, parts = (column[i].as_py() for column in batch.columns)
+                parts.sort(key=lambda p: p["segment"])
+                block = b"".join(p["block"] for p in parts)
+                whole = [p["segment"] for p in parts] == list(range(1, len(parts) + 1)) and len(block) == total
+                yield _page(tuple(head), block, whole)
+    return _batches(rows(), _PAGE)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Reassembled records: page_id, target, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    Only segmented records are shuffled; one record's segments meet in one row."""
-    records = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("content").mapInPandas(_parse, _SCHEMA)
-    part = F.struct("segment", "block")
-    rest = [c for c in _FIELDS if c not in ("origin", "segment", "block")]
-    single = records.where("segment = 0").select("origin", *rest, F.array(part).alias("parts"))
-    many = (records.where("segment > 0").groupBy("origin")
-            .agg(*[F.max(c).alias(c) for c in rest], F.collect_list(part).alias("parts")))
-    return single.unionByName(many).select(*rest, "parts").mapInPandas(
-        _assemble, "page_id long, target string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    The files are read twice, once for unsegmented records, which are decoded on the spot, and once for segments: only
+    these are shuffled, and one record's segments meet in one row."""
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("content")
+    heads = [F.max(c).alias(c) for c in ("total", *[name for name, _ in _HEAD])]
+    joined = (files.mapInArrow(_segments, _SEGMENT_SQL).groupBy("origin")
+              .agg(*heads, F.collect_list(F.struct("segment", "block")).alias("parts")).drop("origin"))
+    return files.mapInArrow(_unsegmented, _PAGE_SQL).unionByName(joined.mapInArrow(_reassembled, _PAGE_SQL))
 
 
 def op1_warc(spark, sf_dir):
