@@ -6,7 +6,7 @@ Two kinds of code live here:
   logistic gradient ascent (K1), the gain-ratio decision tree (K4), discrete
   AdaBoost (K7), stacking (K11), permutation importance (K19) — written as
   loops whose every step is one distributed aggregate; only the model state
-  (θ, split table, stage weights) lives on the driver;
+  (θ, stage weights) lives on the driver;
 * thin, explicit configurations of MLlib estimators (K2, K5, K6, K8, K9,
   K12, K13) with the parameters the reference uses.
 
@@ -76,7 +76,8 @@ def best_splits(df: DataFrame, features, label: str, node: str = "node") -> Data
     # node totals per (node, feature) from the same counts: an equi-join on
     # two keys (never degenerates into a cross join when ``node`` is
     # constant); rows with a null feature value take no part in its split
-    tot = cnt.groupBy("node", "feature").agg(F.sum("n").alias("tot_n"), F.sum("pos").alias("tot_p"))
+    # (written, so that a join on a node that holds most rows can still be split at run time)
+    tot = cut_lineage(cnt.groupBy("node", "feature").agg(F.sum("n").alias("tot_n"), F.sum("pos").alias("tot_p")))
     j = cum.join(tot, ["node", "feature"])
     N, P, nl, pl = (F.col(c).cast("double") for c in ("tot_n", "tot_p", "nl", "pl"))
     nr, pr = N - nl, P - pl
@@ -94,55 +95,60 @@ def best_splits(df: DataFrame, features, label: str, node: str = "node") -> Data
         F.col("b.gr").alias("gain_ratio"))
 
 
-def build_tree(df: DataFrame, features, label: str, max_depth: int | None = None):
-    """Grow the gain-ratio tree level by level until every node is pure or
-    no split has positive gain ratio.  Node ids: root 1, children 2i (x >= t)
-    and 2i+1.  Returns the split table as a list of dicts (model state):
-    {node, feature, threshold, gain_ratio, n, pos, value}."""
-    cur = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in features],
-                                F.col(label).cast("int").alias("_y")).withColumn("node", F.lit(1)))
-    tree, depth = [], 0
+def build_tree(df: DataFrame, features, label: str, max_depth: int | None = None) -> DataFrame:
+    """Grow the gain-ratio tree level by level until no split has a positive
+    gain ratio (a pure node has none).  Returns one row per node: (node,
+    depth, feature, threshold, gain_ratio, n, pos, value, yes, no).  Ids
+    number the nodes breadth-first from 1; ``yes`` (x >= threshold) and ``no``
+    (the rest, nulls included) point to the children and are null in leaves.
+    The driver holds counts only; nodes and rows stay distributed."""
+    names = [f"x{i}" for i in range(len(features))]
+    cur = cut_lineage(df.select(*[F.col(c).cast("double").alias(x) for c, x in zip(features, names)],
+                                F.col(label).cast("int").alias("_y"), F.lit(1).cast("long").alias("node")))
+    tree, depth, made = None, 0, 1
     while True:
-        stats = {r["node"]: (r["n"], r["pos"]) for r in cur.groupBy("node").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos")).collect()}
-        active = [nd for nd, (n, p) in stats.items() if 0 < p < n]
-        splits = {}
-        if active and (max_depth is None or depth < max_depth):
-            cand = cur.where(F.col("node").isin(active))
-            splits = {r["node"]: r for r in best_splits(cand, features, "_y").collect()
-                      if r["gain_ratio"] > 0}
-        for nd, (n, p) in stats.items():
-            s = splits.get(nd)
-            tree.append({"node": nd, "n": n, "pos": p,
-                         "value": 1 if p / n >= 0.5 else 0,
-                         "feature": None if s is None else int(s["feature"]),
-                         "threshold": None if s is None else float(s["threshold"]),
-                         "gain_ratio": None if s is None else float(s["gain_ratio"])})
-        if not splits:
-            break
-        sp = cur.sparkSession.createDataFrame(
-            [(int(k), int(v["feature"]), float(v["threshold"])) for k, v in splits.items()],
-            "node long, _f int, _t double")
-        x = F.element_at(F.array(*[F.col(c) for c in features]), F.col("_f") + 1)
-        moved = cur.join(sp, "node", "left").withColumn(
-            "node", F.when(F.col("_f").isNull(), F.col("node"))
-            .when(x >= F.col("_t"), F.col("node") * 2).otherwise(F.col("node") * 2 + 1))
-        cur = cut_lineage(moved.where(F.col("_f").isNotNull()).drop("_f", "_t"))
+        stats = cur.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"))
+        best = best_splits(cur, names, "_y").where("gain_ratio > 0")
+        if max_depth is not None and depth >= max_depth:
+            best = best.limit(0)
+        splits = cut_lineage(row_number(best, ["node"], out="_rn").select(
+            "node", "feature", "threshold", "gain_ratio",
+            (F.lit(made - 1) + 2 * F.col("_rn")).cast("long").alias("yes"),
+            (F.lit(made) + 2 * F.col("_rn")).cast("long").alias("no")))
+        level = stats.join(splits, "node", "left").select(
+            "node", F.lit(depth).alias("depth"), F.col("feature").cast("int").alias("feature"), "threshold", "gain_ratio",
+            "n", "pos", (F.col("pos") * 2 >= F.col("n")).cast("int").alias("value"), "yes", "no")
+        level = cut_lineage(level)
+        tree = level if tree is None else tree.unionByName(level)
+        if depth % 32 == 31:
+            tree = cut_lineage(tree)
+        grown = splits.count()
+        if grown == 0:
+            return tree
+        x = F.element_at(F.array(*names), F.col("feature") + 1)
+        cur = cut_lineage(cur.join(splits, "node").select(
+            *names, "_y", F.when(x >= F.col("threshold"), F.col("yes")).otherwise(F.col("no")).alias("node")))
+        made += 2 * grown
         depth += 1
-    return tree
-
 
-def tree_predict(df: DataFrame, features, tree, out: str = "prediction") -> DataFrame:
-    """Apply a split table as one nested CASE expression (model-sized)."""
-    by = {t["node"]: t for t in tree}
 
-    def expr(nd):
-        t = by[nd]
-        if t["feature"] is None or (2 * nd) not in by:
-            return F.lit(t["value"])
-        return F.when(F.col(features[t["feature"]]) >= F.lit(t["threshold"]), expr(2 * nd)) \
-            .otherwise(expr(2 * nd + 1))
-    return df.withColumn(out, expr(1))
+def tree_predict(df: DataFrame, features, tree: DataFrame, out: str = "prediction") -> DataFrame:
+    """Apply a node table of :func:`build_tree`: each step joins the rows that
+    have not reached a leaf to the nodes of their level."""
+    depths = (tree.agg(F.max("depth")).first()[0] or 0) + 1
+    x = F.element_at(F.array(*[F.col(c).cast("double") for c in features]), F.col("_f") + 1)
+    cur, done = df.withColumn("_node", F.lit(1).cast("long")), None
+    for depth in range(depths):
+        nodes = tree.where(F.col("depth") == depth).select(
+            F.col("node").alias("_node"), F.col("feature").alias("_f"), F.col("threshold").alias("_t"),
+            F.col("value").alias("_v"), F.col("yes").alias("_yes"), F.col("no").alias("_no"))
+        met = cut_lineage(cur.join(nodes, "_node"))
+        leaves = met.where("_f IS NULL").select(*[met[c] for c in df.columns], F.col("_v").alias(out))
+        done = leaves if done is None else done.unionByName(leaves)
+        cur = met.where("_f IS NOT NULL").select(
+            *[met[c] for c in df.columns],
+            F.when(x >= F.col("_t"), F.col("_yes")).otherwise(F.col("_no")).alias("_node"))
+    return done
 
 
 # ----------------------------------------------------------- MLlib models
@@ -241,11 +247,6 @@ def adaboost_predict(df: DataFrame, features, stages, out: str = "prediction") -
     return cur.withColumn(out, (F.col("_s") > 0).cast("int") if stages else F.lit(0)).drop(*drop)
 
 
-def hard_vote_models(df: DataFrame, preds) -> DataFrame:
-    s = reduce(lambda a, b: a + b, [F.col(p) for p in preds])
-    return df.withColumn("vote", (s > len(preds) / 2.0).cast("int"))
-
-
 def cross_validate(est, grid, df: DataFrame, fold_col: str, label: str = "label",
                    parallelism: int = 4, metric: str = "accuracy"):
     """Exhaustive grid with user-given folds (K12).  Returns (model, table of

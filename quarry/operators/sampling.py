@@ -30,13 +30,6 @@ def assign_split(df: DataFrame, key: str, weights, salt: str = "", out: str = "s
     return df.withColumn(out, expr)
 
 
-def random_split(df: DataFrame, weights, seed: int = 42):
-    """Spark's own seeded ``randomSplit`` (H1 as the reference calls it).
-    Reproducible only for a fixed input partitioning; prefer
-    :func:`hash_split` when splits must survive repartitioning."""
-    return df.randomSplit(list(weights), seed=seed)
-
-
 def hash_split(df: DataFrame, key: str, weights, salt: str = ""):
     """List of DataFrames, one per weight (H1)."""
     a = assign_split(df, key, weights, salt, "_split")

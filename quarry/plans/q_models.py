@@ -288,15 +288,49 @@ def k9_svm_rff(spark, sf):
 Q["k9_svm_rff"] = k9_svm_rff
 
 
+TREE = ["node", "depth", "feature", "threshold", "n", "pos", "value", "yes", "no"]
+
+
 def k4_tree(spark, sf):
-    tree = LN.build_tree(_num(spark, sf), ["x1", "x3"], "label")     # grown to purity
-    return spark.createDataFrame(
-        [(t["node"], t["feature"], t["threshold"], t["gain_ratio"], t["n"], t["pos"], t["value"])
-         for t in tree],
-        "node long, feature int, threshold double, gain_ratio double, n long, pos long, value int")
+    return LN.build_tree(_num(spark, sf), X, "label").select(*TREE)     # grown to purity
+
+
+def k4_tree_depth3(spark, sf):
+    return LN.build_tree(_num(spark, sf), X, "label", max_depth=3).select(*TREE)
+
+
+def _tree_sql(depths=3):
+    """The tree's levels unrolled: rows, splits and nodes of each depth."""
+    sql = cte("fx_num") + ",\nr0 AS (SELECT CAST(1 AS BIGINT) AS node, x1, x2, x3, x4, label FROM fx_num),\nm0 AS (SELECT 1 AS made)"
+    for d in range(depths):
+        long = " UNION ALL ".join(f"SELECT node, {i} AS feature, x{i + 1} AS value, label AS y FROM r{d}" for i in range(4))
+        sql += f""",
+c{d} AS (SELECT node, feature, value, COUNT(*) AS n, SUM(y) AS pos FROM ({long}) WHERE value IS NOT NULL GROUP BY ALL),
+u{d} AS (SELECT node, feature, value, SUM(n) OVER w * 1.0E0 AS nl, SUM(pos) OVER w * 1.0E0 AS pl,
+              SUM(n) OVER (PARTITION BY node, feature) * 1.0E0 AS N, SUM(pos) OVER (PARTITION BY node, feature) * 1.0E0 AS P
+       FROM c{d} WINDOW w AS (PARTITION BY node, feature ORDER BY value DESC)),
+g{d} AS (SELECT node, feature, value, {_H.format(p="P / N")} - nl / N * {_H.format(p="pl / nl")}
+              - (N - nl) / N * COALESCE({_H.format(p="(P - pl) / NULLIF(N - nl, 0)")}, 0.0) AS gain,
+              CASE WHEN nl = N THEN 0.0 ELSE -(nl / N) * LOG2(nl / N) - ((N - nl) / N) * LOG2((N - nl) / N) END AS si FROM u{d}),
+q{d} AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY node ORDER BY gr DESC, feature, value) AS rk
+       FROM (SELECT *, CASE WHEN si <> 0 THEN gain / si ELSE 0.0 END AS gr FROM g{d})),
+s{d} AS (SELECT node, feature, value AS threshold, made - 1 + 2 * ROW_NUMBER() OVER (ORDER BY node) AS yes
+       FROM q{d}, m{d} WHERE rk = 1 AND gr > 0),
+m{d + 1} AS (SELECT made + 2 * (SELECT COUNT(*) FROM s{d}) AS made FROM m{d}),
+r{d + 1} AS (SELECT CASE WHEN [x1, x2, x3, x4][feature + 1] >= threshold THEN yes ELSE yes + 1 END AS node, x1, x2, x3, x4, label
+       FROM r{d} JOIN s{d} USING (node))"""
+    empty = "(SELECT CAST(NULL AS BIGINT) AS node, NULL AS feature, NULL AS threshold, NULL AS yes WHERE FALSE)"
+    return sql + "\n" + " UNION ALL ".join(
+        f"""SELECT node, {d} AS depth, CAST(feature AS INTEGER) AS feature, CAST(threshold AS DOUBLE) AS threshold, COUNT(*) AS n,
+       CAST(SUM(label) AS BIGINT) AS pos, CASE WHEN 2 * SUM(label) >= COUNT(*) THEN 1 ELSE 0 END AS value,
+       CAST(yes AS BIGINT) AS yes, CAST(yes + 1 AS BIGINT) AS no
+FROM r{d} LEFT JOIN {f's{d}' if d < depths else empty} USING (node) GROUP BY node, feature, threshold, yes"""
+        for d in range(depths + 1))
 
 
 Q["k4_tree"] = k4_tree
+Q["k4_tree_depth3"] = k4_tree_depth3
+SQL["k4_tree_depth3"] = _tree_sql()
 
 
 def k7_adaboost(spark, sf):

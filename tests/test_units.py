@@ -220,12 +220,23 @@ def test_logreg_gd_matches_numpy(spark):
 def test_tree_pure_and_separable(spark):
     df = spark.createDataFrame([(float(i), int(i >= 5)) for i in range(10)], "x double, y int")
     tree = learn.build_tree(df, ["x"], "y")
-    root = [t for t in tree if t["node"] == 1][0]
+    root = tree.where("node = 1").first()
     assert root["feature"] == 0 and root["threshold"] == 5.0
     pred = learn.tree_predict(df, ["x"], tree).where("prediction <> y").count()
     assert pred == 0
     pure = spark.createDataFrame([(1.0, 1), (2.0, 1)], "x double, y int")
-    assert len(learn.build_tree(pure, ["x"], "y")) == 1
+    assert learn.build_tree(pure, ["x"], "y").count() == 1
+
+
+def test_tree_numbers_nodes_by_level(spark):
+    """Alternating labels peel off one row a level: as many levels as rows."""
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(4)] + [(None, 1)], "x double, y int")
+    nodes = sorted(learn.build_tree(df, ["x"], "y").collect(), key=lambda r: r["node"])
+    assert [r["node"] for r in nodes] == list(range(1, len(nodes) + 1))
+    kids = [k for r in nodes for k in (r["yes"], r["no"]) if k is not None]
+    assert kids == list(range(2, len(nodes) + 1))
+    leaves = [r for r in nodes if r["yes"] is None]
+    assert sum(r["n"] for r in leaves) == 5 and max(r["depth"] for r in nodes) >= 2
 
 
 # ------------------------------------------------------------------ schedule
