@@ -19,7 +19,7 @@ import random
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import hash_int, sigmoid
@@ -95,6 +95,24 @@ def best_splits(df: DataFrame, features, label: str, node: str = "node") -> Data
         F.col("b.gr").alias("gain_ratio"))
 
 
+#: Node ids numbered together by one window group.
+ID_BLOCK = 100_000
+
+
+def _numbered(splits: DataFrame, made: int) -> DataFrame:
+    """Child ids ``yes`` and ``no`` in the order of the split nodes, from
+    ``made`` + 1 on.  Nodes are ranked inside blocks of ID_BLOCK consecutive
+    ids; only the block counts (one row a block) meet in one window."""
+    split = splits.withColumn("_b", F.floor(F.col("node") / ID_BLOCK))
+    blocks = split.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+                         F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("node"))
+    yes = F.lit(made - 1) + 2 * (rank + F.col("_before"))
+    return split.join(blocks, "_b").select("node", "feature", "threshold", "gain_ratio",
+                                           yes.cast("long").alias("yes"), (yes + 1).cast("long").alias("no"))
+
+
 def build_tree(df: DataFrame, features, label: str, max_depth: int | None = None) -> DataFrame:
     """Grow the gain-ratio tree level by level until no split has a positive
     gain ratio (a pure node has none).  Returns one row per node: (node,
@@ -111,10 +129,9 @@ def build_tree(df: DataFrame, features, label: str, max_depth: int | None = None
         best = best_splits(cur, names, "_y").where("gain_ratio > 0")
         if max_depth is not None and depth >= max_depth:
             best = best.limit(0)
-        splits = cut_lineage(row_number(best, ["node"], out="_rn").select(
-            "node", "feature", "threshold", "gain_ratio",
-            (F.lit(made - 1) + 2 * F.col("_rn")).cast("long").alias("yes"),
-            (F.lit(made) + 2 * F.col("_rn")).cast("long").alias("no")))
+        splits = cut_lineage(best)
+        grown = splits.count()
+        splits = _numbered(splits, made)
         level = stats.join(splits, "node", "left").select(
             "node", F.lit(depth).alias("depth"), F.col("feature").cast("int").alias("feature"), "threshold", "gain_ratio",
             "n", "pos", (F.col("pos") * 2 >= F.col("n")).cast("int").alias("value"), "yes", "no")
@@ -122,7 +139,6 @@ def build_tree(df: DataFrame, features, label: str, max_depth: int | None = None
         tree = level if tree is None else tree.unionByName(level)
         if depth % 32 == 31:
             tree = cut_lineage(tree)
-        grown = splits.count()
         if grown == 0:
             return tree
         x = F.element_at(F.array(*names), F.col("feature") + 1)
