@@ -32,22 +32,62 @@ def _dot(theta, features) -> Column:
     return reduce(lambda a, b: a + b, [F.lit(float(t)) * F.col(c) for t, c in zip(theta, features)])
 
 
+def _with_theta(data: DataFrame, theta) -> DataFrame:
+    """``data`` with the coefficients as columns ``_t0``, ``_t1``...: as literals
+    they would be part of the generated code, which every step would compile anew."""
+    values = ", ".join(f"double('{float(t)!r}')" for t in theta)
+    names = ", ".join(f"_t{i}" for i in range(len(theta)))
+    return data.crossJoin(F.broadcast(data.sparkSession.sql(f"SELECT * FROM VALUES ({values}) AS t({names})")))
+
+
+def _dot_theta(features, at: int = 0) -> Column:
+    return reduce(lambda a, b: a + b, [F.col(f"_t{at + i}") * F.col(c) for i, c in enumerate(features)])
+
+
 def logreg_gd(df: DataFrame, features, label: str, alpha: float, iters: int, theta0=None):
     """θ ← θ + α·Xᵀ(y − σ(Xθ)) (summed gradient, no intercept), ``iters``
     full-batch steps; each step is one distributed aggregate (K1)."""
     data = df.select(*[F.col(c).cast("double").alias(c) for c in features],
                      F.col(label).cast("double").alias("_y")).persist()
     theta = [0.0] * len(features) if theta0 is None else [float(t) for t in theta0]
+    err = F.col("_y") - sigmoid(_dot_theta(features))
+    sums = [F.sum(F.col(c) * err).alias(c) for c in features]
     try:
         for _ in range(iters):
-            err = F.col("_y") - sigmoid(_dot(theta, features))
-            g = data.agg(*[F.sum(F.col(c) * err).alias(c) for c in features]).first()
+            g = _with_theta(data, theta).agg(*sums).first()
             theta = [t + alpha * (g[c] or 0.0) for t, c in zip(theta, features)]
     finally:
         data.unpersist()
     return theta
 
 
+def logreg_gd_cv(df: DataFrame, features, label: str, fold: str, alphas, iters: int) -> DataFrame:
+    """:func:`logreg_gd` for every learning rate and fold (K1): fitted on the
+    other folds, scored on its own.  All fits take a step together, so that
+    ``iters`` steps are ``iters`` aggregates, whatever the number of fits.
+    Returns (alpha, fold, accuracy, theta)."""
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in features],
+                     F.col(label).cast("double").alias("_y"), F.col(fold).alias("_f")).persist()
+    d = len(features)
+    try:
+        folds = sorted(r[0] for r in data.select("_f").distinct().collect())
+        fits = [(float(a), f) for a in alphas for f in folds]
+        theta, sums, scores = [0.0] * (d * len(fits)), [], []
+        for k, (_, f) in enumerate(fits):
+            p = sigmoid(_dot_theta(features, k * d))
+            sums += [F.sum(F.when(F.col("_f") != f, F.col(c) * (F.col("_y") - p))).alias(f"g{len(sums) + i}")
+                     for i, c in enumerate(features)]
+            scores.append(F.avg(F.when(F.col("_f") == f, ((p >= 0.5).cast("double") == F.col("_y")).cast("double"))))
+        for _ in range(iters):
+            g = _with_theta(data, theta).agg(*sums).first()
+            theta = [t + fits[i // d][0] * (g[i] or 0.0) for i, t in enumerate(theta)]
+        score = _with_theta(data, theta).agg(*scores).first()
+        rows = [(a, int(f), score[k], theta[k * d:(k + 1) * d]) for k, (a, f) in enumerate(fits)]
+    finally:
+        data.unpersist()
+    return df.sparkSession.createDataFrame(rows, "alpha double, fold int, accuracy double, theta array<double>")
+
+
 def logreg_predict(df: DataFrame, features, theta, out: str = "prediction") -> DataFrame:
     p = sigmoid(_dot(theta, features))
     return df.withColumn("probability", p).withColumn(out, (p >= 0.5).cast("int"))
@@ -287,13 +327,39 @@ def random_grid(grid, n_iter: int, seed: int = 42):
     return random.Random(seed).sample(list(grid), n_iter)
 
 
+def rff_svm(features, n_components: int = 100, gamma: float = 0.5, **params):
+    """LinearSVC on random Fourier features (K9) as one pipeline over the feature columns."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
+    cols = ", ".join(f"{c} AS rff_{i}" for i, c in enumerate(_fourier_sql(features, n_components, gamma)))
+    return Pipeline(stages=[
+        SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"rff_{i}" for i in range(n_components)], outputCol="rff"),
+        estimator("svm", featuresCol="rff", **params)])
+
+
+def _fourier_sql(features, n_components: int, gamma: float, seed: int = 42):
+    """The features of :func:`random_fourier` as SQL expressions."""
+    rng = np.random.default_rng(seed)
+    W = rng.normal(0.0, math.sqrt(2 * gamma), size=(n_components, len(features)))
+    b = rng.uniform(0, 2 * math.pi, size=n_components)
+    s = math.sqrt(2.0 / n_components)
+    return [f"{s!r}D * cos(" + " + ".join(f"{float(W[i, j])!r}D * `{f}`" for j, f in enumerate(features))
+            + f" + {float(b[i])!r}D)" for i in range(n_components)]
+
+
+def _base_score(scored: DataFrame) -> Column:
+    """Probability of class 1, or the margin of a model without probabilities."""
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array("probability" if "probability" in scored.columns else "rawPrediction").getItem(1)
+
+
 def stacking(df: DataFrame, features, label: str, id_col: str, fold_col: str, base: dict):
     """Out-of-fold probabilities of base models → logistic meta model.
     Base models are refitted on all rows for scoring.  Returns
     (meta_model, refitted_base, oof DataFrame)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
     va = VectorAssembler(inputCols=list(features), outputCol="features")
     data = va.transform(df.select(id_col, fold_col, *features,
                                   F.col(label).cast("double").alias("label"))).persist()
@@ -303,8 +369,8 @@ def stacking(df: DataFrame, features, label: str, id_col: str, fold_col: str, ba
         parts = []
         for f in folds:
             m = est.copy().fit(data.where(F.col(fold_col) != f))
-            parts.append(m.transform(data.where(F.col(fold_col) == f)).select(
-                id_col, vector_to_array("probability").getItem(1).alias(f"p_{name}")))
+            scored = m.transform(data.where(F.col(fold_col) == f))
+            parts.append(scored.select(id_col, _base_score(scored).alias(f"p_{name}")))
         oof_parts.append(reduce(DataFrame.unionByName, parts))
     oof = reduce(lambda a, b: a.join(b, id_col), oof_parts).join(data.select(id_col, "label"), id_col)
     meta_in = VectorAssembler(inputCols=[f"p_{n}" for n in base], outputCol="meta").transform(oof)
@@ -316,16 +382,11 @@ def stacking(df: DataFrame, features, label: str, id_col: str, fold_col: str, ba
 
 def stacking_predict(df: DataFrame, features, id_col: str, meta, refit) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
     x = VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
-    cols = []
     for n, m in refit.items():
-        x = m.setProbabilityCol(f"_prob_{n}").setPredictionCol(f"_pred_{n}") \
-            .setRawPredictionCol(f"_raw_{n}").transform(x)
-        x = x.withColumn(f"p_{n}", vector_to_array(f"_prob_{n}").getItem(1)) \
-            .drop(f"_prob_{n}", f"_pred_{n}", f"_raw_{n}")
-        cols.append(f"p_{n}")
-    x = VectorAssembler(inputCols=cols, outputCol="meta").transform(x)
+        scored = m.transform(x)
+        x = scored.select(*x.columns, _base_score(scored).alias(f"p_{n}"))
+    x = VectorAssembler(inputCols=[f"p_{n}" for n in refit], outputCol="meta").transform(x)
     return meta.setFeaturesCol("meta").transform(x)
 
 

@@ -57,6 +57,15 @@ Q["k1_logreg_gd"] = k1_logreg_gd
 SQL["k1_logreg_gd"] = _k1_sql()
 
 
+def k1_logreg_cv(spark, sf, alphas=(0.1, 0.01, 0.001), steps=1000, folds=5):
+    """The whole cross-validated fit; ``k1_logreg_gd`` is its first steps, which SQL can unroll."""
+    s = S.block_folds(FE.standardize(_num(spark, sf), X), "row_id", folds)
+    return LN.logreg_gd_cv(s, X, "label", "fold", alphas, steps)
+
+
+Q["k1_logreg_cv"] = k1_logreg_cv
+
+
 def k4_best_split(spark, sf):
     b = LN.best_splits(_num(spark, sf).withColumn("node", F.lit(1)), X, "label")
     return b.select(F.col("feature").cast("long").alias("feature"), "threshold",
@@ -269,15 +278,15 @@ def k2_logreg(spark, sf):
 
 
 Q["k2_logreg"] = k2_logreg
-Q["k5_forest"] = _fit_report("forest", numTrees=50, maxDepth=8)
-Q["k6_gbt"] = _fit_report("gbt", maxIter=30, maxDepth=3)
-Q["k8_mlp"] = _fit_report("mlp", layers=[4, 12, 8, 2], maxIter=100)
+Q["k5_forest"] = _fit_report("forest", numTrees=100, maxDepth=8)
+Q["k6_gbt"] = _fit_report("gbt", maxIter=100, maxDepth=3)
+Q["k8_mlp"] = _fit_report("mlp", layers=[4, 12, 8, 2], maxIter=500)
 
 
 def k9_svm_rff(spark, sf):
     from quarry.operators import metrics as M
-    d = LN.random_fourier(_split(spark, sf), X, n_components=50, gamma=0.5)
-    d = LN.assemble(d, [f"rff_{i}" for i in range(50)]).withColumn("label", F.col("label").cast("double"))
+    d = LN.random_fourier(_split(spark, sf), X, n_components=100, gamma=0.5)
+    d = LN.assemble(d, [f"rff_{i}" for i in range(100)]).withColumn("label", F.col("label").cast("double"))
     train = d.where("is_test = 0").persist()
     m = LN.estimator("svm", regParam=0.01).fit(train)
     train.unpersist()
@@ -336,7 +345,7 @@ SQL["k4_tree_depth3"] = _tree_sql()
 def k7_adaboost(spark, sf):
     from quarry.operators import metrics as M
     d = _split(spark, sf)
-    stages = LN.adaboost(d.where("is_test = 0"), X, "label", n_estimators=10)
+    stages = LN.adaboost(d.where("is_test = 0"), X, "label", n_estimators=50)
     p = LN.adaboost_predict(d.where("is_test = 1"), X, stages)
     return M.classification_report(p, "label", "prediction")
 
@@ -344,11 +353,19 @@ def k7_adaboost(spark, sf):
 Q["k7_adaboost"] = k7_adaboost
 
 
-def k11_stacking(spark, sf):
+def stacking_base(trees=100, rounds=100, epochs=500):
+    """The reference's six base models; its three boosters are MLlib GBTs of different depth."""
+    return {"rf": LN.estimator("forest", numTrees=trees, maxDepth=10),
+            **{f"gbt{k}": LN.estimator("gbt", maxIter=rounds, maxDepth=k) for k in (3, 5, 7)},
+            "svm": LN.rff_svm(X, regParam=0.01),
+            "nn": LN.estimator("mlp", layers=[4, 12, 8, 2], maxIter=epochs)}
+
+
+def k11_stacking(spark, sf, folds=5, **sizes):
     from quarry.operators import metrics as M
-    d = S.kfold(_split(spark, sf), "row_id", 3, by="label")
+    d = S.kfold(_split(spark, sf), "row_id", folds, by="label")
     train, test = d.where("is_test = 0"), d.where("is_test = 1")
-    base = {"lr": LN.estimator("logreg", maxIter=50), "rf": LN.estimator("forest", numTrees=20, maxDepth=5)}
+    base = stacking_base(**sizes)
     meta, refit, _ = LN.stacking(train, X, "label", "row_id", "fold", base)
     p = LN.stacking_predict(test, X, "row_id", meta, refit).withColumn(
         "prediction", F.col("prediction").cast("int"))
@@ -380,7 +397,7 @@ Q["k13_random_search"] = _grid_q(random_n=3)
 def k19_permutation(spark, sf):
     d = _split(spark, sf)
     train = d.where("is_test = 0")
-    theta = LN.logreg_gd(train, X, "label", 0.001, 20)
+    theta = LN.logreg_gd(train, X, "label", 0.001, 1000)
     return LN.permutation_importance(d.where("is_test = 1"), "row_id", X, "label",
                                      lambda df: LN.logreg_predict(df, X, theta))
 
@@ -389,7 +406,7 @@ Q["k19_permutation"] = k19_permutation
 
 
 def j6_rfe(spark, sf):
-    kept, dropped = FE.rfe(_num(spark, sf), X, "label", 2, num_trees=10)
+    kept, dropped = FE.rfe(_num(spark, sf), X, "label", 2, num_trees=100)
     rows = [(f, 1, None) for f in kept] + [(f, 0, i + 1) for i, f in enumerate(dropped)]
     return spark.createDataFrame(rows, "feature string, kept int, dropped_round int")
 
