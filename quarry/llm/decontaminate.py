@@ -88,8 +88,7 @@ def _windows(window: int):
 
 def item_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
     """(item_id string, words array<binary>): the windows of every item, in place."""
-    return (benchmark.where(F.col("item_id").isNotNull())
-            .select(F.col("item_id").cast("string").alias("item_id"), utf8("text").alias("raw"))
+    return (benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8("text").alias("raw"))
             .mapInPandas(_windows(window), "item_id string, words array<binary>"))
 
 
@@ -106,7 +105,7 @@ def _scanner(shared):
                     for start, numbers in machine.find(words):
                         hits.append((start, start + machine.length))
                         items.update(numbers)
-                ids = sorted({names[i] for i in items} | set(before))
+                ids = sorted({names[i] for i in items if i is not None} | set(before))
                 n_hit = 0
                 if hits or mask is not None:
                     inside = (np.zeros(len(words), bool) if mask is None else
@@ -132,8 +131,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
     out = docs.withColumn("hit", F.lit(None).cast("struct<n_words:bigint,n_hit:bigint,mask:binary,items:array<string>>"))
     for k in range(blocks):
         part = windows.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k).collect()
-        names = sorted({r["item_id"] for r in part})
-        number = {name: i for i, name in enumerate(names)}
+        names = sorted({r["item_id"] for r in part if r["item_id"] is not None})
+        number = {name: i for i, name in enumerate(names)} | {None: None}
         shared = docs.sparkSession.sparkContext.broadcast(
             (names, [(number[r["item_id"]], [bytes(w) for w in r["words"]]) for r in part]))
         search = F.pandas_udf(_scanner(shared), kind).asNondeterministic()

@@ -196,3 +196,14 @@ def test_lm_keys_round_trip():
 def test_digest_is_of_whole_text():
     assert warc.chunked(b"", 4) == b"0\r\n\r\n"
     assert hashlib.sha1(b"").digest()[:1] == b"\xda"
+
+
+def test_decontaminate_counts_items_without_id(spark):
+    docs = spark.createDataFrame([(1, "say one two three now"), (2, "clean"), (3, "one two three four five six")],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (7, "four five")], "item_id long, text string")
+    for limit in (1, 100):
+        got = {r.doc_id: (r.hit.n_hit, r.hit["items"], r.hit.mask is not None)
+               for r in decontaminate.scan(docs, bench, max_patterns=limit).collect()}
+        assert got == {1: (3, [], True), 2: (0, [], False), 3: (5, ["7"], True)}
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [2]
