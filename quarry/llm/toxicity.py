@@ -112,7 +112,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column | None = None,
-        max_rows: int = 8000, max_features: int = 300, min_z: float = 3.5,
+        max_rows: int = 8000, min_z: float = 3.5,
         ridge: float = 1.0, fairness: float = 10.0, groups=IDENTITY_GROUPS) -> Model:
     """Fit on at most about ``max_rows`` labelled rows (a bounded sample). Features are
     counted and chosen on Spark; the driver gets the rows' chosen features only."""
@@ -128,8 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column
     z = (F.col("hits") - df * share) / F.sqrt(df * share * (1 - share) * F.greatest(1 - df / n, F.lit(1 / n)))
     counts = (rows.select("label", F.explode("x").alias("feature")).groupBy("feature")
               .agg(F.count("*").cast("double").alias("df"), F.sum("label").alias("hits")))
-    best = (counts.where(df >= 2).withColumn("z", F.abs(z)).where(F.col("z") >= min_z)
-            .orderBy(F.desc("z"), "feature").limit(max_features).select("feature").collect())
+    best = counts.where((df >= 2) & (F.abs(z) >= min_z)).select("feature").collect()
     # identity terms that occur; one that does not could only share the weight of its partner
     named = sorted(set().union(*map(word_features, pairs)))
     best += counts.where(F.col("feature").isin(named)).select("feature").collect()
@@ -139,29 +138,39 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column
     found = rows.select("label", only("x").alias("x"), only("other").alias("other")).toPandas()
     y, xs, others = found["label"].to_numpy(float), list(found["x"]), list(found["other"])
 
-    def matrix(sets) -> np.ndarray:
-        m = np.zeros((len(sets), len(chosen) + 1))
+    def matrix(sets) -> np.ndarray:     # a byte a cell; made wide part by part
+        m = np.zeros((len(sets), len(chosen) + 1), np.int8)
         for i, s in enumerate(sets):
             m[i, [column[f] for f in s]] = 1
         return m
 
+    def parts(m: np.ndarray):
+        return ((i, m[i:i + 500].astype(float)) for i in range(0, len(m), 500))
+
     x = matrix(xs)
     x[:, -1] = 1
     swapped = [i for i, o in enumerate(others) if o is not None]
     gap = x[swapped] - matrix([others[i] for i in swapped])
     gap[:, -1] = 0
-    penalty = np.diag([ridge] * len(chosen) + [1e-6]) + 2 * fairness * gap.T @ gap
+    penalty = np.diag([ridge] * len(chosen) + [1e-6])
+    for _, g in parts(gap):
+        penalty += 2 * fairness * g.T @ g
     w = np.zeros(x.shape[1])
     w[-1] = math.log(prior / (1 - prior))
+    scores = lambda w: np.concatenate([part @ w for _, part in parts(x)])
     loss = math.inf
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        curve = sum((x[i:i + 500] * (p * (1 - p))[i:i + 500, None]).T @ x[i:i + 500] for i in range(0, len(x), 500))
-        step = np.linalg.solve(curve + penalty, x.T @ (p - y) + penalty @ w)
+        p = 1 / (1 + np.exp(-np.clip(scores(w), -35, 35)))
+        curve, slope = penalty.copy(), penalty @ w
+        for i, part in parts(x):
+            at = slice(i, i + len(part))
+            curve += (part * (p * (1 - p))[at, None]).T @ part
+            slope += part.T @ (p - y)[at]
+        step = np.linalg.solve(curve, slope)
         rate = 1.0
         while rate > 1e-4:
             new = w - rate * step
-            s = x @ new
+            s = scores(new)
             now = np.logaddexp(0, s).sum() - y @ s + 0.5 * new @ penalty @ new
             if now <= loss:
                 break

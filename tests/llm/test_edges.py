@@ -207,3 +207,13 @@ def test_decontaminate_counts_items_without_id(spark):
                for r in decontaminate.scan(docs, bench, max_patterns=limit).collect()}
         assert got == {1: (3, [], True), 2: (0, [], False), 3: (5, ["7"], True)}
     assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [2]
+
+
+def test_toxicity_keeps_every_qualifying_feature(spark):
+    # 5 pairs of toxic texts with 80 words of their own each
+    texts = [(i, " ".join(f"{chr(97 + i // 2)}{j:03d}zz" for j in range(80)), 1) for i in range(10)]
+    texts += [(i, "plain words", 0) for i in range(10, 200)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
+    words = set().union(*(toxicity.word_features(w.encode()) for t in texts[:10] for w in t[1].split()))
+    assert len(words) > 300 and words <= set(model.weights)
