@@ -217,3 +217,15 @@ def test_toxicity_keeps_every_qualifying_feature(spark):
     model = toxicity.fit(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"))
     words = set().union(*(toxicity.word_features(w.encode()) for t in texts[:10] for w in t[1].split()))
     assert len(words) > 300 and words <= set(model.weights)
+
+
+def test_quality_fits_on_6000_rows(monkeypatch):
+    seen = []
+
+    def sample(docs, labels, label, train, max_rows):
+        seen.append(max_rows)
+        raise StopIteration
+    monkeypatch.setattr(quality, "labelled_sample", sample)
+    with pytest.raises(StopIteration):
+        quality.fit(None, None, train=True)
+    assert seen == [6000]
