@@ -102,23 +102,20 @@ def pca_components(model, names=None, spark=None):
     return spark.createDataFrame(rows, "component int, feature string, loading double")
 
 
-def rfe(df: DataFrame, features, label: str, n_keep: int, step: int = 1, num_trees: int = 100,
+def rfe(df: DataFrame, features, label: str, n_keep: int, id_col: str, step: int = 1, num_trees: int = 100,
         seed: int = 42):
     """Recursive feature elimination with a random forest: refit, drop the
-    least important feature(s), until ``n_keep`` remain (J6).  Returns the
-    kept feature names and the elimination order."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    feats = list(features)
-    dropped = []
-    data = df.select(*feats, F.col(label).cast("double").alias("_y")).persist()
+    least important feature(s), until ``n_keep`` remain (J6).  Forests have
+    exact thresholds and pure leaves; a node draws the square root of the
+    number of features.  Returns the kept feature names and the elimination order."""
+    from quarry.operators import forest
+    feats, dropped = list(features), []
+    data = df.select(F.col(id_col), *feats, F.col(label)).persist()
     try:
         while len(feats) > n_keep:
-            va = VectorAssembler(inputCols=feats, outputCol="_x")
-            m = RandomForestClassifier(numTrees=num_trees, seed=seed, featuresCol="_x",
-                                       labelCol="_y").fit(va.transform(data))
-            imp = m.featureImportances.toArray()
-            order = sorted(range(len(feats)), key=lambda i: (imp[i], feats[i]))
+            spec = forest.Spec(num_trees, max_features=max(1, int(len(feats) ** 0.5)), seed=seed)
+            found = {r["feature"]: r["importance"] for r in forest.fit(data, feats, label, id_col, [spec]).importances().collect()}
+            order = sorted(range(len(feats)), key=lambda i: (found.get(i, 0.0), feats[i]))
             for i in sorted(order[:min(step, len(feats) - n_keep)], reverse=True):
                 dropped.append(feats.pop(i))
     finally:

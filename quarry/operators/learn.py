@@ -7,8 +7,10 @@ Two kinds of code live here:
   AdaBoost (K7), stacking (K11), permutation importance (K19) — written as
   loops whose every step is one distributed aggregate; only the model state
   (θ, stage weights) lives on the driver;
-* thin, explicit configurations of MLlib estimators (K2, K5, K6, K8, K9,
-  K12, K13) with the parameters the reference uses.
+* thin, explicit configurations of MLlib estimators (K2, K8, K9) with the
+  parameters the reference uses.
+
+Boosted trees and forests (K5, K6, K12, K13) are in ``boosting`` and ``forest``.
 
 Iterative loops cut lineage through the shared checkpoint folder.
 """
@@ -19,6 +21,7 @@ import random
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,59 +35,88 @@ def _dot(theta, features) -> Column:
     return reduce(lambda a, b: a + b, [F.lit(float(t)) * F.col(c) for t, c in zip(theta, features)])
 
 
-def _with_theta(data: DataFrame, theta) -> DataFrame:
-    """``data`` with the coefficients as columns ``_t0``, ``_t1``...: as literals
-    they would be part of the generated code, which every step would compile anew."""
-    values = ", ".join(f"double('{float(t)!r}')" for t in theta)
-    names = ", ".join(f"_t{i}" for i in range(len(theta)))
-    return data.crossJoin(F.broadcast(data.sparkSession.sql(f"SELECT * FROM VALUES ({values}) AS t({names})")))
+#: Rows of a packed block: one task handles at least one.
+BLOCK_ROWS = 1 << 16
+
 
+def _packed(df: DataFrame, features, label: str, fold: str | None):
+    """Rows as an RDD of (matrix, labels, folds), written once to the shared folder.
 
-def _dot_theta(features, at: int = 0) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(f"_t{at + i}") * F.col(c) for i, c in enumerate(features)])
+    A step over it is one small job.  It is an RDD because a step has nothing to plan:
+    1000 steps as queries would spend their time in the optimiser."""
+    d = len(features)
+    cols = [F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]
+    rows = df.select(*cols, F.col(label).cast("double").alias("y"), (F.col(fold).cast("long") if fold else F.lit(-1).cast("long")).alias("f"))
+
+    def pack(batches):
+        held = []
+
+        def block():
+            m = np.concatenate(held)
+            m = m[~np.isnan(m).any(1)]
+            return pd.DataFrame({"n": [len(m)], "m": [m.tobytes()]})
+        for pdf in batches:
+            held.append(pdf.to_numpy(float, na_value=np.nan))
+            if sum(map(len, held)) >= BLOCK_ROWS:
+                yield block()
+                held = []
+        if held:
+            yield block()
+
+    def arrays(row):
+        m = np.frombuffer(row["m"]).reshape(row["n"], d + 2)
+        return np.ascontiguousarray(m[:, :d]), m[:, d].copy(), m[:, d + 1].astype(np.int64)
+    n = rows.count()
+    blocks = cut_lineage(rows.coalesce(max(1, -(-n // BLOCK_ROWS))).mapInPandas(pack, "n long, m binary"))
+    return blocks.rdd.map(arrays).persist()
+
+
+def _ascend(blocks, d: int, fits, iters: int, theta=None) -> np.ndarray:
+    """θ ← θ + α·Xᵀ(y − σ(Xθ)) for all ``fits`` (alpha, held-out fold) at once: (d, fits)."""
+    alpha = np.array([a for a, _ in fits])
+    held = np.array([f for _, f in fits])
+    theta = np.zeros((d, len(fits))) if theta is None else np.array(theta, float).reshape(d, len(fits))
+    for _ in range(iters):
+        def gradient(block, theta=theta):
+            x, y, f = block
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ theta, -700, 700)))
+            return x.T @ np.where(f[:, None] != held, y[:, None] - p, 0.0)
+        parts = blocks.map(gradient)
+        total = sum(parts.collect()) if blocks.getNumPartitions() <= 64 else parts.treeReduce(np.add)
+        theta = theta + alpha * total
+    return theta
 
 
 def logreg_gd(df: DataFrame, features, label: str, alpha: float, iters: int, theta0=None):
     """θ ← θ + α·Xᵀ(y − σ(Xθ)) (summed gradient, no intercept), ``iters``
-    full-batch steps; each step is one distributed aggregate (K1)."""
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in features],
-                     F.col(label).cast("double").alias("_y")).persist()
-    theta = [0.0] * len(features) if theta0 is None else [float(t) for t in theta0]
-    err = F.col("_y") - sigmoid(_dot_theta(features))
-    sums = [F.sum(F.col(c) * err).alias(c) for c in features]
+    full-batch steps; each step is one pass over packed blocks (K1).  Rows
+    with nulls take no part."""
+    blocks = _packed(df, features, label, None)
     try:
-        for _ in range(iters):
-            g = _with_theta(data, theta).agg(*sums).first()
-            theta = [t + alpha * (g[c] or 0.0) for t, c in zip(theta, features)]
+        return _ascend(blocks, len(features), [(alpha, -2)], iters, theta0)[:, 0].tolist()
     finally:
-        data.unpersist()
-    return theta
+        blocks.unpersist()
 
 
 def logreg_gd_cv(df: DataFrame, features, label: str, fold: str, alphas, iters: int) -> DataFrame:
     """:func:`logreg_gd` for every learning rate and fold (K1): fitted on the
-    other folds, scored on its own.  All fits take a step together, so that
-    ``iters`` steps are ``iters`` aggregates, whatever the number of fits.
-    Returns (alpha, fold, accuracy, theta)."""
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in features],
-                     F.col(label).cast("double").alias("_y"), F.col(fold).alias("_f")).persist()
-    d = len(features)
+    other folds, scored on its own.  All fits take a step together, one matrix
+    product a block.  Returns (alpha, fold, accuracy, theta)."""
+    folds = [int(r[0]) for r in df.select(fold).distinct().orderBy(fold).collect()]
+    fits = [(float(a), f) for a in alphas for f in folds]
+    blocks = _packed(df, features, label, fold)
     try:
-        folds = sorted(r[0] for r in data.select("_f").distinct().collect())
-        fits = [(float(a), f) for a in alphas for f in folds]
-        theta, sums, scores = [0.0] * (d * len(fits)), [], []
-        for k, (_, f) in enumerate(fits):
-            p = sigmoid(_dot_theta(features, k * d))
-            sums += [F.sum(F.when(F.col("_f") != f, F.col(c) * (F.col("_y") - p))).alias(f"g{len(sums) + i}")
-                     for i, c in enumerate(features)]
-            scores.append(F.avg(F.when(F.col("_f") == f, ((p >= 0.5).cast("double") == F.col("_y")).cast("double"))))
-        for _ in range(iters):
-            g = _with_theta(data, theta).agg(*sums).first()
-            theta = [t + fits[i // d][0] * (g[i] or 0.0) for i, t in enumerate(theta)]
-        score = _with_theta(data, theta).agg(*scores).first()
-        rows = [(a, int(f), score[k], theta[k * d:(k + 1) * d]) for k, (a, f) in enumerate(fits)]
+        theta = _ascend(blocks, len(features), fits, iters)
+        held = np.array([f for _, f in fits])
+
+        def score(block):
+            x, y, f = block
+            own = f[:, None] == held
+            return np.stack([(own & ((x @ theta >= 0) == (y[:, None] > 0))).sum(0), own.sum(0)])
+        hits, n = blocks.map(score).treeReduce(np.add)
     finally:
-        data.unpersist()
+        blocks.unpersist()
+    rows = [(a, f, float(hits[k] / n[k]), theta[:, k].tolist()) for k, (a, f) in enumerate(fits)]
     return df.sparkSession.createDataFrame(rows, "alpha double, fold int, accuracy double, theta array<double>")
 
 
@@ -348,46 +380,72 @@ def _fourier_sql(features, n_components: int, gamma: float, seed: int = 42):
             + f" + {float(b[i])!r}D)" for i in range(n_components)]
 
 
-def _base_score(scored: DataFrame) -> Column:
-    """Probability of class 1, or the margin of a model without probabilities."""
-    from pyspark.ml.functions import vector_to_array
-    return vector_to_array("probability" if "probability" in scored.columns else "rawPrediction").getItem(1)
-
-
-def stacking(df: DataFrame, features, label: str, id_col: str, fold_col: str, base: dict):
+class Stack:
+    """Base models and the logistic model on their probabilities."""
+
+    def __init__(self, features, label, id_col, members, meta=None, oof=None):
+        self.features, self.label, self.id_col = features, label, id_col
+        self.members, self.meta, self.oof = members, meta, oof
+
+    def base_scores(self, df: DataFrame, fold: int = -1) -> DataFrame:
+        """``df`` with ``p_<name>`` of each member fitted without ``fold`` (-1: on all rows)."""
+        from pyspark.ml.functions import vector_to_array
+        columns = df.columns
+        for name, kind, model, at in self.members:
+            if kind == "boosted":
+                df = model.predict(df, [f"p_{name}"], [at[fold]])
+            elif kind == "forest":
+                df = model.predict(df, self.id_col, [f"p_{name}"], [at[fold]])
+            else:
+                kept = df.columns
+                scored = at[fold].transform(assemble(df, self.features))
+                raw = "probability" if "probability" in scored.columns else "rawPrediction"
+                df = scored.select(*kept, vector_to_array(raw).getItem(1).alias(f"p_{name}"))
+        return df.select(*columns, *[f"p_{m[0]}" for m in self.members])
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``probability`` of class 1."""
+        from pyspark.ml.functions import vector_to_array
+        scored = self.meta.transform(assemble(self.base_scores(df), [f"p_{m[0]}" for m in self.members], "_meta"))
+        return scored.select(*df.columns, vector_to_array("probability").getItem(1).alias("probability"))
+
+
+def stacking(df: DataFrame, features, label: str, id_col: str, fold_col: str, base: dict, threads: int = 8) -> Stack:
     """Out-of-fold probabilities of base models → logistic meta model.
-    Base models are refitted on all rows for scoring.  Returns
-    (meta_model, refitted_base, oof DataFrame)."""
+
+    ``base`` maps names to boosting specs, forest specs or MLlib estimators
+    (on the vector ``features`` or the feature columns).  All boosted models of all
+    members and folds grow together, so do all forests; the MLlib fits of
+    members and folds run side by side as Spark jobs of several threads.  Every
+    member is also fitted on all rows, for scoring."""
+    from concurrent.futures import ThreadPoolExecutor
+    from dataclasses import replace
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    va = VectorAssembler(inputCols=list(features), outputCol="features")
-    data = va.transform(df.select(id_col, fold_col, *features,
-                                  F.col(label).cast("double").alias("label"))).persist()
-    folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
-    oof_parts = []
-    for name, est in base.items():
-        parts = []
-        for f in folds:
-            m = est.copy().fit(data.where(F.col(fold_col) != f))
-            scored = m.transform(data.where(F.col(fold_col) == f))
-            parts.append(scored.select(id_col, _base_score(scored).alias(f"p_{name}")))
-        oof_parts.append(reduce(DataFrame.unionByName, parts))
-    oof = reduce(lambda a, b: a.join(b, id_col), oof_parts).join(data.select(id_col, "label"), id_col)
-    meta_in = VectorAssembler(inputCols=[f"p_{n}" for n in base], outputCol="meta").transform(oof)
-    meta = LogisticRegression(featuresCol="meta", labelCol="label", maxIter=1000).fit(meta_in)
-    refit = {n: e.copy().fit(data) for n, e in base.items()}
+    from quarry.operators import boosting, forest
+    features = list(features)
+    data = df.select(id_col, fold_col, *features, F.col(label).cast("double").alias("label")).persist()
+    folds = [*(r[0] for r in data.select(fold_col).distinct().orderBy(fold_col).collect()), -1]
+    members = []
+    for kind, module, spec_type in (("boosted", boosting, boosting.Spec), ("forest", forest, forest.Spec)):
+        names = [n for n, b in base.items() if isinstance(b, spec_type)]
+        if names:
+            specs = [replace(base[n], fold=f) for n in names for f in folds]
+            model = module.fit(data, features, "label", id_col, specs, fold_col)
+            members += [(n, kind, model, {f: i * len(folds) + j for j, f in enumerate(folds)}) for i, n in enumerate(names)]
+    others = [n for n, b in base.items() if n not in {m[0] for m in members}]
+    vectors = assemble(data, features).persist()
+    with ThreadPoolExecutor(threads) as pool:
+        jobs = {(n, f): pool.submit(base[n].copy().fit, vectors.where(F.col(fold_col) != f)) for f in folds for n in others}
+        members += [(n, "mllib", None, {f: jobs[n, f].result() for f in folds}) for n in others]
+    members.sort(key=lambda m: list(base).index(m[0]))
+    stack = Stack(features, "label", id_col, members)
+    parts = [stack.base_scores(data.where(F.col(fold_col) == f), f) for f in folds[:-1]]
+    stack.oof = cut_lineage(reduce(DataFrame.unionByName, parts))
+    stack.meta = LogisticRegression(featuresCol="_meta", labelCol="label", maxIter=1000).fit(
+        assemble(stack.oof, [f"p_{m[0]}" for m in members], "_meta"))
+    vectors.unpersist()
     data.unpersist()
-    return meta, refit, oof
-
-
-def stacking_predict(df: DataFrame, features, id_col: str, meta, refit) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    x = VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
-    for n, m in refit.items():
-        scored = m.transform(x)
-        x = scored.select(*x.columns, _base_score(scored).alias(f"p_{n}"))
-    x = VectorAssembler(inputCols=[f"p_{n}" for n in refit], outputCol="meta").transform(x)
-    return meta.setFeaturesCol("meta").transform(x)
+    return stack
 
 
 def permutation_importance(df: DataFrame, id_col: str, features, label: str, score_fn,

@@ -3,8 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import boosting as BO
 from quarry.operators import cluster as CL
 from quarry.operators import features as FE
+from quarry.operators import forest as FO
 from quarry.operators import learn as LN
 from quarry.operators import profile as PR
 from quarry.operators import sampling as S
@@ -278,8 +280,35 @@ def k2_logreg(spark, sf):
 
 
 Q["k2_logreg"] = k2_logreg
-Q["k5_forest"] = _fit_report("forest", numTrees=100, maxDepth=8)
-Q["k6_gbt"] = _fit_report("gbt", maxIter=100, maxDepth=3)
+
+
+def _report_of(p):
+    from quarry.operators import metrics as M
+    return M.classification_report(p.withColumn("prediction", (F.col("p") > 0.5).cast("int")), "label", "prediction")
+
+
+def k5_forest(spark, sf, trees=100):
+    """Trees grown to purity on exact thresholds, two of four features a node."""
+    d = _split(spark, sf).persist()
+    m = FO.fit(d.where("is_test = 0"), X, "label", "row_id", [FO.Spec(trees, max_features=2)])
+    return _report_of(m.predict(d.where("is_test = 1"), "row_id", ["p"]))
+
+
+def k5_importances(spark, sf, trees=100):
+    m = FO.fit(_num(spark, sf), X, "label", "row_id", [FO.Spec(trees, max_features=2)])
+    names = F.array(*map(F.lit, X))
+    return m.importances().select(F.element_at(names, F.col("feature") + 1).alias("feature"), F.round("importance", 6).alias("importance"))
+
+
+def k6_gbt(spark, sf, rounds=100):
+    d = _split(spark, sf).persist()
+    m = BO.fit(d.where("is_test = 0"), X, "label", "row_id", [BO.Spec(rounds, 0.1, 3)])
+    return _report_of(m.predict(d.where("is_test = 1"), ["p"]))
+
+
+Q["k5_forest"] = k5_forest
+Q["k5_importances"] = k5_importances
+Q["k6_gbt"] = k6_gbt
 Q["k8_mlp"] = _fit_report("mlp", layers=[4, 12, 8, 2], maxIter=500)
 
 
@@ -353,45 +382,53 @@ def k7_adaboost(spark, sf):
 Q["k7_adaboost"] = k7_adaboost
 
 
-def stacking_base(trees=100, rounds=100, epochs=500):
-    """The reference's six base models; its three boosters are MLlib GBTs of different depth."""
-    return {"rf": LN.estimator("forest", numTrees=trees, maxDepth=10),
-            **{f"gbt{k}": LN.estimator("gbt", maxIter=rounds, maxDepth=k) for k in (3, 5, 7)},
-            "svm": LN.rff_svm(X, regParam=0.01),
-            "nn": LN.estimator("mlp", layers=[4, 12, 8, 2], maxIter=epochs)}
+def stacking_base(trees=500, rounds=500, epochs=500):
+    """The reference's six base models: a forest, three boosters of different depth, kernel classifier, network."""
+    return {"rf": FO.Spec(trees, max_features=2), **{f"gbt{k}": BO.Spec(rounds, 0.05, k) for k in (3, 5, 7)},
+            "svm": LN.rff_svm(X, regParam=0.01), "nn": LN.estimator("mlp", layers=[4, 12, 8, 2], maxIter=epochs)}
 
 
 def k11_stacking(spark, sf, folds=5, **sizes):
-    from quarry.operators import metrics as M
-    d = S.kfold(_split(spark, sf), "row_id", folds, by="label")
-    train, test = d.where("is_test = 0"), d.where("is_test = 1")
-    base = stacking_base(**sizes)
-    meta, refit, _ = LN.stacking(train, X, "label", "row_id", "fold", base)
-    p = LN.stacking_predict(test, X, "row_id", meta, refit).withColumn(
-        "prediction", F.col("prediction").cast("int"))
-    return M.classification_report(p, "label", "prediction")
+    d = S.kfold(_split(spark, sf), "row_id", folds, by="label").persist()
+    stack = LN.stacking(d.where("is_test = 0"), X, "label", "row_id", "fold", stacking_base(**sizes))
+    return _report_of(stack.predict(d.where("is_test = 1")).withColumnRenamed("probability", "p"))
 
 
 Q["k11_stacking"] = k11_stacking
 
 
-def _grid_q(random_n=None):
-    def q(spark, sf):
-        from pyspark.ml.tuning import ParamGridBuilder
-        d = S.kfold(_split(spark, sf), "row_id", 3, by="label")
-        d = LN.assemble(d.where("is_test = 0"), X).withColumn("label", F.col("label").cast("double"))
-        est = LN.estimator("forest", numTrees=10)
-        grid = (ParamGridBuilder().addGrid(est.maxDepth, [3, 5])
-                .addGrid(est.minInstancesPerNode, [1, 5]).build())
-        if random_n:
-            grid = LN.random_grid(grid, random_n, seed=42)
-        _, table = LN.cross_validate(est, grid, d, "fold", parallelism=2)
-        return table
-    return q
+def _folds(spark, sf):
+    """Training rows with five stratified folds."""
+    return S.kfold(_split(spark, sf), "row_id", 5, by="label").where("is_test = 0")
+
+
+def k12_grid_search(spark, sf, rounds=(100, 200, 300, 400, 500), rates=(0.01, 0.05, 0.1, 0.2, 0.3), depths=range(3, 11)):
+    """200 cells of a boosted model, five folds each."""
+    return BO.grid_search(_folds(spark, sf), X, "label", "row_id", "fold", list(rounds), list(rates), list(depths))
+
+
+def k12_grid_subsample(spark, sf, rounds=(100, 300, 500), rates=(0.01, 0.05, 0.1), depths=(3, 5, 7), subsamples=(0.7, 1.0)):
+    """54 cells with row sampling."""
+    return BO.grid_search(_folds(spark, sf), X, "label", "row_id", "fold", list(rounds), list(rates), list(depths), list(subsamples))
+
+
+def k12_grid_forest(spark, sf, trees=(100, 300, 500)):
+    """72 cells of a forest."""
+    grid = {"trees": list(trees), "max_depth": [None, 10, 20], "min_split": [2, 5], "min_leaf": [1, 2], "bootstrap": [True, False], "max_features": [2]}
+    return FO.search(_folds(spark, sf), X, "label", "row_id", "fold", grid)
+
+
+def k13_random_search(spark, sf, trees=range(100, 1001, 100), n_iter=100):
+    """100 cells of a forest drawn from 3,960; two of its values name the same number of features."""
+    grid = {"trees": list(trees), "max_features": [2, 2], "max_depth": [*range(10, 101, 10), None], "min_split": [2, 5, 10],
+            "min_leaf": [1, 2, 4], "bootstrap": [True, False]}
+    return FO.search(_folds(spark, sf), X, "label", "row_id", "fold", grid, n_iter)
 
 
-Q["k12_grid_search"] = _grid_q()
-Q["k13_random_search"] = _grid_q(random_n=3)
+Q["k12_grid_search"] = k12_grid_search
+Q["k12_grid_subsample"] = k12_grid_subsample
+Q["k12_grid_forest"] = k12_grid_forest
+Q["k13_random_search"] = k13_random_search
 
 
 def k19_permutation(spark, sf):
@@ -406,7 +443,7 @@ Q["k19_permutation"] = k19_permutation
 
 
 def j6_rfe(spark, sf):
-    kept, dropped = FE.rfe(_num(spark, sf), X, "label", 2, num_trees=100)
+    kept, dropped = FE.rfe(_num(spark, sf), X, "label", 2, "row_id", num_trees=100)
     rows = [(f, 1, None) for f in kept] + [(f, 0, i + 1) for i, f in enumerate(dropped)]
     return spark.createDataFrame(rows, "feature string, kept int, dropped_round int")
 
