@@ -3,7 +3,8 @@
 Features of a text are the presence of its distinct words and of their
 beginnings (4, 5 and 6 bytes), hashed.  From a bounded sample of the labelled
 rows the features that go with the label are chosen by their z score, and a
-logistic model is fitted to them by Newton steps on
+logistic model is fitted to them by Newton steps (conjugate gradients on sparse
+rows: memory goes with the features that rows hold) on
 
     log loss + ridge * |w|^2 + fairness * mean (score(x) - score(x'))^2
 
@@ -111,6 +112,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
             .select("label", "raw"))
 
 
+class Rows:
+    """A 0/1 matrix by its rows' columns; memory goes with the ones, not with rows x columns."""
+
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.width = width
+        self.sizes = np.array([len(r) for r in rows], np.int64)
+        self.columns = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int32)
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), self.sizes)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, v[self.columns], len(self.sizes))
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        """The transpose times ``v``."""
+        return np.bincount(self.columns, v[self.owner], self.width)
+
+
+def conjugate_gradient(matrix, target: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
+    """Solve ``matrix(x) = target`` for a positive definite matrix known by its products."""
+    x, rest = np.zeros(len(target)), target.copy()
+    lead = rest / diagonal
+    way, size = lead.copy(), rest @ lead
+    first = size
+    for _ in range(10 * len(target)):
+        if size <= tolerance * tolerance * first:
+            break
+        image = matrix(way)
+        far = size / (way @ image)
+        x, rest = x + far * way, rest - far * image
+        lead = rest / diagonal
+        size, before = rest @ lead, size
+        way = lead + size / before * way
+    return x
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column | None = None,
         max_rows: int = 8000, min_z: float = 3.5,
         ridge: float = 1.0, fairness: float = 10.0, groups=IDENTITY_GROUPS) -> Model:
@@ -138,40 +174,29 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Column
     found = rows.select("label", only("x").alias("x"), only("other").alias("other")).toPandas()
     y, xs, others = found["label"].to_numpy(float), list(found["x"]), list(found["other"])
 
-    def matrix(sets) -> np.ndarray:     # a byte a cell; made wide part by part
-        m = np.zeros((len(sets), len(chosen) + 1), np.int8)
-        for i, s in enumerate(sets):
-            m[i, [column[f] for f in s]] = 1
-        return m
+    bias = len(chosen)
+    x = Rows([np.append([column[f] for f in s], bias) for s in xs], bias + 1)
+    swapped = [i for i, o in enumerate(others) if o is not None]
+    ours, theirs = (Rows([np.array([column[f] for f in side[i]], np.int64) for i in swapped], bias + 1) for side in (xs, others))
+    weight = np.append(np.full(bias, ridge), 1e-6)
 
-    def parts(m: np.ndarray):
-        return ((i, m[i:i + 500].astype(float)) for i in range(0, len(m), 500))
+    def penalty(v: np.ndarray) -> np.ndarray:
+        apart = ours.times(v) - theirs.times(v)
+        return weight * v + 2 * fairness * (ours.back(apart) - theirs.back(apart))
 
-    x = matrix(xs)
-    x[:, -1] = 1
-    swapped = [i for i, o in enumerate(others) if o is not None]
-    gap = x[swapped] - matrix([others[i] for i in swapped])
-    gap[:, -1] = 0
-    penalty = np.diag([ridge] * len(chosen) + [1e-6])
-    for _, g in parts(gap):
-        penalty += 2 * fairness * g.T @ g
-    w = np.zeros(x.shape[1])
+    w = np.zeros(bias + 1)
     w[-1] = math.log(prior / (1 - prior))
-    scores = lambda w: np.concatenate([part @ w for _, part in parts(x)])
     loss = math.inf
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(scores(w), -35, 35)))
-        curve, slope = penalty.copy(), penalty @ w
-        for i, part in parts(x):
-            at = slice(i, i + len(part))
-            curve += (part * (p * (1 - p))[at, None]).T @ part
-            slope += part.T @ (p - y)[at]
-        step = np.linalg.solve(curve, slope)
+        p = 1 / (1 + np.exp(-np.clip(x.times(w), -35, 35)))
+        curve = p * (1 - p)
+        step = conjugate_gradient(lambda v: penalty(v) + x.back(curve * x.times(v)), penalty(w) + x.back(p - y),
+                                  weight + x.back(curve))
         rate = 1.0
         while rate > 1e-4:
             new = w - rate * step
-            s = scores(new)
-            now = np.logaddexp(0, s).sum() - y @ s + 0.5 * new @ penalty @ new
+            s = x.times(new)
+            now = np.logaddexp(0, s).sum() - y @ s + 0.5 * new @ penalty(new)
             if now <= loss:
                 break
             rate /= 2
