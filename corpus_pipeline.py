@@ -9,6 +9,12 @@ quality         documents scored below 0.5 go
 near_duplicates one document of each group of near copies stays (smallest id)
 decontamination documents that hold a benchmark window go
 bpe             token ids of the whole texts, with digests of ids and decoding
+
+Nulls, repeated ids and empty tables: a null or empty text is scored by the
+models' biases, is near to nothing and holds no benchmark window; a null id is
+never dropped as a duplicate; rows that repeat an id are scored each and stay
+or go together as duplicates; columns of any name and number come through the
+first four stages unchanged; a stage over no rows returns none.
 """
 from __future__ import annotations
 
@@ -20,18 +26,21 @@ from quarry.llm import bpe, decontaminate, minhash, quality, toxicity
 from quarry.llm.common import crc_mod, prepared, scratch_dir, table
 
 
+def _nested(docs):
+    """Whole rows beside their text: whatever columns the table has, none meets a score's name."""
+    return docs.select(F.struct("*").alias("row"), F.col("text"))
+
+
 @prepared
 def drop_toxic(spark, docs, sf_dir):
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", crc_mod("doc_id", 5) != 0)
-    return (toxicity.scored(docs, model, into="__toxic").where(F.col("__toxic") < 0.5)
-            .select(*docs.columns))
+    return toxicity.scored(_nested(docs), model, into="score").where("score < 0.5").select("row.*")
 
 
 @prepared
 def drop_low_quality(spark, docs, sf_dir):
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", crc_mod("doc_id", 3) != 1)
-    return (quality.scored(docs, model, into="__quality").where(F.col("__quality") >= 0.5)
-            .select(*docs.columns))
+    return quality.scored(_nested(docs), model, into="score").where("score >= 0.5").select("row.*")
 
 
 @prepared

@@ -306,9 +306,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
 
 def deduplicated(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with one document of each group (the smallest id), all columns."""
-    gone = (near_duplicates(docs, **params).where(~F.col("kept"))
-            .select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, **params).where(~F.col("kept")).select(F.col("doc_id").alias("node")).distinct()
+    return (docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("node"))
+            .join(gone, "node", "left_anti").select("row.*"))
 
 
 def op9_near_duplicates(spark, sf_dir):

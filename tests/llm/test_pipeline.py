@@ -26,3 +26,23 @@ def test_stages(spark):
     result = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SF_SMALL).collect()}
     assert set(result) == clean and len(clean) < len(one)
     assert minhash.deduplicated(third).count() == len(one)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, `__toxic` double, `__quality` double, `__gone` long, score string, node long, `row` string"
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = table(spark, SF_SMALL, "documents")
+    extra = {"__toxic": 0.25, "__quality": 0.75, "__gone": 7, "score": "s", "node": 9, "row": "r"}
+    rows = [(*r, *extra.values()) for r in docs.limit(60).collect()]
+    rows += [(10_000, None, None, None, None, *extra.values()), (10_001, "", None, None, None, *extra.values()),
+             (None, rows[0][1], None, None, None, *extra.values()), rows[0], (10_002, "long words here " * 20000, None, None, None, *extra.values())]
+    for n in (len(rows), 0):
+        given = spark.createDataFrame(rows[:n], CLASHING)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, given, SF_SMALL)
+            kept = out.collect()
+            assert out.columns == given.columns, name
+            assert {tuple(r) for r in kept} <= set(rows)
+            assert all(tuple(r[c] for c in extra) == tuple(extra.values()) for r in kept)
+        assert corpus_pipeline.to_tokens(spark, given, SF_SMALL).count() == n
