@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.blocks import as_matrix, n_blocks, pair_distances, replicate
-from quarry.session import ship_package
+from quarry.session import cut_lineage, ship_package
 
 
 def centroids(df: DataFrame, vec: str, cluster: str) -> DataFrame:
@@ -148,3 +148,174 @@ def centroid_scores(df: DataFrame, vec: str, cluster: str) -> DataFrame:
         db = None
     return spark.createDataFrame([(ss, db, ch)], "inertia double, davies_bouldin double, "
                                                  "calinski_harabasz double")
+
+
+# ------------------------------------------------------------ many k at once
+BLOCK_ROWS = 4096
+
+
+def _vector_blocks(df: DataFrame, id_col: str, vec: str):
+    """Rows as an RDD of (ids, matrix), written once; a round over it is one small job."""
+    def pack(batches):
+        for pdf in batches:
+            x = as_matrix(pdf["v"])
+            for i in range(0, len(x), BLOCK_ROWS):
+                part = np.ascontiguousarray(x[i:i + BLOCK_ROWS])
+                yield pd.DataFrame({"n": [len(part)], "ids": [pdf["id"].to_numpy(np.int64)[i:i + BLOCK_ROWS].tobytes()], "x": [part.tobytes()]})
+    blocks = cut_lineage(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v")).mapInPandas(pack, "n long, ids binary, x binary"))
+    return blocks.rdd.map(lambda r: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"]).reshape(r["n"], -1))).persist()
+
+
+def _to_centres(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return ((x[:, None, :] - centres[None]) ** 2).sum(2) if x.size * len(centres) < 1 << 22 else np.concatenate(
+        [((part[:, None, :] - centres[None]) ** 2).sum(2) for part in np.array_split(x, -(-x.size * len(centres) >> 22))])
+
+
+def _hash_of(ids: np.ndarray, salt: int) -> np.ndarray:
+    """Uniform numbers in (0, 1) by row id."""
+    with np.errstate(over="ignore"):
+        h = (ids.astype(np.uint64) + np.uint64(salt * 1_000_003 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+
+
+def seeds(blocks, k: int, seed: int = 123) -> np.ndarray:
+    """k starting centres, each drawn with a chance proportional to its squared distance to those before.
+
+    A row's draw is log(u) / distance² with u from a hash of its id; the largest
+    draw wins, so a centre is one pass and one row a block, and the first j centres are a
+    start for j clusters."""
+    centres = None
+    for number in range(k):
+        def best(block, centres=centres):
+            ids, x = block
+            far = np.ones(len(x)) if centres is None else _to_centres(x, centres).min(1)
+            with np.errstate(divide="ignore"):
+                draw = np.where(far > 0, np.log(_hash_of(ids, seed + number)) / np.where(far > 0, far, 1.0), -np.inf)
+            i = int(np.lexsort((ids, -draw))[0])
+            return float(draw[i]), int(ids[i]), x[i]
+        draw, _, row = max(blocks.map(best).collect(), key=lambda r: (r[0], -r[1]))
+        if centres is not None and draw == -np.inf:
+            break               # fewer distinct rows than centres
+        centres = row[None] if centres is None else np.vstack([centres, row])
+    return centres
+
+
+def lloyd(blocks, starts: list[np.ndarray], max_iter: int = 300, tol: float = 1e-4):
+    """k-means from each of ``starts``; one pass moves the centres of all models.
+
+    A model rests when its centres' squared moves stay below ``tol`` times the mean variance.
+    An empty cluster keeps its centre.  Returns the centres."""
+    def spread(block):
+        return len(block[1]), block[1].sum(0), (block[1] ** 2).sum(0)
+    n, one, two = blocks.map(spread).treeReduce(lambda a, b: tuple(x + y for x, y in zip(a, b)))
+    limit = tol * float((two / n - (one / n) ** 2).mean())
+    centres, live = [c.copy() for c in starts], set(range(len(starts)))
+    for _ in range(max_iter):
+        if not live:
+            break
+
+        def step(block, centres=centres, live=sorted(live)):
+            x, out = block[1], {}
+            for m in live:
+                near = _to_centres(x, centres[m]).argmin(1)
+                sums = np.zeros_like(centres[m])
+                np.add.at(sums, near, x)
+                out[m] = (sums, np.bincount(near, minlength=len(centres[m])))
+            return out
+        total = blocks.map(step).treeReduce(lambda a, b: {m: (a[m][0] + b[m][0], a[m][1] + b[m][1]) for m in a})
+        for m, (sums, size) in total.items():
+            new = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centres[m])
+            if ((new - centres[m]) ** 2).sum() <= limit:
+                live.discard(m)
+            centres[m] = new
+    return centres
+
+
+def _silhouettes_kernel(n_models: int):
+    def fn(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(b) == 0:
+            return pd.DataFrame({"qid": [], "model": [], "qc": [], "bc": [], "s": [], "n": []})
+        qid, bid = q["qid"].to_numpy(np.int64), b["bid"].to_numpy(np.int64)
+        ql, bl = np.stack(q["qc"].to_numpy()), np.stack(b["bc"].to_numpy())
+        parts = []
+        for s, d in pair_distances(as_matrix(q["qv"]), as_matrix(b["bv"])):
+            m = len(d)
+            other = (qid[s:s + m, None] != bid[None, :]).astype(float)
+            for k in range(n_models):
+                labels, at = np.unique(bl[:, k], return_inverse=True)
+                onehot = np.eye(len(labels))[at]
+                parts.append(pd.DataFrame({"qid": np.repeat(qid[s:s + m], len(labels)), "model": k, "qc": np.repeat(ql[s:s + m, k], len(labels)),
+                                           "bc": np.tile(labels, m), "s": ((d * other) @ onehot).ravel(), "n": np.rint(other @ onehot).astype(np.int64).ravel()}))
+        return pd.concat(parts, ignore_index=True)
+    return fn
+
+
+def silhouettes(df: DataFrame, id_col: str, vec: str, labels: str, n_models: int, block_rows: int = 2048) -> DataFrame:
+    """(model, silhouette): exact mean silhouette of each of ``n_models`` labellings (an array
+    column); every distance is worked out once for all of them."""
+    ship_package(df.sparkSession)
+    b = n_blocks(df.count(), block_rows, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"), F.col(labels).alias("c"))
+    q = replicate(base.toDF("qid", "qv", "qc"), "qid", "qblk", "bblk", b)
+    r = replicate(base.toDF("bid", "bv", "bc"), "bid", "bblk", "qblk", b)
+    per = (q.groupBy("qblk", "bblk").cogroup(r.groupBy("qblk", "bblk"))
+           .applyInPandas(_silhouettes_kernel(n_models), "qid long, model int, qc int, bc int, s double, n long")
+           .groupBy("qid", "model", "qc", "bc").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    mean = F.try_divide(F.col("s"), F.col("n"))
+    own = F.col("bc") == F.col("qc")
+    pt = per.groupBy("qid", "model").agg(F.max(F.when(own, mean)).alias("a"), F.max(F.when(own, F.col("n"))).alias("n"),
+                                         F.min(F.when(~own & (F.col("n") > 0), mean)).alias("b"))
+    s = F.when(F.coalesce(F.col("n"), F.lit(0)) == 0, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return pt.groupBy("model").agg(F.avg(s).alias("silhouette"))
+
+
+def kmeans_sweep(df: DataFrame, id_col: str, vec: str, ks, seed: int = 123, max_iter: int = 300, tol: float = 1e-4):
+    """k-means for every k in ``ks`` (J13): one scan a round for all of them.
+
+    Returns (scores (k, inertia, silhouette, davies_bouldin, calinski_harabasz; the last three
+    null for one cluster), labels (id, labels array in the order of ``ks``), centres)."""
+    spark, ks = df.sparkSession, list(ks)
+    ship_package(spark)
+    blocks = _vector_blocks(df, id_col, vec)
+    try:
+        start = seeds(blocks, max(ks), seed)
+        centres = lloyd(blocks, [start[:k] for k in ks], max_iter, tol)
+
+        def measure(block):
+            x, out = block[1], []
+            for c in centres:
+                d = _to_centres(x, c)
+                near = d.argmin(1)
+                low = d[np.arange(len(x)), near]
+                out.append(np.stack([np.bincount(near, minlength=len(c)), np.bincount(near, np.sqrt(low), len(c)), np.bincount(near, low, len(c))]))
+            return out, len(x), x.sum(0)
+        sums, n, total = blocks.map(measure).treeReduce(lambda a, b: ([x + y for x, y in zip(a[0], b[0])], a[1] + b[1], a[2] + b[2]))
+    finally:
+        blocks.unpersist()
+
+    def label(vectors: pd.Series) -> pd.Series:
+        x = as_matrix(vectors)
+        return pd.Series(list(np.stack([_to_centres(x, c).argmin(1) for c in centres], 1).astype(np.int32)) if len(x) else [], dtype=object)
+    labels = cut_lineage(df.select(F.col(id_col), F.col(vec), F.pandas_udf(label, "array<int>")(F.col(vec)).alias("labels")))
+    several = [i for i, c in enumerate(centres) if (sums[i][0] > 0).sum() > 1]
+    shown = labels.withColumn("labels", F.array(*[F.col("labels")[i] for i in several])) if several else None
+    found = {several[r["model"]]: r["silhouette"] for r in silhouettes(shown, id_col, vec, "labels", len(several)).collect()} if several else {}
+    rows = []
+    for i, k in enumerate(ks):
+        (size, dist, square), c = sums[i], centres[i]
+        used = size > 0
+        db = ch = None
+        if used.sum() > 1:
+            mean, c, size = dist[used] / size[used], c[used], size[used]
+            apart = np.sqrt(_to_centres(c, c))
+            with np.errstate(divide="ignore"):
+                ratio = np.where(apart > 0, (mean[:, None] + mean[None]) / np.where(apart > 0, apart, 1.0), 0.0)
+            db = float(ratio.max(1).mean())
+            between = float((size * ((c - total / n) ** 2).sum(1)).sum())
+            ch = between * (n - len(c)) / (float(square.sum()) * (len(c) - 1)) if square.sum() > 0 and n > len(c) else None
+        rows.append((int(k), float(square.sum()), found.get(i), db, ch))
+    scores = spark.createDataFrame(rows, "k int, inertia double, silhouette double, davies_bouldin double, calinski_harabasz double")
+    return scores, labels.select(id_col, "labels"), centres

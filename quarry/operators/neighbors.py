@@ -1,9 +1,10 @@
 """Nearest neighbours, graphs on them, SMOTE.
 
-Exact kNN runs the blocked cogroup kernel of :mod:`quarry.plans.blocks`:
-each block pair returns only its local top-k per query row, and the global
-top-k is a window per query id over ``B·k`` candidates.  Ties are broken
-by the neighbour id, so results are deterministic.
+Exact kNN sends queries to cells around pivots: rows move only where a
+bound allows one of the k nearest.  Each pair of a query block and a chunk of a cell
+returns only its local top-k per query row, and the global top-k is a
+window per query id over these.  Ties are broken by the neighbour id, so
+results are deterministic.
 """
 from __future__ import annotations
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import hash_int, hash_unit
-from quarry.plans.blocks import as_matrix, n_blocks, pair_distances, replicate
+from quarry.plans.blocks import as_matrix, n_blocks, pair_distances
 from quarry.plans.ranking import row_number
 from quarry.session import cut_lineage, ship_package
 
@@ -50,6 +51,106 @@ def _topk_kernel(k: int, exclude_self: bool):
     return fn
 
 
+def _pivot_distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows to pivots, in slices of bounded memory."""
+    if not len(v):
+        return np.zeros((0, len(pivots)))
+    return np.concatenate([d for _, d in pair_distances(v, pivots)])
+
+
+class Bounds:
+    """What is known of each cell: its pivot, its size, its smallest and largest distance to the pivot
+    (a few numbers a pivot, whatever the data)."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.size, self.low, self.high = np.zeros(len(pivots), np.int64), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+
+    def home(self, d: np.ndarray, k: int) -> np.ndarray:
+        """Cells that hold ``k`` rows together, nearest pivots first: (rows, cells) of truth values."""
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(self.size[order], axis=1) - self.size[order]
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, before < k, axis=1)
+        return out & (self.size > 0)
+
+    def within(self, d: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Cells that may hold a row at distance ``reach`` or less, by rings and bisecting planes."""
+        gap = np.maximum(d - self.high, self.low - d)
+        own = d.argmin(1)
+        between = _pivot_distances(self.pivots, self.pivots)[own]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.where(between > 0, (d * d - (d[np.arange(len(d)), own] ** 2)[:, None]) / (2 * between), 0.0)
+        slack = 1e-9 * (1 + d + np.where(np.isfinite(reach), reach, 0.0)[:, None])         # rounding of distances and bounds
+        return (np.maximum(gap, plane) <= reach[:, None] + slack) & (self.size > 0)
+
+
+class Cells:
+    """Base rows by their nearest pivot.
+
+    Pivots are base rows drawn by hash, about one per ``block_rows`` rows and ``MAX_PIVOTS`` at
+    most.  Cells of more than ``block_rows`` rows are cut into chunks by hash."""
+
+    MAX_PIVOTS = 4096
+
+    def __init__(self, base: DataFrame, n: int, block_rows: int):
+        n_pivots = max(1, min(-(-n // block_rows), self.MAX_PIVOTS))
+        drawn = base.withColumn("_h", hash_int("bid", "pivot")).orderBy("_h", "bid").limit(n_pivots if n_pivots > 1 else 0)
+        pivots = as_matrix(drawn.select("bv").toPandas()["bv"])
+        bounds = self.bounds = Bounds(pivots)
+        self.block_rows, self.many = block_rows, len(pivots) > 1
+        if not self.many:
+            self.rows, self.chunks = base.withColumn("cell", F.lit(0)).withColumn("_c", hash_int("bid", "chunk")), np.array([max(1, -(-n // block_rows))])
+            return
+
+        def assign(batches):
+            for pdf in batches:
+                d = _pivot_distances(as_matrix(pdf["bv"]), pivots)
+                cell = d.argmin(1) if len(d) else np.zeros(0, np.int64)
+                yield pdf.assign(cell=cell.astype(np.int32), d=d[np.arange(len(d)), cell])
+        kind = base.schema["bv"].dataType.simpleString()
+        placed = cut_lineage(base.mapInPandas(assign, f"bid long, bv {kind}, cell int, d double"))
+        for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect():
+            bounds.size[r["cell"]], bounds.low[r["cell"]], bounds.high[r["cell"]] = r["n"], r["lo"], r["hi"]
+        self.chunks = np.maximum(1, -(-bounds.size // block_rows))
+        self.rows = placed.drop("d").withColumn("_c", hash_int("bid", "chunk"))
+
+
+def _sent(queries: DataFrame, cells: Cells, choose) -> DataFrame:
+    """(qid, qv, block, cell): queries with each cell that ``choose(distances, batch)`` names.
+    Near queries share a block: it is the nearest pivot, cut by hash."""
+    pivots, width = cells.bounds.pivots, cells.block_rows
+
+    def run(batches):
+        for pdf in batches:
+            d = _pivot_distances(as_matrix(pdf["qv"]), pivots)
+            if len(d):
+                who, cell = np.nonzero(choose(d, pdf))
+                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[who], "qv": pdf["qv"].to_numpy()[who], "own": d.argmin(1)[who].astype(np.int32),
+                                    "cell": cell.astype(np.int32)})
+    kind = queries.schema["qv"].dataType.simpleString()
+    sent = queries.mapInPandas(run, f"qid long, qv {kind}, own int, cell int")
+    parts = sent.select("own", "qid").distinct().groupBy("own").agg(F.ceil(F.count("*") / width).cast("int").alias("parts"))
+    return sent.join(parts, "own").select("qid", "qv", F.struct("own", F.pmod(hash_int("qid", "part"), F.col("parts")).cast("int").alias("part")).alias("block"), "cell")
+
+
+def _met(sent: DataFrame, cells: Cells):
+    """Both sides of the search by (block, cell, chunk): base rows go only where a query was sent."""
+    chunks = F.array(*map(F.lit, cells.chunks.tolist()))
+    cut = F.element_at(chunks, F.col("cell") + 1)
+    keys = sent.select(F.col("block").alias("to"), F.col("cell").alias("at")).distinct()
+    held = (cells.rows.withColumn("chunk", F.pmod(F.col("_c"), cut).cast("int")).join(keys, F.col("cell") == F.col("at"))
+            .select(F.col("to").alias("block"), F.col("at").alias("cell"), "chunk", "bid", "bv"))
+    asked = sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), cut.cast("int") - 1)))
+    return asked, held
+
+
+def _candidates(sent: DataFrame, cells: Cells, k: int, exclude_self: bool) -> DataFrame:
+    asked, held = _met(cut_lineage(sent) if cells.many else sent, cells)
+    key = ["block", "cell", "chunk"]
+    return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(_topk_kernel(k, exclude_self), "src long, dst long, dist double")
+
+
 def knn(queries: DataFrame, base: DataFrame | None, k: int, id_col: str, vec: str,
         exclude_self: bool | None = None, block_rows: int = 2048,
         materialize: bool = True) -> DataFrame:
@@ -57,25 +158,40 @@ def knn(queries: DataFrame, base: DataFrame | None, k: int, id_col: str, vec: st
 
     Returns (src, dst, dist, rank) with rank 1..k; with ``base=None`` the
     graph is built over ``queries`` itself and a row never pairs with its own
-    id (ids, not positions, decide what "self" is).  The O(n²) kernel runs
-    once: with ``materialize`` (default) the n·k result is written to the
-    checkpoint folder, so graph operators that read it several times (degree,
-    joins, symmetrisation) do not recompute it.
+    id (ids, not positions, decide what "self" is).
+
+    Base rows lie in cells around pivots.  A query first meets the nearest cells that
+    hold k rows; its k-th distance there bounds the rest: it is sent to another
+    cell only if ring and plane bounds allow a row as near.  Base rows move only
+    to query blocks that were sent to their cell, in chunks of at most
+    about ``block_rows`` rows.  Few rows (one cell) are compared directly.  With ``materialize``
+    (default) the n·k result is written to the checkpoint folder, so graph operators that read
+    it several times do not recompute it.
     """
     ship_package(queries.sparkSession)
     same = base is None
     base = queries if same else base
     exclude_self = same if exclude_self is None else exclude_self
-    n = max(queries.count(), base.count())
-    b = n_blocks(n, block_rows, 2 * queries.sparkSession.sparkContext.defaultParallelism)
-    q = replicate(queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec).alias("qv")),
-                  "qid", "qblk", "bblk", b)
-    r = replicate(base.select(F.col(id_col).cast("long").alias("bid"), F.col(vec).alias("bv")),
-                  "bid", "bblk", "qblk", b)
-    cand = q.groupBy("qblk", "bblk").cogroup(r.groupBy("qblk", "bblk")).applyInPandas(
-        _topk_kernel(k, exclude_self), "src long, dst long, dist double")
+    n = base.count()
+    q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec).alias("qv"))
+    cells = Cells(base.select(F.col(id_col).cast("long").alias("bid"), F.col(vec).alias("bv")), n, block_rows)
+    if cells.many:
+        need, bounds = k + int(exclude_self), cells.bounds
+        first = cut_lineage(_candidates(_sent(q, cells, lambda d, _: bounds.home(d, need)), cells, k, exclude_self))
+        near = Window.partitionBy("src").orderBy("dist", "dst")
+        best = cut_lineage(first.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k))
+        reach = best.where(F.col("rank") == k).select(F.col("src").alias("qid"), F.col("dist").alias("reach")).distinct()
+
+        def others(d, pdf):
+            return bounds.within(d, pdf["reach"].fillna(np.inf).to_numpy(float)) & ~bounds.home(d, need)
+        more = _candidates(_sent(q.join(reach, "qid", "left"), cells, others), cells, k, exclude_self)
+        found = best.drop("rank").union(more)
+    else:
+        tasks = n_blocks(queries.count(), block_rows, 2 * queries.sparkSession.sparkContext.defaultParallelism)
+        block = F.struct(F.lit(0).alias("own"), F.pmod(hash_int("qid", "part"), F.lit(tasks)).cast("int").alias("part"))
+        found = _candidates(q.select("qid", "qv", block.alias("block"), F.lit(0).alias("cell")), cells, k, exclude_self)
     w = Window.partitionBy("src").orderBy("dist", "dst")
-    out = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return cut_lineage(out) if materialize else out
 
 
@@ -88,6 +204,24 @@ def nearest_label(queries: DataFrame, base: DataFrame, id_col: str, vec: str, la
     return nn.join(labs, "dst").select(F.col("src").alias(id_col), "dst", "dist", "predicted")
 
 
+def fold_accuracy(df: DataFrame, id_col: str, vec: str, label: str, fold: str) -> DataFrame:
+    """(fold, n, accuracy) of the 1-NN classifier: every fold's rows find their nearest row in the others (K3)."""
+    out = None
+    for f in [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]:
+        own, rest = df.where(F.col(fold) == f), df.where(F.col(fold) != f)
+        p = nearest_label(own, rest, id_col, vec, label, exclude_self=False).join(own.select(id_col, label), id_col)
+        part = p.agg(F.lit(f).alias("fold"), F.count(F.lit(1)).alias("n"), F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def grid_points(spark, low: float, step: float, side: int) -> DataFrame:
+    """(point, xy): a square grid of side² points, row by row."""
+    at = lambda c: F.lit(low) + c.cast("double") * F.lit(step)
+    p = F.col("id")
+    return spark.range(side * side).select(p.alias("point"), F.array(at(p % side), at(F.floor(p / side))).alias("xy"))
+
+
 def aggregate_neighbors(nodes: DataFrame, edges: DataFrame, id_col: str, vec: str,
                         how: str = "mean") -> DataFrame:
     """Neighbourhood aggregation of feature vectors, messages flowing
@@ -103,7 +237,8 @@ def aggregate_neighbors(nodes: DataFrame, edges: DataFrame, id_col: str, vec: st
     e = edges.select("src", "dst")
     if how == "gcn":
         e = e.unionByName(nodes.select(F.col(id_col).alias("src"), F.col(id_col).alias("dst")))
-        deg = e.groupBy("dst").agg(F.count(F.lit(1)).alias("deg"))
+        # written, so that a join on a hub node can still be split at run time
+        deg = cut_lineage(e.groupBy("dst").agg(F.count(F.lit(1)).alias("deg")))
         e = (e.join(deg.select(F.col("dst").alias("src"), F.col("deg").alias("ds")), "src")
              .join(deg.select("dst", F.col("deg").alias("dd")), "dst")
              .withColumn("w", F.lit(1.0) / F.sqrt(F.col("ds") * F.col("dd"))))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import hash_int, hash_unit
 from quarry.plans.ranking import row_number
+from quarry.session import cut_lineage
 
 
 def assign_split(df: DataFrame, key: str, weights, salt: str = "", out: str = "split") -> DataFrame:
@@ -56,6 +57,22 @@ def holdout(df: DataFrame, key: str, test_frac: float, by=None, salt: str = "",
     return r.withColumn(out, flag).drop("_h", "_rank", "_n")
 
 
+def three_way(df: DataFrame, key: str, test_frac: float, valid_frac: float, by=None, salt: str = "", out: str = "part") -> DataFrame:
+    """``test``, ``valid`` and ``train`` per group (H3): exactly ⌈n·test_frac⌉ test rows, then
+    ⌈rest·valid_frac⌉ validation rows of the others.  One ranking serves both stages."""
+    by = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    # only keys are ranked; the other columns meet their rank in a join
+    keys = df.select(key, *by)
+    ranked, _ = _ranked(keys, key, by, salt)
+    sizes = cut_lineage(keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+    ranked = ranked.join(sizes, [ranked[c].eqNullSafe(sizes[c]) for c in by], "inner").drop(*[sizes[c] for c in by]) if by else ranked.crossJoin(F.broadcast(sizes))
+    test = F.ceil(F.col("_n") * F.lit(test_frac))
+    valid = test + F.ceil((F.col("_n") - test) * F.lit(valid_frac))
+    part = F.when(F.col("_rank") <= test, "test").when(F.col("_rank") <= valid, "valid").otherwise("train")
+    parts = ranked.select(F.col(key).alias("_key"), part.alias(out))
+    return df.join(parts, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def kfold(df: DataFrame, key: str, k: int, by=None, salt: str = "", out: str = "fold") -> DataFrame:
     """Fold 0..k-1 dealt round-robin in hash order within each group, so
     every group is spread evenly over the folds (H5, stratified when ``by``)."""

@@ -252,6 +252,15 @@ def j13_kmeans(spark, sf):
 Q["j13_kmeans"] = j13_kmeans
 
 
+def j13_sweep(spark, sf):
+    """k from 1 to 10: inertia, silhouette and centroid scores of every k."""
+    v = _vec(spark, sf).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return CL.kmeans_sweep(v, "vec_id", "embedding", range(1, 11))[0]
+
+
+Q["j13_sweep"] = j13_sweep
+
+
 def _split(spark, sf):
     s = FE.standardize(_num(spark, sf), X)
     return S.holdout(s, "row_id", 0.3)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
 from quarry.operators import neighbors as N
+from quarry.operators import sampling as S
 from quarry.plans.fixtures import cte, fixture
 
 Q, SQL = {}, {}
@@ -76,6 +77,35 @@ SELECT g.src AS vec_id, b.label AS predicted, CASE WHEN b.label = a.label THEN 1
 FROM g JOIN v a ON a.vec_id = g.src JOIN v b ON b.vec_id = g.dst"""
 
 
+def k3_grid(spark, sf):
+    """The class of each of 41 × 41 points between -2 and 2 by the nearest row's first two components."""
+    v = _vec(spark, sf).select(F.col("vec_id").alias("point"), F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("xy"), "label")
+    return N.nearest_label(N.grid_points(spark, -2.0, 0.1, 41), v, "point", "xy", "label", exclude_self=False).select(
+        "point", F.col("dst").alias("vec_id"), "predicted")
+
+
+Q["k3_grid"] = k3_grid
+SQL["k3_grid"] = _V + """,
+p AS (SELECT range AS point, [CAST(-2.0 AS DOUBLE) + (range % 41) * CAST(0.1 AS DOUBLE), CAST(-2.0 AS DOUBLE) + (range // 41) * CAST(0.1 AS DOUBLE)] AS xy
+      FROM range(1681))
+SELECT point, vec_id, label AS predicted FROM (
+  SELECT p.point, v.vec_id, v.label, ROW_NUMBER() OVER (PARTITION BY p.point ORDER BY list_distance(p.xy, v.e[1:2]), v.vec_id) AS r FROM p, v)
+WHERE r = 1"""
+
+
+def k3_folds(spark, sf):
+    v = S.block_folds(_vec(spark, sf), "vec_id", 5)
+    return N.fold_accuracy(v, "vec_id", "embedding", "label", "fold").select("fold", "n", F.round("accuracy", 6).alias("accuracy"))
+
+
+Q["k3_folds"] = k3_folds
+SQL["k3_folds"] = _V + """,
+f AS (SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY vec_id) - 1) * 5 / COUNT(*) OVER ()) AS INTEGER) AS fold FROM v),
+n AS (SELECT a.fold, a.label = b.label AS hit, ROW_NUMBER() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS r
+      FROM f a JOIN f b ON a.fold <> b.fold)
+SELECT fold, COUNT(*) AS n, ROUND(AVG(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM n WHERE r = 1 GROUP BY fold"""
+
+
 def g11_distances(spark, sf, k=5):
     v = _vec(spark, sf)
     g = N.knn(v, None, k, "vec_id", "embedding")

@@ -47,6 +47,20 @@ SELECT doc_id, quality,
 FROM labels"""
 
 
+def h3_three_way(spark, sf):
+    """Two stages, each a fifth: test, then validation rows of the rest, labels spread evenly."""
+    l = spark.read.parquet(f"{sf}/labels.parquet")
+    return S.three_way(l, "doc_id", 0.2, 0.2, by="quality").select("doc_id", "quality", "part")
+
+
+Q["h3_three_way"] = h3_three_way
+SQL["h3_three_way"] = f"""
+SELECT doc_id, quality, CASE WHEN r <= t THEN 'test' WHEN r <= t + CEIL((n - t) * 0.2) THEN 'valid' ELSE 'train' END AS part
+FROM (SELECT *, CEIL(n * 0.2) AS t FROM (
+  SELECT doc_id, quality, ROW_NUMBER() OVER (PARTITION BY quality ORDER BY {_h('doc_id')}, doc_id) AS r,
+         COUNT(*) OVER (PARTITION BY quality) AS n FROM labels))"""
+
+
 def h4_sample(spark, sf):
     return S.sample_frac(fixture(spark, sf, "fx_sched"), "encounter_id", 0.15).select(
         "encounter_id", "or_suite", "day")
