@@ -286,53 +286,123 @@ def random_fourier(df: DataFrame, features, n_components: int = 100, gamma: floa
     return df.select("*", *cols)
 
 
-def adaboost(df: DataFrame, features, label: str, n_estimators: int = 50,
-             learning_rate: float = 1.0, checkpoint_every: int = 5, max_bins: int = 256):
-    """Discrete SAMME boosting of depth-1 trees (K7).  Row weights are a
-    column re-computed each round; lineage is cut every few rounds.
-    Returns a list of (model, alpha)."""
-    from pyspark.ml.classification import DecisionTreeClassifier
-    from pyspark.ml.feature import VectorAssembler
-    va = VectorAssembler(inputCols=list(features), outputCol="_x")
-    n = df.count()
-    cur = cut_lineage(va.transform(df.select(*features, F.col(label).cast("double").alias("_y")))
-                      .withColumn("_w", F.lit(1.0 / n)))
-    stages = []
-    for m in range(n_estimators):
-        # fine candidate thresholds: stumps close to exhaustive-split stumps
-        dt = DecisionTreeClassifier(maxDepth=1, featuresCol="_x", labelCol="_y", maxBins=max_bins,
-                                    weightCol="_w", predictionCol="_p", seed=42)
-        model = dt.fit(cur)
-        pred = model.transform(cur).select("_x", "_y", "_w", "_p")
-        wrong = (F.col("_p") != F.col("_y")).cast("double")
-        e = pred.agg((F.sum(F.col("_w") * wrong) / F.sum("_w")).alias("e")).first()["e"]
-        if e is None or e >= 0.5:
-            break
-        if e <= 0:
-            stages.append((model, 1.0))
-            break
-        alpha = learning_rate * math.log((1 - e) / e)
-        stages.append((model, alpha))
-        nxt = pred.withColumn("_w", F.col("_w") * F.exp(F.lit(alpha) * wrong)).drop("_p")
-        tot = nxt.agg(F.sum("_w")).first()[0]
-        nxt = nxt.withColumn("_w", F.col("_w") / F.lit(tot))
-        cur = cut_lineage(nxt) if (m + 1) % checkpoint_every == 0 else nxt
-    return stages
-
-
-def adaboost_predict(df: DataFrame, features, stages, out: str = "prediction") -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array  # noqa: F401
-    cur = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df)
-    score = F.lit(0.0)
-    for i, (m, a) in enumerate(stages):
-        cur = m.setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}") \
-            .setProbabilityCol(f"_q{i}").transform(cur)
-        score = score + F.lit(a) * (F.col(f"_p{i}") * 2 - 1)
-        cur = cur.withColumn("_s", score).drop(f"_r{i}", f"_q{i}")
-        score = F.col("_s")
-    drop = [f"_p{i}" for i in range(len(stages))] + ["_x", "_s"]
-    return cur.withColumn(out, (F.col("_s") > 0).cast("int") if stages else F.lit(0)).drop(*drop)
+def _sorted_blocks(df: DataFrame, features, label: str):
+    """The rows once per feature, in the order of its values, as an RDD of
+    (feature, matrix, labels, value after the block's last): written once, so
+    rounds of boosting change weights only.  Nulls lie below all values."""
+    features, low = list(features), F.lit(float("-inf"))
+    d = len(features)
+    xs = [F.coalesce(F.nanvl(F.col(c).cast("double"), low), low).alias(f"x{i}") for i, c in enumerate(features)]
+    rows = df.where(F.col(label).isNotNull()).select(*xs, F.col(label).cast("double").alias("y"))
+    names = [f"x{i}" for i in range(d)]
+    copies = (rows.withColumn("feature", F.explode(F.array(*map(F.lit, range(d)))))
+              .withColumn("value", F.element_at(F.array(*names), F.col("feature") + 1)))
+    # a frequent value is cut by a hash of the row, so no value is bound to one task
+    order = ["feature", "value", F.xxhash64(*names, "y")]
+
+    def pack(batches):
+        from pyspark import TaskContext
+        pid, number, held, of = TaskContext.get().partitionId(), 0, [], None
+
+        def block():
+            m = np.concatenate(held)
+            return pd.DataFrame({"feature": [of], "at": [pid * (1 << 32) + number], "n": [len(m)], "first": [float(m[0, of])], "m": [m.tobytes()]})
+        for pdf in batches:
+            for f, part in pdf.groupby("feature", sort=True):
+                m = part[[*names, "y"]].to_numpy(float)
+                if held and (f != of or sum(map(len, held)) + len(m) > BLOCK_ROWS):
+                    yield block()
+                    held, number = [], number + 1
+                of = int(f)
+                held.append(m)
+        if held:
+            yield block()
+    blocks = cut_lineage(copies.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
+        pack, "feature int, at long, n long, first double, m binary"))
+    places = blocks.select("feature", "at", "first").orderBy("feature", "at").collect()        # a row a block
+    after = {(r["feature"], r["at"]): (s["first"] if s is not None and s["feature"] == r["feature"] else math.inf)
+             for r, s in zip(places, [*places[1:], None])}
+
+    def arrays(r):
+        m = np.frombuffer(r["m"]).reshape(r["n"], d + 1)
+        return r["feature"], r["at"], np.ascontiguousarray(m[:, :d]), m[:, d].copy(), after[r["feature"], r["at"]]
+    return blocks.rdd.map(arrays).persist(), [(r["feature"], r["at"]) for r in places]
+
+
+def _log_weights(x: np.ndarray, y: np.ndarray, stumps) -> np.ndarray:
+    out = np.zeros(len(x))
+    for feature, threshold, left, right, alpha in stumps:
+        out += alpha * (np.where(x[:, feature] <= threshold, left, right) != y)
+    return out
+
+
+def adaboost(df: DataFrame, features, label: str, n_estimators: int = 50, learning_rate: float = 1.0):
+    """Discrete SAMME boosting of exact stumps (K7).
+
+    Every value of every feature is a cut (threshold midway to the next value);
+    the purest split by weighted Gini wins, ties to the smaller feature and value.
+    A round is two small passes over blocks kept in value order: sums of the
+    blocks, then the best cut inside each given the sums before it.  Returns a list of
+    (feature, threshold, class at or below it, class above it, alpha)."""
+    blocks, places = _sorted_blocks(df, features, label)
+    stumps, shift = [], 0.0
+    try:
+        for _ in range(n_estimators):
+            def weights(block, stumps=tuple(stumps), shift=shift):
+                return np.exp(_log_weights(block[2], block[3], stumps) - shift)
+
+            def sums(block, weights=weights):
+                w = weights(block)
+                return (block[0], block[1]), (w.sum(), w @ block[3])
+            found = dict(blocks.map(sums).collect())
+            before, so_far, totals = {}, {}, {}
+            for f, at in places:
+                before[f, at] = so_far.get(f, (0.0, 0.0))
+                so_far[f] = tuple(a + b for a, b in zip(before[f, at], found[f, at]))
+            totals = so_far
+
+            def best(block, weights=weights, before=before, totals=totals):
+                f, at, x, y, after = block
+                (w0, p0), (wt, pt) = before[f, at], totals[f]
+                w = weights(block)
+                v = np.append(x[:, f], after)
+                cut = np.flatnonzero((v[1:] != v[:-1]) & np.isfinite(v[1:]))
+                if not len(cut):
+                    return None
+                wl, pl = (w0 + w.cumsum())[cut], (p0 + (w * y).cumsum())[cut]
+                wr, pr = wt - wl, pt - pl
+                score = (pl * pl + (wl - pl) ** 2) / wl + (pr * pr + (wr - pr) ** 2) / wr
+                i = int(score.argmax())
+                a, b = v[cut[i]], v[cut[i] + 1]
+                middle = (a + b) / 2
+                return float(score[i]), f, float(middle if a <= middle < b else a), wl[i], pl[i], wt, pt
+            cuts = [c for c in blocks.map(best).collect() if c is not None]
+            if not cuts:
+                break
+            _, feature, threshold, wl, pl, wt, pt = max(cuts, key=lambda c: (c[0], -c[1], -c[2]))
+            wr, pr = wt - wl, pt - pl
+            left, right = int(2 * pl > wl), int(2 * pr > wr)
+            e = (min(pl, wl - pl) + min(pr, wr - pr)) / wt
+            if e >= 0.5:
+                break
+            if e <= 1e-15:
+                stumps.append((feature, threshold, left, right, 1.0))
+                break
+            alpha = learning_rate * math.log((1 - e) / e)
+            stumps.append((feature, threshold, left, right, alpha))
+            shift += math.log(wt * (1 - e + e * math.exp(alpha)))      # so that the next weights sum to 1
+    finally:
+        blocks.unpersist()
+    return stumps
+
+
+def adaboost_predict(df: DataFrame, features, stumps, out: str = "prediction") -> DataFrame:
+    """``df`` with the class that most of the stumps' weights vote for, as a JVM expression."""
+    low = F.lit(float("-inf"))
+    x = [F.coalesce(F.nanvl(F.col(c).cast("double"), low), low) for c in features]
+    votes = [F.when(x[f] <= F.lit(t), F.lit(a * (2 * left - 1))).otherwise(F.lit(a * (2 * right - 1))) for f, t, left, right, a in stumps]
+    score = reduce(lambda a, b: a + b, votes, F.lit(0.0))
+    return df.withColumn(out, (score > 0).cast("int"))
 
 
 def cross_validate(est, grid, df: DataFrame, fold_col: str, label: str = "label",

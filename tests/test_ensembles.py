@@ -170,3 +170,49 @@ def test_stack_scores_each_row_without_itself(data):
     alone = BO.fit(clean, X, "label", "id", [BO.Spec(5, 0.3, 2, fold=2)], "fold").predict(clean.where("fold = 2"), ["p"])
     assert {r["id"]: r["p"] for r in alone.collect()} == {r["id"]: r["p_gbt"] for r in oof if r["fold"] == 2}
     assert np.mean([(r["probability"] > 0.5) == (r["label"] == 1) for r in s.predict(clean).collect()]) > 0.85
+
+
+def samme(x, y, rounds):
+    w, stumps = np.ones(len(y)) / len(y), []
+    for _ in range(rounds):
+        best = (-1.0,)
+        for f in range(x.shape[1]):
+            values = np.unique(x[:, f])
+            for v, after in zip(values, values[1:]):
+                left = x[:, f] <= v
+                sides = [(w[s].sum(), w[s] @ y[s]) for s in (left, ~left)]
+                score = sum((p * p + (t - p) ** 2) / t for t, p in sides)
+                if score > best[0] + 1e-12:
+                    best = (score, f, (v + after) / 2, *[int(2 * p > t) for t, p in sides])
+        _, f, t, a, b = best
+        wrong = np.where(x[:, f] <= t, a, b) != y
+        e = w[wrong].sum() / w.sum()
+        alpha = np.log((1 - e) / e)
+        stumps.append((f, t, a, b, alpha))
+        w = w * np.exp(alpha * wrong)
+        w /= w.sum()
+    return stumps
+
+
+def test_stumps_equal_exhaustive_search(spark, data, monkeypatch):
+    monkeypatch.setattr(LN, "BLOCK_ROWS", 64)       # the driver packs by it too; blocks cut values apart
+    x, y = table()
+    got, want = LN.adaboost(data.where("id < 1000"), X, "label", 8), samme(x, y, 8)
+    assert [s[:4] for s in got] == [(f, pytest.approx(t), a, b) for f, t, a, b, _ in want]
+    assert np.allclose([s[4] for s in got], [s[4] for s in want])
+    votes = sum(a * (2 * np.where(x[:, f] <= t, left, right) - 1) for f, t, left, right, a in want)
+    p = {r["id"]: r["prediction"] for r in LN.adaboost_predict(data, X, got).collect()}
+    assert [p[i] for i in range(len(y))] == (votes > 0).astype(int).tolist()
+    assert len(p) == 402        # nulls and NaN are scored as lowest values
+
+
+def test_stumps_stop(spark):
+    rows = [(i, float(i % 2), float(i), i % 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label int")
+    assert LN.adaboost(df, ["a", "b"], "label", 5) == [(0, 0.5, 0, 1, 1.0)]
+    assert LN.adaboost(df.withColumn("a", F_lit()), ["a"], "label", 5) == []
+
+
+def F_lit():
+    from pyspark.sql import functions as F
+    return F.lit(1.0)
