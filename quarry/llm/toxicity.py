@@ -129,8 +129,9 @@ class Rows:
         return np.bincount(self.columns, v[self.owner], self.width)
 
 
-def conjugate_gradient(matrix, target: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
-    """Solve ``matrix(x) = target`` for a positive definite matrix known by its products."""
+def conjugate_gradient(matrix, target: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-4) -> np.ndarray:
+    """Solve ``matrix(x) = target`` for a positive definite matrix known by its products, until the
+    rest is ``tolerance`` of the target: Newton steps correct what one of them leaves."""
     x, rest = np.zeros(len(target)), target.copy()
     lead = rest / diagonal
     way, size = lead.copy(), rest @ lead
