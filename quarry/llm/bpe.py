@@ -11,9 +11,19 @@ to, and each merge (a, b), in order, adds its gadget:
 
 So a state is fully given by the state it was copied from, the arc it lost
 and the merge that made it, and all arcs of one token lead to one state.
-The tables hold just that (one entry per merge), and an arc is looked up by
-following copies back and gadgets down.  Encoding a pre-split word follows
-the one path whose labels spell it; decoding emits the labels of the arcs.
+The arc lists hold just that (one entry per merge), and an arc is looked up
+by following copies back and gadgets down.
+
+Words are encoded by a transition table over base symbols, which is the
+automaton made deterministic with delayed output.  A row stands for all that
+a prefix leaves open: the last token of the prefix's own path, and each
+(state, part of a label) from which a longer arc may still end.  A prefix of
+a path is the path of its string, so exactly one open label ends in an arc
+at every symbol, and the row names it.  A word is one look-up per symbol; its
+tokens are read back from the last row by their widths.  Rows are compiled
+when a word first needs them, equal ones once, and at most TABLE_ROWS are
+held (beyond that the table starts anew; results do not depend on it).
+Decoding emits the labels of the arcs.
 
 Text is prepared as the vocabulary file says: NFC, runs of white space to one
 blank, lower case per character, split by its pattern, bytes as printable
@@ -28,10 +38,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from bisect import bisect_right
 from itertools import chain
-from typing import Iterator
+from typing import Iterable, Iterator
 
 import pandas as pd
 import regex
@@ -42,6 +53,8 @@ from quarry.llm.common import table
 
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CACHE_WORDS = 200_000
+TABLE_ROWS = 150_000    # checked between words
+BITS = 9                # base symbols: bytes, and bytes at a word's end
 
 
 class MergeAutomaton:
@@ -75,16 +88,31 @@ class MergeAutomaton:
                 self.copies[x].append(k)
                 self.after[x] = k
         self.token = token
-        self.trie: dict = {}            # labels by symbol; a token under the empty symbol
-        spelled: list[tuple[str, ...]] = [(s,) for s in symbols]
+        spelled: list[tuple[int, ...]] = [(i,) for i in range(n)]
         for a, b in merges:
             spelled.append(spelled[token[a]] + spelled[token[b]])
+        self.width = [len(parts) for parts in spelled]
+        self.child: dict[int, int] = {}     # (label's part, base symbol) -> longer part
+        self.whole = [-1]                   # token whose label the part is
+        self.more = [True]                  # whether a longer part exists
         for t, parts in enumerate(spelled):
-            node = self.trie
+            node = 0
             for s in parts:
-                node = node.setdefault(s, {})
-            node[""] = t
-        self.known: dict[int, bool] = {}
+                key = node << BITS | s
+                self.more[node] = True
+                node = self.child.get(key, -1)
+                if node < 0:
+                    node = self.child[key] = len(self.whole)
+                    self.whole.append(-1)
+                    self.more.append(False)
+            self.whole[node] = t
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the compiled rows but the start."""
+        self.rows: dict[tuple, int] = {}
+        self.next: dict[int, int] = {}      # (row, base symbol) -> row
+        self.last, self.open = [-1], [(0, 0)]
 
     def has_arc(self, state: int, t: int) -> bool:
         """Whether the state has an arc of the token."""
@@ -106,52 +134,49 @@ class MergeAutomaton:
             t = self.left[t]
         return True
 
-    def encode(self, symbols: list[str]) -> list[int]:
-        """Token numbers of one pre-split word given as base symbols.
-
-        Follows arcs from the start, the longest label first.  A prefix of a
-        word has one path, so a place that leads nowhere is left for good."""
-        known, after, n = self.known, self.after, len(symbols)
-        path: list[tuple] = []
-        dead: set[int] = set()
-        at, state, fits = 0, 0, self.labels_at(symbols, 0)
-        while at < n:
-            while fits:
-                t, end = fits.pop()
-                if end in dead:
-                    continue
-                key = state << 32 | t
-                found = known.get(key)
-                if found is None:
-                    found = self.look_up(key, state, t)
-                if found:
-                    path.append((t, at, state, fits))
-                    at, state = end, after[t]
-                    fits = self.labels_at(symbols, at) if at < n else []
-                    break
-            else:
-                dead.add(at)
-                _, at, state, fits = path.pop()
-        return [p[0] for p in path]
-
-    def labels_at(self, symbols: list[str], at: int) -> list[tuple[int, int]]:
-        """(token, end) of the labels spelled from here on, the longest last."""
-        node, fits = self.trie, []
-        for end in range(at, len(symbols)):
-            node = node.get(symbols[end])
+    def compile(self, row: int, symbol: int) -> int:
+        """Add the transition of a row under a base symbol, with its target row if new."""
+        last, still, pairs = -1, [], iter(self.open[row])
+        for state, node in zip(pairs, pairs):   # the longest open label first
+            node = self.child.get(node << BITS | symbol)
             if node is None:
-                break
-            t = node.get("")
-            if t is not None:
-                fits.append((t, end + 1))
-        return fits
-
-    def look_up(self, key: int, state: int, t: int) -> bool:
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        found = self.known[key] = self.has_arc(state, t)
+                continue
+            t = self.whole[node]
+            if t >= 0 and last < 0 and self.has_arc(state, t):
+                last = t
+            if self.more[node]:
+                still += state, node
+        if last < 0:
+            raise ValueError("a symbol outside the automaton's")
+        key = (last, *still)
+        found = self.rows.get(key)
+        if found is None:
+            found = self.rows[key] = len(self.last)
+            self.last.append(last)
+            self.open.append((*still, self.after[last], 0))
+        self.next[row << BITS | symbol] = found
         return found
 
+    def walk(self, symbols: Iterable[int]) -> list[int]:
+        """Token numbers of one pre-split word given as numbers of base symbols."""
+        if len(self.last) > TABLE_ROWS:
+            self.clear()
+        row, path, step, last, width = 0, [], self.next.get, self.last, self.width
+        for s in symbols:
+            row = step(row << BITS | s) or self.compile(row, s)
+            path.append(row)
+        out, at = [], len(path)
+        while at:
+            t = last[path[at - 1]]
+            out.append(t)
+            at -= width[t]
+        out.reverse()
+        return out
+
+    def encode(self, symbols: list[str]) -> list[int]:
+        """Token numbers of one pre-split word given as base symbols."""
+        return self.walk([self.token[s] for s in symbols])
+
 
 def byte_symbols() -> list[str]:
     """Printable symbol of each byte: itself where printable, else from U+0100 on, in order."""
@@ -175,22 +200,22 @@ class Codec:
         self.labels = {i: s for s, i in [*self.vocab.items(), *self.added.items()]}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", WHITE)).findall
-        self.space = regex.compile(f"[{WHITE}]+")
-        self.odd = regex.compile("[\\x1c-\\x1f]")  # blanks to str.split, not to the vocabulary's pattern
+        ascii_only = pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", "\\t-\\r ")
+        self.ascii_words = self.words if r"\p" in ascii_only else re.compile(ascii_only).findall
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.cache: dict[str, tuple[tuple[int, ...], str, str]] = {}
-        self.word_cache: dict[str, list[int]] = {}
 
-    def word(self, word: str) -> list[int]:
-        found = self.word_cache.get(word)
-        if found is None:
-            symbols = [self.symbols[b] for b in word.encode()]
-            symbols[-1] += self.end
-            found = [self.ids[t] for t in self.automaton.encode(symbols)]
-            if len(word) <= 40:
-                if len(self.word_cache) >= CACHE_WORDS:
-                    self.word_cache.clear()
-                self.word_cache[word] = found
+    def entry(self, ids: tuple[int, ...]) -> tuple[tuple[int, ...], str, str]:
+        return ids, " ".join(map(str, ids)), self.decode(ids)
+
+    def word(self, word: str) -> tuple[tuple[int, ...], str, str]:
+        """(ids, ids as text, decoded) of a pre-split word, remembered if short."""
+        raw = word.encode()
+        found = self.entry(tuple([self.ids[t] for t in self.automaton.walk([*raw[:-1], 256 + raw[-1]])]))
+        if len(word) <= 40:
+            if len(self.cache) >= CACHE_WORDS:
+                self.cache.clear()
+            self.cache[word] = found
         return found
 
     def normal(self, text: str) -> str:
@@ -199,37 +224,21 @@ class Codec:
             text = text.replace("\u03a3", "\u03c3")
         return text.lower()
 
-    def plain(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.word, self.words(self.normal(text)))))
+    def plain(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
+        known, word = self.cache.get, self.word
+        words = self.ascii_words(text.lower()) if text.isascii() else self.words(self.normal(text))
+        return [known(w) or word(w) for w in words]
 
-    def chunk(self, text: str) -> list[int]:
-        """Ids of a stretch without white space; no token reaches across white space."""
+    def parts(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
+        """(ids, ids as text, decoded) of each pre-split word and added token, in order."""
         if self.cut is None:
             return self.plain(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
             out += self.plain(text[at:m.start()])
-            out.append(self.added[m[0]])
+            out.append(self.entry((self.added[m[0]],)))
             at = m.end()
-        return out + self.plain(text[at:])
-
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
-        """(ids, ids as text, decoded) of each stretch without white space, in order."""
-        chunks = text.split()
-        if self.odd.search(text):
-            chunks = [x for x in self.space.split(text) if x]
-        cache, out = self.cache, []
-        for c in chunks:
-            found = cache.get(c)
-            if found is None:
-                ids = tuple(self.chunk(c))
-                found = ids, " ".join(map(str, ids)), self.decode(ids)
-                if len(c) <= 40:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[c] = found
-            out.append(found)
-        return out
+        return out + self.plain(text[at:]) if at else self.plain(text)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable([p[0] for p in self.parts(text)]))
@@ -283,7 +292,7 @@ def digests(docs: DataFrame, vocabulary: str, keep_ids: bool = False) -> DataFra
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256 (and the ids).
 
     Encodes, then decodes the ids again, in one Arrow exchange.  Both work
-    stretch by stretch, and a bounded cache keeps the frequent stretches."""
+    word by word, and a bounded cache keeps the frequent words."""
     with open(vocabulary, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
