@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import sigmoid
+from quarry.operators import attribution as AT
 from quarry.operators import boosting as BO
 from quarry.operators import cluster as CL
 from quarry.operators import features as FE
@@ -451,6 +453,51 @@ def k19_permutation(spark, sf):
 Q["k19_permutation"] = k19_permutation
 
 
+def k19_shapley(spark, sf, steps=1000, base=32):
+    """Attributions of the fitted model's probability, per held-out row."""
+    d = _split(spark, sf)
+    train = d.where("is_test = 0")
+    theta = LN.logreg_gd(train, X, "label", 0.001, steps)
+    score = sigmoid(LN._dot(theta, X))
+    return AT.shapley(d.where("is_test = 1"), "row_id", X, score, AT.background(train, "row_id", X, base))
+
+
+Q["k19_shapley"] = k19_shapley
+
+#: A given scorer with an interaction, so that SQL can list all coalitions.
+_HASH = "('0x' || substr(md5('background' || row_id::VARCHAR), 1, 8))::BIGINT"
+GIVEN = "1 / (1 + EXP(-(0.5 * x1 - 0.25 * x2 + 0.75 * x3 * x4)))"
+
+
+def k19_shapley_given(spark, sf, base=4):
+    d = FE.standardize(_num(spark, sf), X).dropna(subset=X)
+    found = AT.shapley(d, "row_id", X, F.expr(GIVEN), AT.background(d, "row_id", X, base))
+    return found.select("row_id", *[F.round(c, 6).alias(c) for c in found.columns[1:]])
+
+
+def _shapley_sql(base=4):
+    """All 16 coalitions, and the attributions by the formula over coalitions without the feature."""
+    bit = lambda i: f"(m.s >> {i - 1}) & 1"
+    mixed = ", ".join(f"CASE WHEN {bit(i)} = 1 THEN d.x{i} ELSE b.x{i} END AS x{i}" for i in range(1, 5))
+    phi = ", ".join(
+        "ROUND(SUM(v * CASE bit_count(s) " + " ".join(
+            f"WHEN {k} THEN CASE WHEN (s >> {i - 1}) & 1 = 1 THEN {1 / (4 * (1, 1, 3, 3, 1)[k]) if k else 0.0} "
+            f"ELSE {-1 / (4 * (1, 3, 3, 1, 1)[k]) if k < 4 else 0.0} END" for k in range(5))
+        + f" END), 6) AS phi_x{i}" for i in range(1, 5))
+    return _std_sql() + f""",
+d AS (SELECT * FROM st WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND x4 IS NOT NULL),
+b AS (SELECT x1, x2, x3, x4 FROM d ORDER BY {_HASH}, row_id LIMIT {base}),
+m AS (SELECT CAST(UNNEST(range(16)) AS INTEGER) AS s),
+met AS (SELECT d.row_id, m.s, {mixed} FROM d, b, m),
+vals AS (SELECT row_id, s, AVG({GIVEN}) AS v FROM met GROUP BY row_id, s)
+SELECT row_id, ROUND(SUM(CASE WHEN s = 0 THEN v END), 6) AS base, ROUND(SUM(CASE WHEN s = 15 THEN v END), 6) AS prediction, {phi}
+FROM vals GROUP BY row_id"""
+
+
+Q["k19_shapley_given"] = k19_shapley_given
+SQL["k19_shapley_given"] = _shapley_sql()
+
+
 def j6_rfe(spark, sf):
     kept, dropped = FE.rfe(_num(spark, sf), X, "label", 2, "row_id", num_trees=100)
     rows = [(f, 1, None) for f in kept] + [(f, 0, i + 1) for i, f in enumerate(dropped)]
