@@ -6,7 +6,9 @@ and a vector v of the cell of pivot p, q.v = q.p + q.(v - p), so q.v lies
 within |q| * |v - p| of q.p.  The summaries' smallest distances give each
 query a score that at least k rows reach; a query is sent only to the cells
 whose radius lets them reach it.  Cells are cut into chunks and queries into
-blocks of bounded size, solved locally, and the local winners are merged.
+blocks of bounded size; queries of one cell, or of cells whose pivots are near
+each other, share blocks.  A row is replicated only to the blocks that sent a
+query to its cell.  Blocks are solved locally and the local winners merged.
 
 Pivots steer the work, not the result: a sample of at most ``pivots`` rows.
 
@@ -82,7 +84,7 @@ def _route(shared, k: int):
         pivots, summary = shared.value
         for pdf in batches:
             out = []
-            for i, v in zip(pdf["id"], pdf["v"]):
+            for i, v, own in zip(pdf["id"], pdf["v"], pdf["cell"]):
                 q = np.asarray(v, float)
                 cells, chunks, radius, near = summary.get(len(q), ([], [], [], []))
                 p = pivots.get(len(q), np.zeros((1, len(q))))[cells]
@@ -91,11 +93,38 @@ def _route(shared, k: int):
                 least = np.sort(np.concatenate([a - long * np.asarray(d) for a, d in zip(at - room, near)] or [np.zeros(0)]))
                 floor = least[-(k + 1)] if len(least) > k else -np.inf   # k + 1: the query's own row may be one
                 for j in np.flatnonzero(at + long * radius + room >= floor) if len(cells) else ():
-                    out += [(i, v, len(q), int(cells[j]), c) for c in range(chunks[j])]
-            yield pd.DataFrame(out, columns=["id", "v", "size", "cell", "chunk"])
+                    out += [(i, v, own, len(q), int(cells[j]), c) for c in range(chunks[j])]
+            yield pd.DataFrame(out, columns=["id", "v", "own", "size", "cell", "chunk"])
     return run
 
 
+def query_blocks(counts: pd.DataFrame, centres: dict, size: int = QUERIES) -> pd.DataFrame:
+    """(size, own, first, parts) for the queries' counts (size, own, n) by cell.
+
+    Cells follow each other by their pivot's distance from the first one; small
+    neighbours share a block of about ``size`` queries, large ones get several."""
+    far = [float(((centres[s][c] - centres[s][0]) ** 2).sum()) if s in centres else 0.0
+           for s, c in zip(counts["size"], counts["own"])]
+    counts = counts.assign(far=far).sort_values(["size", "far", "own"])
+    out, block, filled, last = [], -1, size, None
+    for s, own, n in zip(counts["size"], counts["own"], counts["n"]):
+        parts = -(-n // size)
+        if s != last or parts > 1 or filled + n > size:
+            block, filled = block + 1, 0
+        out.append((int(s), int(own), block, int(parts)))
+        block, filled, last = block + parts - 1, size if parts > 1 else filled + n, s
+    return pd.DataFrame(out, columns=["size", "own", "first", "parts"])
+
+
+def replicated(data: DataFrame, chunks: DataFrame, sent: DataFrame) -> DataFrame:
+    """The rows once for every (size, cell, chunk, block) that holds a query, no other."""
+    asked = sent.select("size", "cell", "chunk", F.col("block").alias("to")).distinct()
+    return (data.join(F.broadcast(chunks), ["size", "cell"])
+            .withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks")).cast("int"))
+            .join(asked, ["size", "cell", "chunk"])
+            .select("id", "v", "size", "cell", "chunk", F.col("to").alias("block")))
+
+
 def _solve(k: int):
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -135,15 +164,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 64) ->
     known = summary.toPandas()
     told = {int(s): (g["cell"].to_numpy(), g["chunks"].tolist(), g["radius"].to_numpy(), g["near"].tolist())
             for s, g in known.groupby("size")}
-    queries = data.where(is_query).select("id", "v")
-    blocks = max(1, -(-queries.count() // QUERIES))
-    sent = (queries.mapInPandas(_route(spark.sparkContext.broadcast((centres, told)), k),
-                                "id long, v array<bigint>, size int, cell int, chunk int")
-            .withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")))
-    chunks = spark.createDataFrame(known[["size", "cell", "chunks"]], "size int, cell int, chunks int")
-    held = (data.join(F.broadcast(chunks), ["size", "cell"])
-            .withColumn("chunk", F.pmod(F.xxhash64("id", F.lit("chunk")), F.col("chunks")).cast("int"))
-            .select("id", "v", "size", "cell", "chunk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")))
+    queries = data.where(is_query).select("id", "v", "size", "cell")
+    counts = queries.groupBy("size", F.col("cell").alias("own")).agg(F.count("*").alias("n")).toPandas()
+    blocks = spark.createDataFrame(query_blocks(counts, centres), "size int, own int, first int, parts int")
+    sent = written(queries.mapInPandas(_route(spark.sparkContext.broadcast((centres, told)), k),
+                                       "id long, v array<bigint>, own int, size int, cell int, chunk int")
+                   .join(F.broadcast(blocks), ["size", "own"])
+                   .select("id", "v", "size", "cell", "chunk",
+                           (F.col("first") + F.pmod(F.xxhash64("id", F.lit("block")), F.col("parts")).cast("int")).alias("block")), "sent")
+    held = replicated(data, spark.createDataFrame(known[["size", "cell", "chunks"]], "size int, cell int, chunks int"), sent)
     key = ["size", "cell", "chunk", "block"]
     local = (sent.groupBy(*key).cogroup(held.groupBy(*key))
              .applyInPandas(lambda a, b: _solve(k)(a, b), "query_id long, vec_id long, score long"))
