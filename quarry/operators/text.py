@@ -78,6 +78,36 @@ def lemmatize(tokens: Column, lemmas: dict | None) -> Column:
     return F.transform(tokens, lambda x: F.coalesce(F.try_element_at(m, x), x))
 
 
+def lemmatize_by(df: DataFrame, id_col: str, tokens: str, lemmas: DataFrame, out: str | None = None) -> DataFrame:
+    """Replace tokens by a lemma table (token, lemma) of any size; unknown tokens stay.
+
+    Only distinct words of a text travel: they meet the table in one join, and
+    each text gets back a map of just its own words that change.  A token that
+    the table names more than once has its smallest lemma; null tokens or
+    lemmas in the table are ignored; null token arrays stay null; rows that
+    repeat an id, or have none, are mapped alike."""
+    out = out or tokens
+    table = (lemmas.where("token IS NOT NULL AND lemma IS NOT NULL AND token <> lemma")
+             .groupBy("token").agg(F.min("lemma").alias("__lemma")))
+    words = df.select(F.col(id_col).alias("__id"), F.explode(F.array_distinct(tokens)).alias("token"))
+    changed = (words.join(table, "token").groupBy("__id")
+               .agg(F.map_from_entries(F.collect_set(F.struct("token", "__lemma"))).alias("__map")))
+    met = df.join(changed, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    swapped = F.transform(tokens, lambda x: F.coalesce(F.try_element_at("__map", x), x))
+    return met.withColumn(out, swapped).drop("__id", "__map")
+
+
+def suffix_lemmas(words: DataFrame, suffixes) -> DataFrame:
+    """A lemma table (token, lemma) from a vocabulary (term): a word with one of the
+    suffixes whose stem is a word too has the shortest such stem as its lemma."""
+    stems = F.filter(F.array(*[F.when(F.col("term").endswith(s), F.expr(f"left(term, length(term) - {len(s)})")) for s in suffixes]),
+                     lambda x: x.isNotNull() & (F.length(x) > 0))
+    cut = words.select(F.col("term").alias("token"), F.explode(stems).alias("lemma"))
+    known = words.select(F.col("term").alias("lemma")).distinct()
+    return (cut.join(known, "lemma", "left_semi").groupBy("token")
+            .agg(F.min(F.struct(F.length("lemma").alias("n"), "lemma")).alias("s")).select("token", "s.lemma"))
+
+
 def preprocess(df: DataFrame, col: str, out: str = "tokens", stop=STOP_WORDS,
                min_len: int = 2, lemmas: dict | None = None, joined: str | None = None) -> DataFrame:
     """lower → letter tokens → stop words and short tokens out → lemmas (G6/G7);

@@ -55,6 +55,30 @@ tok AS (SELECT doc_id, unnest({_CLEAN}) AS term FROM fx_docs),
 tc AS (SELECT doc_id, term, COUNT(*) AS tf FROM tok GROUP BY doc_id, term)"""
 
 
+SUFFIXES = ("ing", "ed", "ly", "s")
+
+
+def g6_lemmas(spark, sf):
+    d = _clean(spark, sf)
+    lemmas = T.suffix_lemmas(d.select(F.explode("tokens").alias("term")).distinct(), SUFFIXES)
+    c = T.lemmatize_by(d.select("doc_id", "tokens"), "doc_id", "tokens", lemmas)
+    return c.select("doc_id", F.array_join("tokens", " ").alias("content_clean"))
+
+
+Q["g6_lemmas"] = g6_lemmas
+SQL["g6_lemmas"] = cte("fx_docs") + f""",
+txt AS (SELECT doc_id, {_CLEAN} AS w FROM fx_docs),
+tok AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM txt),
+voc AS (SELECT DISTINCT term FROM tok),
+cut AS (SELECT v.term AS token, left(v.term, length(v.term) - length(x.s)) AS lemma
+        FROM voc v JOIN (SELECT unnest({list(SUFFIXES)}) AS s) x ON ends_with(v.term, x.s) AND length(v.term) > length(x.s)),
+lem AS (SELECT token, arg_min(lemma, length(lemma)) AS lemma FROM cut WHERE lemma IN (SELECT term FROM voc) GROUP BY token),
+done AS (SELECT t.doc_id, string_agg(COALESCE(l.lemma, t.term), ' ' ORDER BY t.pos) AS c
+         FROM tok t LEFT JOIN lem l ON l.token = t.term GROUP BY t.doc_id)
+SELECT x.doc_id, CASE WHEN x.w IS NULL THEN NULL ELSE COALESCE(d.c, '') END AS content_clean
+FROM txt x LEFT JOIN done d ON d.doc_id = x.doc_id"""
+
+
 def j4_term_counts(spark, sf):
     return T.term_counts(_clean(spark, sf), "doc_id", "tokens").select(
         "doc_id", "term", F.col("tf").cast("long").alias("tf"))
