@@ -34,13 +34,22 @@ def impute_mean(df: DataFrame, cols, fit_on: DataFrame | None = None) -> DataFra
 
 def modes(df: DataFrame, cols) -> dict:
     """Most frequent non-null value per column; ties go to the smallest value.
-    Values are counted on Spark per column, so no task holds all values of one."""
-    found = {}
-    for c in cols:
-        top = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-               .orderBy(F.desc("n"), "v").first())
-        found[c] = top["v"] if top else None
-    return found
+
+    One scan counts the (column, value) pairs of all columns, so no task holds
+    all values of one; the values travel in one field per data type."""
+    cols = list(dict.fromkeys(cols))
+    if not cols:
+        return {}
+    kinds = {c: df.schema[c].dataType for c in cols}
+    types = list(dict.fromkeys(kinds.values()))
+    pair = lambda i, c: F.struct(F.lit(i).alias("i"), *[
+        (F.col(c) if t == kinds[c] else F.lit(None).cast(t)).alias(f"v{k}") for k, t in enumerate(types)])
+    values = [f"v{k}" for k in range(len(types))]
+    counted = (df.select(F.explode(F.array(*[F.when(F.col(c).isNotNull(), pair(i, c)) for i, c in enumerate(cols)])).alias("p"))
+               .where(F.col("p").isNotNull()).select("p.*").groupBy("i", *values).agg(F.count(F.lit(1)).alias("n")))
+    best = counted.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("n"), *values)).alias("b")).collect()
+    found = {cols[r["i"]]: r["b"][f"v{types.index(kinds[cols[r['i']]])}"] for r in best}
+    return {c: found.get(c) for c in cols}
 
 
 def impute_mode(df: DataFrame, cols, fit_on: DataFrame | None = None) -> DataFrame:
