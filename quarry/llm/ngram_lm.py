@@ -20,7 +20,8 @@ answers each block in the order it asked.  Frequent words are thus counted
 before the shuffle and cannot make a hot key.
 
 Defined results: a null or empty text is the end token alone; a null id
-counts as the empty text for the split; repeated rows count as often as they
+counts as the empty text for the split; a bucket without held-out tokens
+weighs its estimates evenly; repeated rows count as often as they
 occur and are scored each; with no training text every estimate is zero and
 every token gets 1 / (V + 1); other columns are ignored.
 """
@@ -41,7 +42,9 @@ from quarry.llm.common import WORD_CACHE, crc_mod, space_words, table, utf8, wri
 BLOCK_BYTES = 12 << 20      # text bytes of a block
 BUCKETS = 64                # context-frequency buckets: binary digits of a long
 GRID = 8                    # cells of a held-out estimate per factor of two
+RANGE_BYTES = 64 << 20      # text bytes whose keys make one hash range, at most
 BEGIN, END = np.uint64(0x1234567), np.uint64(0x7654321)
+BEGIN_KEY = np.array([BEGIN & ~np.uint64(1)])
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: What a text is for: scored only, counted in the estimates, counted and held out for the weights.
 SCORED, COUNTED, HELD = 0, 1, 2
@@ -118,7 +121,7 @@ def _blocks(size: int):
         def close(held):
             nonlocal number
             own = open_[held]
-            out = {"block": [f"{part}-{number}"], "held": [held],
+            out = {"block": [f"{part}-{number}"], "held": [held], "bytes": [filled[held]],
                    "texts": [zlib.compress(pickle.dumps(own, 5), 1)]}
             number, open_[held], filled[held] = number + 1, [], 0
             return pd.DataFrame(out)
@@ -194,12 +197,17 @@ def _counts(texts: bytes, answers: pd.DataFrame, rest: bool):
     ids, use, raws = _load(texts)
     own = Tokens()(raws)
     words, contexts, pairs = _key_table(own)
-    keys = np.unique(np.concatenate([words, pairs, contexts]))
+    _, at = np.unique(np.concatenate([words, pairs, BEGIN_KEY]), return_inverse=True)
     answers = answers.sort_values("range")
     counts = np.concatenate([_unpack_counts(c) for c in answers["total"]])
     if rest:
         counts = counts - np.concatenate([_unpack_counts(c) for c in answers["held"]])
-    return ids, use, own[3], [counts[np.searchsorted(keys, k)] for k in (words, contexts, pairs)]
+    found = counts[at]
+    word, pair, begin = np.split(found, [len(words), 2 * len(words)])
+    context = np.empty_like(word)
+    context[1:] = word[:-1]         # a token's context is the word before it
+    context[np.cumsum(own[3]) - own[3]] = begin
+    return ids, use, own[3], [word, context, pair]
 
 
 def estimates(word, context, pair, n):
@@ -260,9 +268,11 @@ def score(docs: DataFrame, use: Column, text_col: str = "text", block_bytes: int
     ``use``: SCORED, COUNTED or HELD for each row (the last two are the training texts)."""
     spark = docs.sparkSession
     blocks = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), use.cast("int").alias("use"), utf8(text_col).alias("raw"))
-                     .mapInPandas(_blocks(block_bytes), "block string, held boolean, texts binary"), "lm-blocks")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    asked = blocks.select("block", "texts").repartition(max(1, min(blocks.count(), ranges * 4)), "block").mapInPandas(
+                     .mapInPandas(_blocks(block_bytes), "block string, held boolean, bytes long, texts binary"), "lm-blocks")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    n_blocks, size = blocks.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    ranges = max(tasks, -(-size // RANGE_BYTES))
+    asked = blocks.select("block", "texts").repartition(max(1, min(n_blocks, tasks * 4)), "block").mapInPandas(
         _ask(ranges), "range int, block string, keys binary, counted binary, held binary")
     answers = written(asked.groupBy("range").applyInPandas(
         _answer, "range int, block string, total binary, held binary, n long, v long, n_rest long, v_rest long"), "lm-counts")
