@@ -8,8 +8,11 @@ from quarry.session import cut_lineage
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
-    """(u, v, least): every pair with the least of u and all partners of u."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("least"))
+    """(u, v, least): every pair with the least of u and all partners of u.
+
+    The minima are cut off before the join: a join that reads its own
+    aggregate cannot be split, and the partners of one node may be most rows."""
+    least = cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("least")))
     return pairs.join(least.withColumn("least", F.least("u", "least")), "u")
 
 
@@ -35,8 +38,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         for star in (_large_star, _small_star):
-            edges = star(edges).where("u <> v").distinct()
-        edges = cut_lineage(edges)
+            edges = cut_lineage(star(edges).where("u <> v").distinct())
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

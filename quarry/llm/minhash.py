@@ -4,22 +4,24 @@
    universal hashes (a * x + b mod 2^64) and a fingerprint.  Documents with
    one set form a class; from here on a class is one node, its smallest id.
 2. A node falls into one bucket per band.  Buckets of one node are dropped.
-3. In every bucket each node is paired with the bucket's smallest node only.
-   A pair must pass the size bound, then agree in enough minima, then reach
-   the similarity on the full sets.  Links give components (large-star,
-   small-star).
-4. Buckets that now hold several components are compared in blocks, across
-   components only: first each node's nearest partners, then, where
-   components are still apart, all that agree in enough of 1024 more minima.
-   These pairs are confirmed on the full sets too.
+3. In every bucket each node is paired with the bucket's smallest node.  A
+   pair must pass the size bound and agree in enough minima.  In each of a few
+   rounds a node is confirmed on the full sets against the one candidate that
+   agrees best and is still in another component.  Links give components
+   (large-star, small-star).
+4. Buckets that still hold several components are cut into cells of two
+   blocks.  A cell keeps the nodes whose minima agree enough with a node of
+   another component; their full sets are brought to the cell, compared there,
+   and only links that join two components of the cell leave it.
 
 So no bucket is listed as pairs and no member is left out: two nodes of a
-bucket end in one component, or their minima were compared.
+bucket end in one component, or their minima were compared; what leaves a
+step is at most one pair a node and cell.
 
 Defined results: documents without words (null or empty texts) and rows with
-a null id link with nothing; rows that repeat an id are one document; a null
-id has no component and is kept; ties go to the smaller id; other columns
-are ignored.
+a null id link with nothing; rows that repeat an id are one document, which
+links by any of its texts (n_shingles is the row's own); a null id has no
+component and is kept; ties go to the smaller id; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -37,9 +39,9 @@ from quarry.llm.components import components
 SHINGLE, BANDS, ROWS = 5, 32, 4
 SIMILARITY = 75         # percent
 AGREE = 0.57            # share of equal minima below which a pair at 0.75 is out of reach (4.7 deviations)
-FINE, FINE_AGREE = 1024, 0.69   # the same with more minima (4.4 deviations), for nodes of open buckets, a byte of each
+STAR_ROUNDS = 2         # rounds of one candidate a node, before open buckets are compared
 BLOCK = 512             # nodes of a bucket compared with as many others at a time
-NEAREST = (2, None)     # partners that a node of an open bucket is confirmed against, round by round
+BLOCK_SHINGLES = 2 << 20    # their shingles, about; a bucket of longer texts has more blocks
 FILTER_BITS = 1 << 23
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -152,15 +154,13 @@ def texts_of(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
     """(node, raw) of the documents in ``nodes``; others hardly leave the scan."""
     maybe = id_filter(nodes)
     return (docs.select(F.col("doc_id").cast("long").alias("node"), utf8(text_col).alias("raw"))
-            .where(maybe("node")).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+            .where(maybe("node") & F.col("raw").isNotNull()).join(nodes, "node", "left_semi"))
 
 
-def _fine(shingle: int):
-    def run(batches):
-        shingles, minima = Shingler(shingle), Minima(FINE, seed=2)
-        for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "fine": [minima(shingles(raw)).astype(np.uint8).tobytes() for raw in pdf["raw"]]})
-    return run
+def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """(node, members): the distinct full sets of the documents in ``nodes``."""
+    found = texts_of(docs, nodes, text_col).mapInPandas(_sets(shingle), "node long, members binary")
+    return written(found.where(F.length("members") > 0).dropDuplicates(["node", "members"]), "sets")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, text_col: str) -> DataFrame:
@@ -168,7 +168,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, text_col: str) ->
 
     Only texts of documents in a pair are moved and cut into sets again."""
     nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "paired")
-    sets = written(texts_of(docs, nodes, text_col).mapInPandas(_sets(shingle), "node long, members binary"), "sets")
+    sets = sets_of(docs, nodes, shingle, text_col)
     return (pairs.join(sets.select(F.col("node").alias("u"), F.col("members").alias("x")), "u")
             .join(sets.select(F.col("node").alias("v"), F.col("members").alias("y")), "v")
             .mapInPandas(_confirm, "u long, v long"))
@@ -176,57 +176,96 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, text_col: str) ->
 
 def _agreeing(batches):
     for pdf in batches:
+        agree = np.zeros(len(pdf), np.int64)
         if len(pdf):
             a = np.frombuffer(b"".join(pdf["x"]), np.uint32).reshape(len(pdf), -1)
             b = np.frombuffer(b"".join(pdf["y"]), np.uint32).reshape(len(pdf), -1)
-            pdf = pdf.loc[(a == b).mean(1) >= AGREE, ["u", "v"]]
-        yield pdf[["u", "v"]]
+            agree = (a == b).sum(1)
+            pdf = pdf.assign(agree=agree).loc[agree >= AGREE * a.shape[1]]
+        else:
+            pdf = pdf.assign(agree=agree)
+        yield pdf[["u", "v", "agree"]]
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose minima agree often enough."""
+    """(u, v, agree): the pairs whose minima agree often enough."""
     return (pairs.join(nodes.select(F.col("node").alias("u"), F.col("minima").alias("x")), "u")
             .join(nodes.select(F.col("node").alias("v"), F.col("minima").alias("y")), "v")
-            .select("u", "v", "x", "y").mapInPandas(_agreeing, "u long, v long"))
+            .select("u", "v", "x", "y").mapInPandas(_agreeing, "u long, v long, agree long"))
 
 
-def _compare(group: pd.DataFrame, nearest: int | None, rows: int) -> pd.DataFrame:
-    """Pairs across components within one block of a bucket, or between two blocks.
+def best_apart(likely: DataFrame, linked: DataFrame | None, tested: DataFrame | None) -> DataFrame:
+    """Of each v the untested pair (u, v) across components that agrees best (ties: the smaller u)."""
+    if linked is not None:
+        of = lambda c: linked.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        likely = (likely.join(of("u"), "u", "left").join(of("v"), "v", "left")
+                  .where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).join(tested, ["u", "v"], "left_anti"))
+    best = F.max(F.struct("agree", (-F.col("u")).alias("u")))
+    return likely.groupBy("v").agg(best.alias("best")).select((-F.col("best.u")).alias("u"), "v")
 
-    Nodes of the component that has most nodes here wait to be asked: a pair
-    has a node of another component, which names its ``nearest`` partners
-    (None: all)."""
-    i, j = int(group["i"].iat[0]), int(group["j"].iat[0])
-    component, node, n = (group[c].to_numpy() for c in ("component", "node", "n"))
+
+def _asking(component: np.ndarray) -> np.ndarray:
+    """Places of the nodes outside the cell's largest component: every pair across has one."""
     names, counts = np.unique(component, return_counts=True)
-    block = group["block"].to_numpy()
-    asks = np.flatnonzero(component != names[counts.argmax()])
-    if len(names) < 2:
-        return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
+    return np.flatnonzero(component != names[counts.argmax()])
+
+
+def _near(group: pd.DataFrame, rows: int) -> pd.DataFrame:
+    """The rows of a cell whose minima agree enough with a node of another component.
+
+    A pair belongs to the first bucket that both nodes share."""
+    i, j, band = (int(group[c].iat[0]) for c in ("i", "j", "band"))
+    component, n, block = (group[c].to_numpy() for c in ("component", "n", "block"))
     minima = np.frombuffer(b"".join(group["minima"]), np.uint32).reshape(len(group), -1)
-    fine = None if nearest else np.frombuffer(b"".join(group["fine"]), np.uint8).reshape(len(group), -1)
-    band, out = int(group["band"].iat[0]), []
-    for k in asks:
+    least = AGREE * minima.shape[1]
+    near = np.zeros(len(group), bool)
+    for k in _asking(component):
         fits = (component != component[k]) & (100 * np.minimum(n, n[k]) >= SIMILARITY * np.maximum(n, n[k]))
         if i != j:
             fits &= block != block[k]
         at = np.flatnonzero(fits)
         same = minima[at] == minima[k]
-        first = same.reshape(len(at), same.shape[1] // rows, rows).all(2).argmax(1)    # a pair belongs to its first common bucket
-        agree = same.mean(1)
-        own = (agree >= AGREE) & (first == band)
-        at, agree = at[own], agree[own]
-        if fine is not None:
-            at = at[(fine[at] == fine[k]).mean(1) >= FINE_AGREE]
-        if nearest is not None and len(at) > nearest:
-            at = at[np.lexsort((node[at], -agree))[:nearest]]
-        out += [(min(node[k], x), max(node[k], x)) for x in node[at]]
-    return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64).drop_duplicates()
-
-
-def _grouped(nearest: int | None, rows: int):
-    """Cut sorted batches into the groups (bucket, i, j) and compare each; a group has at
-    most two blocks of nodes."""
+        close = same.sum(1) >= least
+        at, same = at[close], same[close]
+        at = at[same.reshape(len(at), same.shape[1] // rows, rows).all(2).argmax(1) == band]
+        if len(at):
+            near[k] = near[at] = True
+    return group.loc[near, ["bucket", "i", "j", "block", "node", "component"]]
+
+
+def _join_up(group: pd.DataFrame) -> pd.DataFrame:
+    """Links on the full sets that join components of a cell: a spanning forest, not all pairs."""
+    i, j = int(group["i"].iat[0]), int(group["j"].iat[0])
+    node, block = group["node"].to_numpy(), group["block"].to_numpy()
+    component = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+    sets = [np.frombuffer(m, np.uint64) for m in group["members"]]
+    n = np.array([len(x) for x in sets])
+    starts = np.cumsum(n) - n
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    held, out = np.zeros(len(known), np.int32), []
+    for k in _asking(component):
+        fits = (component != component[k]) & (100 * np.minimum(n, n[k]) >= SIMILARITY * np.maximum(n, n[k]))
+        if i != j:
+            fits &= block != block[k]
+        at = np.flatnonzero(fits)
+        if not len(at):
+            continue
+        own = flat[starts[k]:starts[k] + n[k]]
+        held[own] = 1
+        if 8 * len(at) < len(n):
+            both = np.array([held[flat[starts[x]:starts[x] + n[x]]].sum() for x in at])
+        else:
+            both = np.add.reduceat(held[flat], starts)[at]
+        held[own] = 0
+        for x in at[100 * both >= SIMILARITY * (n[k] + n[at] - both)]:
+            if component[x] != component[k]:
+                out.append((min(node[k], node[x]), max(node[k], node[x])))
+                component[component == component[x]] = component[k]
+    return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+
+def _cellwise(fn):
+    """Cut batches sorted by (bucket, i, j) into cells and apply ``fn`` to each of two nodes or more."""
     def run(batches):
         rest = None
         for pdf in batches:
@@ -234,33 +273,41 @@ def _grouped(nearest: int | None, rows: int):
             key = pdf[["bucket", "i", "j"]].to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             edges = [0, *cuts]
-            found = [_compare(pdf.iloc[a:b], nearest, rows) for a, b in zip(edges, edges[1:]) if b - a > 1]
+            found = [fn(pdf.iloc[a:b]) for a, b in zip(edges, edges[1:]) if b - a > 1]
             rest = pdf.iloc[edges[-1]:] if len(pdf) else None
             if found:
-                yield pd.concat(found).drop_duplicates()
+                yield pd.concat(found)
         if rest is not None and len(rest) > 1:
-            yield _compare(rest, nearest, rows)
+            yield fn(rest)
     return run
 
 
+def _by_cell(cells: DataFrame) -> DataFrame:
+    return cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+
+
 def open_buckets(members: DataFrame, linked: DataFrame) -> DataFrame:
     """(bucket, band, blocks, node, component) of the buckets that hold several components."""
     now = (members.join(linked, "node", "left")
-           .select("bucket", "band", "node", F.coalesce("component", "node").alias("component")))
-    mixed = (now.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"),
-                                       F.count("*").alias("size"))
-             .where("a <> b").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-    return written(now.join(written(mixed, "mixed"), "bucket"), "open")
+           .select("bucket", "band", "node", "n", F.coalesce("component", "node").alias("component")))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    mixed = (now.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), blocks.alias("blocks"))
+             .where("a <> b").select("bucket", "blocks"))
+    return written(now.drop("n").join(written(mixed, "mixed"), "bucket"), "open")
 
 
-def pairs_across(opened: DataFrame, minima: DataFrame, nearest: int | None, rows: int) -> DataFrame:
-    """Pairs (u, v) of different components that share a bucket and agree in enough minima."""
+def links_across(opened: DataFrame, minima: DataFrame, docs: DataFrame, shingle: int, rows: int, text_col: str) -> DataFrame:
+    """Links (u, v) that join the components of every open bucket wherever full sets reach the similarity."""
     cells = (opened.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                      "block", "node", "component").join(minima, "node"))
-    return (cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-            .mapInPandas(_grouped(nearest, rows), "u long, v long").distinct())
+    near = written(_by_cell(cells).mapInPandas(
+        _cellwise(lambda cell: _near(cell, rows)),
+        "bucket long, i int, j int, block int, node long, component long").distinct(), "near")
+    ids = written(near.select("node").distinct(), "near-ids")
+    sets = sets_of(docs, ids, shingle, text_col)
+    return _by_cell(near.join(sets, "node")).mapInPandas(_cellwise(_join_up), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
@@ -279,23 +326,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     stars = (members.where((F.col("node") != F.col("first"))
                            & (100 * F.least("n", "first_n") >= SIMILARITY * F.greatest("n", "first_n")))
              .select(F.col("first").alias("u"), F.col("node").alias("v")).distinct())
-    minima = nodes.groupBy("node").agg(F.max("n").alias("n"), F.min("minima").alias("minima"))
-    likely = written(agreeing(stars, minima), "likely")
-    links = written(confirmed(likely, docs, shingle, text_col), "links")
-    linked = components(links)
-    tested = likely
-    for nearest in NEAREST:
-        opened = open_buckets(members, linked)
-        if nearest is None:
-            ids = written(opened.select("node").distinct(), "opened")
-            fine = written(texts_of(docs, ids, text_col).mapInPandas(_fine(shingle), "node long, fine binary"), "fine")
-            minima = minima.join(fine, "node")
-        more = written(pairs_across(opened, minima, nearest, rows)
-                       .join(tested, ["u", "v"], "left_anti"), "more")
-        if not more.isEmpty():
-            tested = tested.union(more)
-            links = links.union(written(confirmed(more, docs, shingle, text_col), "links"))
-            linked = components(links)
+    minima = nodes.select("node", "n", "minima")
+    likely = written(agreeing(stars, minima).groupBy("u", "v").agg(F.max("agree").alias("agree")), "likely")
+    # an id with several texts is one document: its classes are linked by it
+    repeated = written(signed.where(F.col("print").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
+                       .agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b").select("doc_id"), "repeated")
+    links = written(signed.join(repeated, "doc_id", "left_semi").join(nodes, "print")
+                    .select(F.col("doc_id").alias("u"), F.col("node").alias("v")).distinct(), "links")
+    linked = tested = None
+    for _ in range(STAR_ROUNDS):
+        pairs = written(best_apart(likely, linked, tested), "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = links.union(written(confirmed(pairs, docs, shingle, text_col), "links"))
+        linked = components(links)
+    more = written(links_across(open_buckets(members, linked), minima, docs, shingle, rows, text_col), "links")
+    linked = components(links.union(more))
     classes = written(nodes.select("print", "node").join(linked, "node", "left")
                       .select("print", F.coalesce("component", "node").alias("component")), "classes")
     whole = signed.select("doc_id", "n", "print").join(classes, "print", "left")

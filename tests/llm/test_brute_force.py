@@ -227,3 +227,51 @@ def test_op9_chain_of_near_copies(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     part = groups({i: shingles(t) for i, t in enumerate(texts)})
     assert {r.doc_id: r.component_id for r in near_duplicates(frame).collect()} == part
+
+
+def _borderline(count):
+    """Variants of one text with three words changed each: most pairs lie just under the similarity."""
+    rng = np.random.default_rng(count)
+    words = [f"w{i}" for i in range(150)]
+    for k in range(count):
+        own = list(words)
+        for i in rng.choice(150, 3, replace=False):
+            own[i] = f"n{k}x{i}"
+        yield " ".join(own)
+
+
+def test_op9_borderline_variants(spark, monkeypatch):
+    """Components equal brute force; what is confirmed or leaves a cell grows with the nodes."""
+    from quarry.llm import minhash
+    pairs, spanning = [], []
+    confirmed, across = minhash.confirmed, minhash.links_across
+
+    def counted(found, *rest):
+        pairs.append(found.count())
+        return confirmed(found, *rest)
+
+    def counted_across(*args):
+        found = minhash.written(across(*args), "links")
+        spanning.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "confirmed", counted)
+    monkeypatch.setattr(minhash, "links_across", counted_across)
+    for count in (150, 300, 600):
+        texts = dict(enumerate(_borderline(count)))
+        frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        pairs.clear(), spanning.clear()
+        found = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame).collect()}
+        assert found == groups({i: shingles(t) for i, t in texts.items()})
+        assert max(pairs) <= count
+        assert sum(spanning) <= count * minhash.BANDS
+
+
+def test_op9_id_with_two_texts(spark):
+    """A repeated id is one document that links by any of its texts."""
+    from quarry.llm.minhash import near_duplicates
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows_ = [(1, two), (4, one), (4, two + " more"), (6, one + " tail"), (9, "alone here"), (3, None), (None, one)]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string")
+    found = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(frame).collect()}
+    assert found == {(1, 1, True), (4, 1, False), (6, 1, False), (9, 9, True), (3, 3, True), (None, None, True)}
