@@ -195,19 +195,22 @@ def _counts(texts: bytes, answers: pd.DataFrame, rest: bool):
     """A block again with the counts it asked for, of all training texts or of the ``rest``
     without the held-out ones: (ids, use, sizes, counts of words, contexts, pairs)."""
     ids, use, raws = _load(texts)
-    own = Tokens()(raws)
-    words, contexts, pairs = _key_table(own)
-    _, at = np.unique(np.concatenate([words, pairs, BEGIN_KEY]), return_inverse=True)
+    words, _, pairs, sizes = Tokens()(raws)
+    del raws, _
+    n = len(words)
+    every = np.concatenate([words & ~np.uint64(1), pairs | np.uint64(1), BEGIN_KEY])
+    del words, pairs
+    at = np.unique(every, return_inverse=True)[1]
+    del every
     answers = answers.sort_values("range")
     counts = np.concatenate([_unpack_counts(c) for c in answers["total"]])
     if rest:
         counts = counts - np.concatenate([_unpack_counts(c) for c in answers["held"]])
-    found = counts[at]
-    word, pair, begin = np.split(found, [len(words), 2 * len(words)])
+    word, pair, begin = counts[at[:n]], counts[at[n:-1]], counts[at[-1]]
     context = np.empty_like(word)
     context[1:] = word[:-1]         # a token's context is the word before it
-    context[np.cumsum(own[3]) - own[3]] = begin
-    return ids, use, own[3], [word, context, pair]
+    context[np.cumsum(sizes) - sizes] = begin
+    return ids, use, sizes, [word, context, pair]
 
 
 def estimates(word, context, pair, n):
