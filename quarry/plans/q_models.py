@@ -9,6 +9,7 @@ from quarry.operators import boosting as BO
 from quarry.operators import cluster as CL
 from quarry.operators import features as FE
 from quarry.operators import forest as FO
+from quarry.operators import kernels as KN
 from quarry.operators import learn as LN
 from quarry.operators import profile as PR
 from quarry.operators import sampling as S
@@ -337,6 +338,36 @@ def k9_svm_rff(spark, sf):
 Q["k9_svm_rff"] = k9_svm_rff
 
 
+def k9_kernels(spark, sf):
+    """Exact kernel values of every row against two given points."""
+    s = FE.standardize(_num(spark, sf), X)
+    return s.select("row_id", *[F.round(KN.kernel_value(X, p, kind, 0.25, coef0=0.5), 6).alias(f"{kind}_{i}")
+                                for i, p in enumerate(KERNEL_POINTS) for kind in ("rbf", "poly", "sigmoid")])
+
+
+KERNEL_POINTS = [(0.5, -0.5, 1.0, 0.0), (-1.0, 0.25, 0.0, 0.75)]
+
+
+def _kernels_sql():
+    cols = []
+    for i, p in enumerate(KERNEL_POINTS):
+        inner = "(0.25E0 * (" + " + ".join(f"{x} * {v}E0" for x, v in zip(X, p)) + ") + 0.5E0)"
+        gap = " + ".join(f"POW({x} - ({v}E0), 2)" for x, v in zip(X, p))
+        cols += [f"ROUND(EXP(-0.25E0 * ({gap})), 6) AS rbf_{i}", f"ROUND(POW({inner}, 3), 6) AS poly_{i}",
+                 f"ROUND(TANH({inner}), 6) AS sigmoid_{i}"]
+    return _std_sql() + "\nSELECT row_id, " + ", ".join(cols) + " FROM st"
+
+
+def k9_kernel_grid(spark, sf):
+    """75 cells: three kernels, five widths, five costs; 5 folds."""
+    return KN.kernel_grid(_folds(spark, sf), X, "label", "row_id", "fold")
+
+
+Q["k9_kernels"] = k9_kernels
+SQL["k9_kernels"] = _kernels_sql()
+Q["k9_kernel_grid"] = k9_kernel_grid
+
+
 TREE = ["node", "depth", "feature", "threshold", "n", "pos", "value", "yes", "no"]
 
 

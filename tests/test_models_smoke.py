@@ -8,7 +8,7 @@ import __spark_entry__ as E
 ROWS_ONLY = sorted(set(E.queries()) - set(E.oracle_sql()))
 
 #: Rows that follow from a query's parameters: learning rates x folds, cells, features, numbers of topics.
-ROWS = {"k1_logreg_cv": 15, "k12_grid_search": 200, "k12_grid_subsample": 54, "k12_grid_forest": 72, "k13_random_search": 100,
+ROWS = {"k1_logreg_cv": 15, "k12_grid_search": 200, "k12_grid_subsample": 54, "k12_grid_forest": 72, "k13_random_search": 100, "k9_kernel_grid": 75,
         "k5_importances": 4, "k19_permutation": 4, "j6_rfe": 4, "j12_sweep": 19, "j12_sweep_lsi": 19}
 
 
