@@ -86,7 +86,7 @@ def levels(df: DataFrame, cols, max_levels: int = 10000) -> dict:
     stacked = df.select(pairs.alias("_p")).select("_p._c", "_p._v")     # one scan
     rows = stacked.where(F.col("_v").isNotNull()).distinct().limit(max_levels + 1).collect()
     if len(rows) > max_levels:
-        raise ValueError(f"more than {max_levels} category levels; one-hot columns would explode")
+        raise ValueError(f"more than {max_levels} category levels; categories.one_hot takes any number")
     out = {c: [] for c in cols}
     for r in rows:
         out[r["_c"]].append(r["_v"])

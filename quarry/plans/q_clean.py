@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
+from quarry.operators import categories as CT
 from quarry.operators import clean, profile
 from quarry.plans.fixtures import cte, fixture
 from quarry.sources.tables import load
@@ -184,6 +185,23 @@ SELECT row_id, {_dummy_sql('home_planet', SEGMENTS)},
 FROM fx_pax"""
 
 
+def b22_wide(spark, sf):
+    """Indicators of every customer and priority: one sparse row an order, levels by value."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderpriority")
+    cols = ["o_custkey", "o_orderpriority"]
+    return CT.one_hot(o, cols, CT.level_table(o, cols)).select(
+        "o_orderkey", F.col("one_hot.size").alias("width"), F.array_join("one_hot.indices", ",").alias("indices"))
+
+
+Q["b22_wide"] = b22_wide
+SQL["b22_wide"] = """
+WITH c AS (SELECT v, ROW_NUMBER() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders WHERE o_custkey IS NOT NULL)),
+p AS (SELECT v, ROW_NUMBER() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderpriority IS NOT NULL)),
+n AS (SELECT (SELECT COUNT(*) FROM c) AS nc, (SELECT COUNT(*) FROM p) AS np)
+SELECT o_orderkey, nc + np AS width, CONCAT_WS(',', c.i, p.i + nc) AS indices
+FROM orders LEFT JOIN c ON c.v = CAST(o_custkey AS VARCHAR) LEFT JOIN p ON p.v = o_orderpriority, n"""
+
+
 def b23_align(spark, sf):
     p = _pax(spark, sf)
     full = clean.dummies(p.select("row_id", "home_planet"), ["home_planet"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import sigmoid
 from quarry.operators import attribution as AT
 from quarry.operators import boosting as BO
+from quarry.operators import categories as CT
 from quarry.operators import cluster as CL
 from quarry.operators import features as FE
 from quarry.operators import forest as FO
@@ -127,6 +128,25 @@ FROM fx_main f LEFT JOIN i_category_a ia ON ia.v = f.category_a
 LEFT JOIN i_category_b ib ON ib.v = f.category_b, s"""
 
 
+def j1_one_hot(spark, sf):
+    """Levels by frequency learned on the training rows, sparse rows of all; no level list on the driver."""
+    m = fixture(spark, sf, "fx_main")
+    cols = ["category_a", "category_b"]
+    table = CT.level_table(m.where(F.col("record_date") < F.lit("2022-01-01").cast("date")), cols, by="frequency")
+    return CT.one_hot(m, cols, table).select("id", F.col("one_hot.size").alias("width"),
+                                             F.array_join("one_hot.indices", ",").alias("indices"))
+
+
+Q["j1_one_hot"] = j1_one_hot
+SQL["j1_one_hot"] = cte("fx_main") + """,
+tr AS (SELECT * FROM fx_main WHERE record_date < DATE '2022-01-01'),
+a AS (SELECT category_a AS v, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, category_a) - 1 AS i FROM tr WHERE category_a IS NOT NULL GROUP BY 1),
+b AS (SELECT category_b AS v, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, category_b) - 1 AS i FROM tr WHERE category_b IS NOT NULL GROUP BY 1),
+n AS (SELECT (SELECT COUNT(*) FROM a) AS na, (SELECT COUNT(*) FROM b) AS nb)
+SELECT id, na + nb AS width, CONCAT_WS(',', a.i, b.i + na) AS indices
+FROM fx_main LEFT JOIN a ON a.v = category_a LEFT JOIN b ON b.v = category_b, n"""
+
+
 def _vec(spark, sf):
     return fixture(spark, sf, "fx_vec")
 
