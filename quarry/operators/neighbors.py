@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import hash_int, hash_unit
-from quarry.plans.blocks import as_matrix, n_blocks, pair_distances
+from quarry.plans.blocks import as_matrix, distances_of, n_blocks, pair_distances, pair_squares, rows_a_block, same_ids
 from quarry.plans.ranking import row_number
 from quarry.session import cut_lineage, ship_package
 
 
 def _topk_kernel(k: int, exclude_self: bool):
+    """Local top-k of each query row.  A matrix product names the pairs that may belong to it
+    (within ``reach``, where known), their distances come from differences."""
     def fn(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"src": pd.Series([], dtype="int64"),
                               "dst": pd.Series([], dtype="int64"),
@@ -29,23 +31,32 @@ def _topk_kernel(k: int, exclude_self: bool):
         qm, bm = as_matrix(q["qv"]), as_matrix(b["bv"])
         qid = q["qid"].to_numpy(dtype=np.int64)
         bid = b["bid"].to_numpy(dtype=np.int64)
+        reach = q["reach"].fillna(np.inf).to_numpy(float) if "reach" in q else np.full(len(q), np.inf)
         kk = min(k, len(bid))
         out_s, out_d, out_x = [], [], []
-        for s, d in pair_distances(qm, bm):
+        for s, d, slack in pair_squares(qm, bm):
+            own = qid[s:s + len(d)]
             if exclude_self:
-                d = np.where(qid[s:s + d.shape[0], None] == bid[None, :], np.inf, d)
-            # per row: order by (distance, neighbour id), keep the first k —
-            # one vectorised lexsort per chunk, ties broken by id
-            ids = np.broadcast_to(bid, d.shape)
-            order = np.lexsort((ids, d), axis=1)[:, :kk]
-            dist = np.take_along_axis(d, order, axis=1)
-            keep = np.isfinite(dist)
-            src = np.broadcast_to(qid[s:s + d.shape[0], None], order.shape)
-            out_s.append(src[keep])
-            out_d.append(bid[order][keep])
+                d[same_ids(own, bid)] = np.inf
+            limit = reach[s:s + len(d)] ** 2 * (1 + 1e-12) + 2 * slack
+            open_ = ~np.isfinite(limit)
+            if open_.any():
+                kth = np.partition(d[open_], kk - 1, axis=1)[:, kk - 1]
+                limit[open_] = np.where(np.isnan(kth), np.inf, kth) + 2 * slack[open_]
+            with np.errstate(invalid="ignore"):
+                i, j = np.nonzero(d <= limit[:, None])
+            if exclude_self:
+                other = own[i] != bid[j]
+                i, j = i[other], j[other]
+            # per row: order by (distance, neighbour id), keep the first k
+            dist = distances_of(qm[s:s + len(d)], bm, i, j)
+            i, j, dist = (v[np.isfinite(dist)] for v in (i, j, dist))
+            order = np.lexsort((bid[j], dist, i))
+            i, j, dist = i[order], j[order], dist[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < kk
+            out_s.append(own[i[keep]])
+            out_d.append(bid[j[keep]])
             out_x.append(dist[keep])
-        if not out_s:
-            return empty
         return pd.DataFrame({"src": np.concatenate(out_s), "dst": np.concatenate(out_d),
                              "dist": np.concatenate(out_x)})
     return fn
@@ -65,6 +76,13 @@ class Bounds:
     def __init__(self, pivots: np.ndarray):
         self.pivots = pivots
         self.size, self.low, self.high = np.zeros(len(pivots), np.int64), np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+        self._apart = None
+
+    def apart(self) -> np.ndarray:
+        """Distances between pivots, worked out once a task."""
+        if self._apart is None:
+            self._apart = _pivot_distances(self.pivots, self.pivots)
+        return self._apart
 
     def home(self, d: np.ndarray, k: int) -> np.ndarray:
         """Cells that hold ``k`` rows together, nearest pivots first: (rows, cells) of truth values."""
@@ -78,13 +96,22 @@ class Bounds:
         """Cells that may hold a row at distance ``reach`` or less, by rings and bisecting planes."""
         gap = np.maximum(d - self.high, self.low - d)
         own = d.argmin(1)
-        between = _pivot_distances(self.pivots, self.pivots)[own]
+        between = self.apart()[own]
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = np.where(between > 0, (d * d - (d[np.arange(len(d)), own] ** 2)[:, None]) / (2 * between), 0.0)
         slack = 1e-9 * (1 + d + np.where(np.isfinite(reach), reach, 0.0)[:, None])         # rounding of distances and bounds
         return (np.maximum(gap, plane) <= reach[:, None] + slack) & (self.size > 0)
 
 
+SLICE = 1 << 16         # rows times cells that a task works on, or sends, at a time
+
+
+def _slices(batches, rows: int):
+    for pdf in batches:
+        for s in range(0, len(pdf), max(1, rows)):
+            yield pdf.iloc[s:s + max(1, rows)].reset_index(drop=True)
+
+
 class Cells:
     """Base rows by their nearest pivot.
 
@@ -104,10 +131,10 @@ class Cells:
             return
 
         def assign(batches):
-            for pdf in batches:
-                d = _pivot_distances(as_matrix(pdf["bv"]), pivots)
-                cell = d.argmin(1) if len(d) else np.zeros(0, np.int64)
-                yield pdf.assign(cell=cell.astype(np.int32), d=d[np.arange(len(d)), cell])
+            for part in _slices(batches, SLICE // len(pivots)):
+                d = _pivot_distances(as_matrix(part["bv"]), pivots)
+                cell = d.argmin(1)
+                yield part.assign(cell=cell.astype(np.int32), d=d[np.arange(len(d)), cell])
         kind = base.schema["bv"].dataType.simpleString()
         placed = cut_lineage(base.mapInPandas(assign, f"bid long, bv {kind}, cell int, d double"))
         for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).collect():
@@ -116,22 +143,35 @@ class Cells:
         self.rows = placed.drop("d").withColumn("_c", hash_int("bid", "chunk"))
 
 
-def _sent(queries: DataFrame, cells: Cells, choose) -> DataFrame:
-    """(qid, qv, block, cell): queries with each cell that ``choose(distances, batch)`` names.
-    Near queries share a block: it is the nearest pivot, cut by hash."""
-    pivots, width = cells.bounds.pivots, cells.block_rows
+def _parts(queries: DataFrame, cells: Cells) -> np.ndarray:
+    """Blocks of queries around each pivot (a number a pivot)."""
+    pivots = cells.bounds.pivots
+
+    def own(batches):
+        for part in _slices(batches, SLICE // len(pivots)):
+            yield pd.DataFrame({"own": _pivot_distances(as_matrix(part["qv"]), pivots).argmin(1).astype(np.int32)})
+    parts = np.ones(len(pivots), np.int64)
+    for r in queries.select("qv").mapInPandas(own, "own int").groupBy("own").count().collect():
+        parts[r["own"]] = -(-r["count"] // cells.block_rows)
+    return parts
+
+
+def _sent(queries: DataFrame, cells: Cells, choose, parts: np.ndarray | None = None) -> DataFrame:
+    """(qid, qv, and reach if given, block, cell): queries with each cell that ``choose(distances, batch)`` names.
+    Near queries share a block: it is the nearest pivot, cut by hash into ``parts``."""
+    pivots = cells.bounds.pivots
+    parts = _parts(queries, cells) if parts is None else parts
+    held = [c for c in ("qid", "qv", "reach") if c in queries.columns]
 
     def run(batches):
-        for pdf in batches:
-            d = _pivot_distances(as_matrix(pdf["qv"]), pivots)
-            if len(d):
-                who, cell = np.nonzero(choose(d, pdf))
-                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[who], "qv": pdf["qv"].to_numpy()[who], "own": d.argmin(1)[who].astype(np.int32),
-                                    "cell": cell.astype(np.int32)})
-    kind = queries.schema["qv"].dataType.simpleString()
-    sent = queries.mapInPandas(run, f"qid long, qv {kind}, own int, cell int")
-    parts = sent.select("own", "qid").distinct().groupBy("own").agg(F.ceil(F.count("*") / width).cast("int").alias("parts"))
-    return sent.join(parts, "own").select("qid", "qv", F.struct("own", F.pmod(hash_int("qid", "part"), F.col("parts")).cast("int").alias("part")).alias("block"), "cell")
+        for part in _slices(batches, SLICE // len(pivots)):
+            d = _pivot_distances(as_matrix(part["qv"]), pivots)
+            who, cell = np.nonzero(choose(d, part))
+            yield part[held].iloc[who].assign(own=d.argmin(1)[who].astype(np.int32), cell=cell.astype(np.int32))
+    kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in held)
+    sent = queries.select(*held).mapInPandas(run, f"{kinds}, own int, cell int")
+    cut = F.element_at(F.array(*map(F.lit, parts.tolist())), F.col("own") + 1)
+    return sent.select(*held, F.struct("own", F.pmod(hash_int("qid", "part"), cut).cast("int").alias("part")).alias("block"), "cell")
 
 
 def _met(sent: DataFrame, cells: Cells):
@@ -152,7 +192,7 @@ def _candidates(sent: DataFrame, cells: Cells, k: int, exclude_self: bool) -> Da
 
 
 def knn(queries: DataFrame, base: DataFrame | None, k: int, id_col: str, vec: str,
-        exclude_self: bool | None = None, block_rows: int = 2048,
+        exclude_self: bool | None = None, block_rows: int | None = None,
         materialize: bool = True) -> DataFrame:
     """Exact k nearest neighbours by Euclidean distance.
 
@@ -164,7 +204,7 @@ def knn(queries: DataFrame, base: DataFrame | None, k: int, id_col: str, vec: st
     hold k rows; its k-th distance there bounds the rest: it is sent to another
     cell only if ring and plane bounds allow a row as near.  Base rows move only
     to query blocks that were sent to their cell, in chunks of at most
-    about ``block_rows`` rows.  Few rows (one cell) are compared directly.  With ``materialize``
+    about ``block_rows`` rows (by default growing with the root of the rows).  Few rows (one cell) are compared directly.  With ``materialize``
     (default) the n·k result is written to the checkpoint folder, so graph operators that read
     it several times do not recompute it.
     """
@@ -173,18 +213,19 @@ def knn(queries: DataFrame, base: DataFrame | None, k: int, id_col: str, vec: st
     base = queries if same else base
     exclude_self = same if exclude_self is None else exclude_self
     n = base.count()
+    block_rows = rows_a_block(n) if block_rows is None else block_rows
     q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec).alias("qv"))
     cells = Cells(base.select(F.col(id_col).cast("long").alias("bid"), F.col(vec).alias("bv")), n, block_rows)
     if cells.many:
-        need, bounds = k + int(exclude_self), cells.bounds
-        first = cut_lineage(_candidates(_sent(q, cells, lambda d, _: bounds.home(d, need)), cells, k, exclude_self))
+        need, bounds, parts = k + int(exclude_self), cells.bounds, _parts(q, cells)
+        first = _candidates(_sent(q, cells, lambda d, _: bounds.home(d, need), parts), cells, k, exclude_self)
         near = Window.partitionBy("src").orderBy("dist", "dst")
         best = cut_lineage(first.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k))
-        reach = best.where(F.col("rank") == k).select(F.col("src").alias("qid"), F.col("dist").alias("reach")).distinct()
+        reach = best.where(F.col("rank") == k).select(F.col("src").alias("qid"), F.col("dist").alias("reach"))
 
         def others(d, pdf):
             return bounds.within(d, pdf["reach"].fillna(np.inf).to_numpy(float)) & ~bounds.home(d, need)
-        more = _candidates(_sent(q.join(reach, "qid", "left"), cells, others), cells, k, exclude_self)
+        more = _candidates(_sent(q.join(reach, "qid", "left"), cells, others, parts), cells, k, exclude_self)
         found = best.drop("rank").union(more)
     else:
         tasks = n_blocks(queries.count(), block_rows, 2 * queries.sparkSession.sparkContext.defaultParallelism)

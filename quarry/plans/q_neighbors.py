@@ -109,9 +109,10 @@ SELECT fold, COUNT(*) AS n, ROUND(AVG(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) A
 def g11_distances(spark, sf, k=5):
     v = _vec(spark, sf)
     g = N.knn(v, None, k, "vec_id", "embedding")
-    a = v.select(F.col("vec_id").alias("src"), F.col("embedding").cast("array<double>").alias("a"))
-    b = v.select(F.col("vec_id").alias("dst"), F.col("embedding").cast("array<double>").alias("b"))
-    p = g.select("src", "dst").join(a, "src").join(b, "dst")
+    a = v.select(F.col("vec_id").alias("src"), F.col("embedding").alias("a"))
+    b = v.select(F.col("vec_id").alias("dst"), F.col("embedding").alias("b"))
+    wide = [F.col(c).cast("array<double>").alias(c) for c in ("a", "b")]      # after the joins: floats move
+    p = g.select("src", "dst").join(a, "src").join(b, "dst").select("src", "dst", *wide)
     return p.select("src", "dst", F.round(C.euclidean("a", "b"), 6).alias("euclid"),
                     F.round(C.sq_euclidean("a", "b") / F.size("a"), 6).alias("mse"),
                     F.round(C.cosine_sim("a", "b"), 6).alias("cos_sim"))

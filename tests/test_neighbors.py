@@ -68,3 +68,41 @@ def test_hub_degree(spark):
     edges = spark.createDataFrame([(0, 1), (2, 1), (3, 1)], "src long, dst long")
     got = {r["id"]: r["agg"] for r in N.aggregate_neighbors(nodes, edges, "id", "v", "gcn").collect()}
     assert np.allclose(got[1], [0.5, 0.25, 0.5, 0.5])
+
+
+def test_distances_of_few_pairs_are_worked_out(spark, monkeypatch):
+    """A product names the candidates: heaps of pairs never get a distance of their own."""
+    import pandas as pd
+    from quarry.plans import blocks
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 24)) + 50
+    x[:3], x[10], x[11] = x[3], x[12], x[13] * (1 + 1e-15)
+    seen, plain = [], blocks.distances_of
+    monkeypatch.setattr(N, "distances_of", lambda q, b, i, j: (seen.append(len(i)), plain(q, b, i, j))[1])
+    pdf = pd.DataFrame({"id": np.arange(700), "v": list(x)})
+    got = N._topk_kernel(5, True)(pdf.set_axis(["qid", "qv"], axis=1), pdf.set_axis(["bid", "bv"], axis=1))
+    want = all_pairs(x, x, 5, True)
+    assert set(zip(got["src"], got["dst"])) == {(s, d) for s, d, *_ in want} and len(got) == 5 * 700
+    assert sum(seen) < 12 * 700
+    known = pdf.set_axis(["qid", "qv"], axis=1).assign(reach=got.groupby("src")["dist"].max().to_numpy())
+    seen.clear()
+    again = N._topk_kernel(5, True)(known, pdf.set_axis(["bid", "bv"], axis=1))
+    assert again.equals(got) and sum(seen) < 12 * 700
+    huge = pdf.assign(v=list(x * 1e200))
+    far = N._topk_kernel(1, True)(huge.set_axis(["qid", "qv"], axis=1), huge.set_axis(["bid", "bv"], axis=1))
+    assert {(0, 1), (1, 0), (10, 12)} <= set(zip(far["src"], far["dst"]))
+
+
+def test_what_is_sent_at_once_is_bounded():
+    from quarry.plans.blocks import rows_a_block
+    assert rows_a_block(2000) == 2048 and rows_a_block(10**9) == 16384
+    import pandas as pd
+    sizes = [len(p) for p in N._slices([pd.DataFrame({"a": range(10_000)})], N.SLICE // N.Cells.MAX_PIVOTS)]
+    assert max(sizes) * N.Cells.MAX_PIVOTS <= N.SLICE and sum(sizes) == 10_000
+
+
+def test_graph_over_several_blocks_of_queries(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(260, 8)).astype(np.float32).astype(float)
+    x[200:] = x[0]                          # more copies than a block holds
+    assert rows(N.knn(frame(spark, x), None, 3, "id", "v", block_rows=25)) == all_pairs(x, x, 3, True)
