@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.blocks import as_matrix, n_blocks, pair_distances, replicate
+from quarry.plans.blocks import as_matrix, n_blocks, pair_squares, product_distances, replicate, rows_a_block, same_ids
 from quarry.session import cut_lineage, ship_package
 
 
@@ -51,6 +51,13 @@ def kmeans(df: DataFrame, vec: str, k: int, seed: int = 123, max_iter: int = 20)
     return model, model.transform(data).drop("_features"), model.summary.trainingCost
 
 
+def _others(i: np.ndarray, label: np.ndarray, rows: int, onehot: np.ndarray) -> np.ndarray:
+    """(rows, labels): how many base rows of each label have another id; ``i`` and ``label`` list those with the same."""
+    out = np.tile(onehot.sum(0).astype(np.int64), (rows, 1))
+    np.subtract.at(out, (i, label), 1)
+    return out
+
+
 def _silhouette_kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """Per query point and base cluster: sum and count of distances to the
     other points of that cluster in this block pair (two matrix products
@@ -68,11 +75,12 @@ def _silhouette_kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     onehot = np.zeros((len(bid), len(labs)))
     onehot[np.arange(len(bid)), bc_idx] = 1.0
     parts = []
-    for s, d in pair_distances(qm, bm):
-        other = (qid[s:s + d.shape[0], None] != bid[None, :]).astype(np.float64)
-        sums = (d * other) @ onehot
-        cnts = np.rint(other @ onehot).astype(np.int64)
+    for s, d in product_distances(qm, bm):
         m = d.shape[0]
+        i, j = same_ids(qid[s:s + m], bid)
+        d[i, j] = 0.0
+        sums = d @ onehot
+        cnts = _others(i, bc_idx[j], m, onehot)
         parts.append(pd.DataFrame({
             "qid": np.repeat(qid[s:s + m], len(labs)), "qc": np.repeat(qc[s:s + m], len(labs)),
             "bc": np.tile(labs, m), "s": sums.ravel(), "n": cnts.ravel()}))
@@ -80,10 +88,11 @@ def _silhouette_kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
 
 
 def silhouette_points(df: DataFrame, id_col: str, vec: str, cluster: str,
-                      block_rows: int = 2048) -> DataFrame:
+                      block_rows: int | None = None) -> DataFrame:
     """Per-point silhouette (id, cluster, s); a point alone in its cluster scores 0."""
     ship_package(df.sparkSession)
-    b = n_blocks(df.count(), block_rows, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    n = df.count()
+    b = n_blocks(n, block_rows or rows_a_block(n), 2 * df.sparkSession.sparkContext.defaultParallelism)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"),
                      F.col(cluster).cast("long").alias("c"))
     q = replicate(base.toDF("qid", "qv", "qc"), "qid", "qblk", "bblk", b)
@@ -101,7 +110,7 @@ def silhouette_points(df: DataFrame, id_col: str, vec: str, cluster: str,
     return pt.select(F.col("qid").alias(id_col), F.col("qc").alias(cluster), s.alias("silhouette"))
 
 
-def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str, block_rows: int = 2048,
+def silhouette(df: DataFrame, id_col: str, vec: str, cluster: str, block_rows: int | None = None,
                fast: bool = False) -> DataFrame:
     """Mean silhouette over all points.
 
@@ -172,6 +181,19 @@ def _to_centres(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
         [((part[:, None, :] - centres[None]) ** 2).sum(2) for part in np.array_split(x, -(-x.size * len(centres) >> 22))])
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Nearest centre of each row, ties to the first: by a matrix product, rows that this leaves open by differences."""
+    near = np.zeros(len(x), np.int64)
+    for s, d, slack in pair_squares(x, centres):
+        near[s:s + len(d)] = d.argmin(1)
+        if len(centres) > 1:
+            two = np.partition(d, 1, axis=1)
+            open_ = s + np.flatnonzero(~(two[:, 1] - two[:, 0] > 2 * slack))
+            if len(open_):
+                near[open_] = _to_centres(x[open_], centres).argmin(1)
+    return near
+
+
 def _hash_of(ids: np.ndarray, salt: int) -> np.ndarray:
     """Uniform numbers in (0, 1) by row id."""
     with np.errstate(over="ignore"):
@@ -220,9 +242,12 @@ def lloyd(blocks, starts: list[np.ndarray], max_iter: int = 300, tol: float = 1e
         def step(block, centres=centres, live=sorted(live)):
             x, out = block[1], {}
             for m in live:
-                near = _to_centres(x, centres[m]).argmin(1)
+                near = _nearest(x, centres[m])
                 sums = np.zeros_like(centres[m])
-                np.add.at(sums, near, x)
+                if np.isfinite(x).all():
+                    sums = np.eye(len(centres[m]))[near].T @ x
+                else:                       # stay with their own centre
+                    np.add.at(sums, near, x)
                 out[m] = (sums, np.bincount(near, minlength=len(centres[m])))
             return out
         total = blocks.map(step).treeReduce(lambda a, b: {m: (a[m][0] + b[m][0], a[m][1] + b[m][1]) for m in a})
@@ -241,23 +266,25 @@ def _silhouettes_kernel(n_models: int):
         qid, bid = q["qid"].to_numpy(np.int64), b["bid"].to_numpy(np.int64)
         ql, bl = np.stack(q["qc"].to_numpy()), np.stack(b["bc"].to_numpy())
         parts = []
-        for s, d in pair_distances(as_matrix(q["qv"]), as_matrix(b["bv"])):
+        for s, d in product_distances(as_matrix(q["qv"]), as_matrix(b["bv"])):
             m = len(d)
-            other = (qid[s:s + m, None] != bid[None, :]).astype(float)
+            i, j = same_ids(qid[s:s + m], bid)
+            d[i, j] = 0.0
             for k in range(n_models):
                 labels, at = np.unique(bl[:, k], return_inverse=True)
                 onehot = np.eye(len(labels))[at]
                 parts.append(pd.DataFrame({"qid": np.repeat(qid[s:s + m], len(labels)), "model": k, "qc": np.repeat(ql[s:s + m, k], len(labels)),
-                                           "bc": np.tile(labels, m), "s": ((d * other) @ onehot).ravel(), "n": np.rint(other @ onehot).astype(np.int64).ravel()}))
+                                           "bc": np.tile(labels, m), "s": (d @ onehot).ravel(), "n": _others(i, at[j], m, onehot).ravel()}))
         return pd.concat(parts, ignore_index=True)
     return fn
 
 
-def silhouettes(df: DataFrame, id_col: str, vec: str, labels: str, n_models: int, block_rows: int = 2048) -> DataFrame:
+def silhouettes(df: DataFrame, id_col: str, vec: str, labels: str, n_models: int, block_rows: int | None = None) -> DataFrame:
     """(model, silhouette): exact mean silhouette of each of ``n_models`` labellings (an array
     column); every distance is worked out once for all of them."""
     ship_package(df.sparkSession)
-    b = n_blocks(df.count(), block_rows, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    n = df.count()
+    b = n_blocks(n, block_rows or rows_a_block(n), 2 * df.sparkSession.sparkContext.defaultParallelism)
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"), F.col(labels).alias("c"))
     q = replicate(base.toDF("qid", "qv", "qc"), "qid", "qblk", "bblk", b)
     r = replicate(base.toDF("bid", "bv", "bc"), "bid", "bblk", "qblk", b)

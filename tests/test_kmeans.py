@@ -1,5 +1,6 @@
 """The sweep over k against plain k-means and the scores' definitions."""
 import numpy as np
+import pandas as pd
 import pytest
 
 from quarry.operators import cluster as CL
@@ -63,3 +64,34 @@ def test_fewer_rows_than_clusters(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [4.0]), (3, [4.0])], "id long, v array<double>")
     rows = CL.kmeans_sweep(df, "id", "v", [1, 2, 3])[0].collect()
     assert [r["inertia"] for r in rows][1:] == [0.0, 0.0]
+
+
+def test_products_name_the_same_centres_and_distances():
+    from quarry.operators import cluster as CL
+    from quarry.plans import blocks
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16)) + 30
+    x[:40], x[50] = x[40], x[51] * (1 + 1e-15)
+    centres = np.vstack([x[60], x[61], x[60], (x[60] + x[61]) / 2])     # equal ones, and rows halfway between
+    assert (CL._nearest(x, centres) == CL._to_centres(x, centres).argmin(1)).all()
+    plain = np.vstack([d for _, d in blocks.pair_distances(x, x)])
+    parts = list(blocks.product_distances(x, x, budget_bytes=400 * 8 * 32))
+    found = np.vstack([d for _, d in parts])
+    assert max(len(d) for _, d in parts) <= 32
+    assert (found[plain == 0] == 0).all() and np.allclose(found, plain, rtol=1e-8, atol=0)
+    assert blocks.rows_a_block(600_000) == 16384
+
+
+def test_silhouette_of_repeated_ids(spark):
+    from quarry.operators import cluster as CL
+    rng = np.random.default_rng(6)
+    x, ids, c = rng.normal(size=(60, 3)), np.arange(60) % 55, np.arange(60) % 3
+    q = pd.DataFrame({"qid": ids, "qv": list(x), "qc": c})
+    got = CL._silhouette_kernel(q, q.set_axis(["bid", "bv", "bc"], axis=1)).set_index(["qid", "bc"]).sort_index()
+    other = ids[:, None] != ids[None]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) * other
+    for i in (0, 3, 20):
+        for k in range(3):
+            rows = got.loc[[(i, k)]]
+            want = [(d[r, c == k].sum(), other[r, c == k].sum()) for r in np.flatnonzero(ids == i)]
+            assert np.allclose(sorted(zip(rows["s"], rows["n"])), sorted(want))
