@@ -114,32 +114,39 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, count: int = BANDS * ROW
             .mapInPandas(_signatures(shingle, count), "doc_id long, n long, print binary, minima binary"))
 
 
-def id_filter(ids: DataFrame, bits: int = FILTER_BITS):
-    """A test column maker for (perhaps) belonging to ``ids``: a bit field of fixed size,
-    whatever the number of ids.  It lets through some others, never drops one."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    rows = (ids.select(slot("node").alias("s")).groupBy(F.shiftright("s", 5).alias("w"))
+def id_field(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit field for (perhaps) belonging to ``ids``, of fixed size whatever the number of ids.
+    It lets through some others, never drops one."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(bits))
+    rows = (ids.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w"))
             .agg(F.expr("bit_or(shiftleft(1L, cast(s & 31 as int)))").alias("m")).toPandas())
     field = np.zeros(bits >> 5, np.int64)
     field[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
-    shared = ids.sparkSession.sparkContext.broadcast(field.astype(np.uint32))
+    return field.astype(np.uint32)
 
-    def test(s: pd.Series) -> pd.Series:
-        s = s.to_numpy()
-        return pd.Series((shared.value[s >> 5] >> (s & 31).astype(np.uint32)) & 1 == 1)
 
-    own = F.pandas_udf(test, "boolean")
-    return lambda c: own(slot(c))
-
-
-def _sets(shingle: int):
+def _sets(shingle: int, field):
+    """Sets of the rows in the broadcast bit field: test and sets in one worker a task."""
     def run(batches):
-        shingles = Shingler(shingle)
+        shingles, held = Shingler(shingle), field.value
         for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "members": [shingles(raw).tobytes() for raw in pdf["raw"]]})
+            slot = pdf["slot"].to_numpy()
+            pdf = pdf[(held[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1]
+            yield pd.DataFrame({"node": pdf["node"].to_numpy(np.int64), "members": [shingles(raw).tobytes() for raw in pdf["raw"]]})
     return run
 
 
+def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """(node, members): the distinct full sets of the documents in ``nodes``; others hardly leave the scan."""
+    field = id_field(nodes)
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    node = F.col("doc_id").cast("long")
+    found = (docs.select(node.alias("node"), F.pmod(F.xxhash64(node), F.lit(32 * len(field))).alias("slot"), utf8(text_col).alias("raw"))
+             .where(F.col("node").isNotNull() & F.col("raw").isNotNull())
+             .mapInPandas(_sets(shingle, shared), "node long, members binary"))
+    return written(found.where(F.length("members") > 0).join(nodes, "node", "left_semi").dropDuplicates(["node", "members"]), "sets")
+
+
 def _confirm(batches):
     for pdf in batches:
         keep = []
@@ -150,19 +157,6 @@ def _confirm(batches):
         yield pdf.loc[keep, ["u", "v"]]
 
 
-def texts_of(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """(node, raw) of the documents in ``nodes``; others hardly leave the scan."""
-    maybe = id_filter(nodes)
-    return (docs.select(F.col("doc_id").cast("long").alias("node"), utf8(text_col).alias("raw"))
-            .where(maybe("node") & F.col("raw").isNotNull()).join(nodes, "node", "left_semi"))
-
-
-def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int, text_col: str) -> DataFrame:
-    """(node, members): the distinct full sets of the documents in ``nodes``."""
-    found = texts_of(docs, nodes, text_col).mapInPandas(_sets(shingle), "node long, members binary")
-    return written(found.where(F.length("members") > 0).dropDuplicates(["node", "members"]), "sets")
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, text_col: str) -> DataFrame:
     """The pairs (u, v) that reach the similarity on the full sets.
 
