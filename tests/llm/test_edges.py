@@ -229,3 +229,16 @@ def test_quality_fits_on_6000_rows(monkeypatch):
     with pytest.raises(StopIteration):
         quality.fit(None, None, train=True)
     assert seen == [6000]
+
+
+def test_sets_of_paired_documents_take_one_python_worker(spark, monkeypatch):
+    """Ids are tested where the sets are made; other documents yield none."""
+    from quarry.llm import minhash
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, "x"), (None, "x y")], "doc_id long, text string")
+    nodes = spark.createDataFrame([(1,), (3,), (4,), (5,)], "node long")
+    kept = []
+    monkeypatch.setattr(minhash, "written", lambda df, name: kept.append(df) or df)
+    got = {r["node"]: len(r["members"]) // 8 for r in minhash.sets_of(docs, nodes, 5, "text").collect()}
+    assert got == {1: 2, 5: 1}
+    plan = kept[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInPandas") == 1

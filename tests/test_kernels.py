@@ -1,5 +1,6 @@
 """Kernel features against exact kernels, and fits against their optimality condition."""
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.operators import kernels as KN
 from quarry.operators.learn import _packed
@@ -61,3 +62,13 @@ def test_grid(spark):
     best = max(found, key=lambda r: r.accuracy)
     assert best.accuracy == next(r.accuracy for r in found if r.best) > max(y.mean(), 1 - y.mean()) + 0.2
     assert KN.kernel_grid(df.where("id < 0"), ["a", "b"], "label", "id", "fold", width=8).count() == 0
+
+
+def test_wide_rows_are_dealt_by_their_size(spark):
+    """More rows make more partitions, none wider than asked for."""
+    from quarry.operators import learn as LN
+    d = spark.range(6000).selectExpr("id AS row_id", "id % 7 AS x")
+    got = LN.dealt(d, ["row_id", "x"], 100, part_bytes=100 * 8 * 300)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert got.rdd.getNumPartitions() == max(20, spark.sparkContext.defaultParallelism)
+    assert sum(sizes) == 6000 and max(sizes) < 600
