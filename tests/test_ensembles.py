@@ -145,6 +145,26 @@ def test_forest_in_levels_equals_tasks(data):
     assert np.allclose(p, q)
 
 
+def test_forest_in_small_blocks_and_turns(data, monkeypatch):
+    """Values, nodes and trees cut over many blocks and turns give the trees of one task."""
+    specs = [FO.Spec(3, max_features=2), FO.Spec(2, min_leaf=3, bootstrap=False, fold=2)]
+    whole = FO.fit(data, X, "label", "id", specs, "fold")
+    monkeypatch.setattr(FO, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(FO, "PLACES", 1)
+    cut = FO.fit(data, X, "label", "id", specs, "fold", one_task=0, node_rows=40)
+    assert sorted(map(tuple, whole.nodes.collect())) == sorted(map(tuple, cut.nodes.collect()))
+
+
+def test_forest_rows_stay_in_place(data, monkeypatch):
+    """Trees' rows were written once a level; now the rows are written once and pure nodes move none."""
+    written = []
+    plain = FO.cut_lineage
+    monkeypatch.setattr(FO, "cut_lineage", lambda df: (written.append(df.count()), plain(df))[1])
+    rows = data.withColumn("label", (data["b"] > 2).cast("int"))
+    nodes = FO.fit(rows, X, "label", "id", [FO.Spec(20)], one_task=0, node_rows=30).nodes
+    assert sum(written) <= 2 * data.count() + 2 * nodes.count()
+
+
 def test_search_reads_cells_off_one_forest(data):
     grid = {"trees": [2, 5], "max_depth": [2, None], "min_split": [2, 30], "bootstrap": [True]}
     once, apart = (FO.search(data, X, "label", "id", "fold", grid, **size).orderBy("place").collect() for size in ({}, {"one_task": 1}))
