@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import hash_int, sigmoid
 from quarry.plans.ranking import prefix_sums, row_number
-from quarry.session import cut_lineage
+from quarry.session import cut_lineage, ship_package
 
 
 # --------------------------------------------------------------------- K1
@@ -167,57 +167,176 @@ def best_splits(df: DataFrame, features, label: str, node: str = "node") -> Data
         F.col("b.gr").alias("gain_ratio"))
 
 
-#: Node ids numbered together by one window group.
-ID_BLOCK = 100_000
-
-
-def _numbered(splits: DataFrame, made: int) -> DataFrame:
-    """Child ids ``yes`` and ``no`` in the order of the split nodes, from
-    ``made`` + 1 on.  Nodes are ranked inside blocks of ID_BLOCK consecutive
-    ids; only the block counts (one row a block) meet in one window."""
-    split = splits.withColumn("_b", F.floor(F.col("node") / ID_BLOCK))
-    blocks = split.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-                         F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("node"))
-    yes = F.lit(made - 1) + 2 * (rank + F.col("_before"))
-    return split.join(blocks, "_b").select("node", "feature", "threshold", "gain_ratio",
-                                           yes.cast("long").alias("yes"), (yes + 1).cast("long").alias("no"))
+#: Rows of a node whose subtree one task finishes (with four features some 32 MB; upper levels take jobs each).
+NODE_ROWS = 1_000_000
+
+_LN2_HI, _LN2_LO = 6.93147180369123816490e-01, 1.90821492927058770002e-10
+_LG = (6.666666666666735130e-01, 3.999999999940941908e-01, 2.857142874366239149e-01, 2.222219843214978396e-01,
+       1.818357216161805012e-01, 1.531383769920937332e-01, 1.479819860511658591e-01)
+
+
+def _ln(x: np.ndarray) -> np.ndarray:
+    """Natural logarithm of normal numbers > 0 rounded as ``StrictMath.log`` does, which is what Spark's ``log2``
+    divides: splits that are equal but for rounding are told apart alike in tasks and in :func:`best_splits`."""
+    bits = np.asarray(x, float).view(np.int64)
+    high = (bits >> 32) & 0xFFFFF
+    up = (high + 0x95F64) & 0x100000
+    k = ((bits >> 52) - 1023 + (up >> 20)).astype(float)
+    f = ((bits & 0xFFFFFFFF) | ((high | (up ^ 0x3FF00000)) << 32)).view(float) - 1.0
+    near = f * f * (0.5 - 0.33333333333333333 * f)
+    s = f / (2.0 + f)
+    z = s * s
+    w = z * z
+    r = z * (_LG[0] + w * (_LG[2] + w * (_LG[4] + w * _LG[6]))) + w * (_LG[1] + w * (_LG[3] + w * _LG[5]))
+    half = 0.5 * f * f
+    mid = ((high - 0x6147A) | (0x6B851 - high)) > 0
+    far = np.where(mid, np.where(k == 0, f - (half - s * (half + r)), k * _LN2_HI - ((half - (s * (half + r) + k * _LN2_LO)) - f)),
+                   np.where(k == 0, f - s * (f - r), k * _LN2_HI - ((s * (f - r) - k * _LN2_LO) - f)))
+    close = np.where(f == 0, k * _LN2_HI + k * _LN2_LO, np.where(k == 0, f - near, k * _LN2_HI - ((near - k * _LN2_LO) - f)))
+    return np.where((0xFFFFF & (2 + high)) < 3, close, far)
+
+
+def _log2(x: np.ndarray) -> np.ndarray:
+    return _ln(x) / math.log(2.0)
+
+
+def _entropy(p: np.ndarray) -> np.ndarray:
+    out, inside = np.zeros(len(p)), (p > 0) & (p < 1)
+    p = p[inside]
+    q = 1.0 - p
+    out[inside] = -p * _log2(p) - q * _log2(q)
+    return out
 
 
-def build_tree(df: DataFrame, features, label: str, max_depth: int | None = None) -> DataFrame:
-    """Grow the gain-ratio tree level by level until no split has a positive
-    gain ratio (a pure node has none).  Returns one row per node: (node,
-    depth, feature, threshold, gain_ratio, n, pos, value, yes, no).  Ids
+def _gain_ratio(nl, pl, n, p):
+    """Gain ratio of cuts by rows and positives at or above them and in all (as in :func:`best_splits`)."""
+    nr, pr = n - nl, p - pl
+    with np.errstate(invalid="ignore", divide="ignore"):
+        right = np.where(nr > 0, pr / nr, 0.0)
+    gain = _entropy(p / n) - (nl / n) * _entropy(pl / nl) - (nr / n) * _entropy(right)
+    info, cut = np.zeros(len(nl)), nr > 0
+    fl, fr = (nl / n)[cut], (nr / n)[cut]
+    info[cut] = -fl * _log2(fl) - fr * _log2(fr)
+    return np.divide(gain, info, out=np.zeros(len(nl)), where=info != 0)
+
+
+def grow_gain_ratio(x: np.ndarray, y: np.ndarray, depth: int = 0, max_depth: int | None = None):
+    """The tree of :func:`build_tree` over rows of one task, as arrays (depth, place in its depth, feature, threshold,
+    gain ratio, n, pos), breadth first; feature -1 in leaves.  ``x`` is (features, rows), NaN for null."""
+    d, plain = len(x), bool(np.isin(y, (0, 1)).all())
+    orders = [o[~np.isnan(v[o])] for v, o in ((v, np.argsort(-v, kind="stable")) for v in x)]
+    place, count, out = np.zeros(len(y), np.int64), 1, []
+    alive = np.arange(len(y))
+    while True:
+        n, pos = np.bincount(place[alive], minlength=count), np.bincount(place[alive], y[alive], count)
+        best, cut, feature = np.zeros(count), np.full(count, np.nan), np.full(count, -1)
+        open_ = (pos > 0) & (pos < n) if plain else np.ones(count, bool)
+        if max_depth is not None and depth >= max_depth:
+            open_[:] = False
+        alive = alive[open_[place[alive]]]
+        for f in range(d):
+            o = orders[f][place[orders[f]] >= 0]
+            o = o[open_[place[o]]]
+            o = orders[f] = o[np.argsort(place[o].astype(np.int16 if count < 32_000 else np.int64), kind="stable")]
+            if not len(o):
+                continue
+            node, v, c = place[o], x[f, o], y[o].cumsum()
+            starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            sizes = np.diff(np.append(starts, len(o)))
+            before = np.repeat(np.where(starts > 0, c[starts - 1], 0), sizes)
+            ends = np.flatnonzero(np.append((v[1:] != v[:-1]) | (node[1:] != node[:-1]), True))
+            nl, pl = (np.arange(len(o)) - np.repeat(starts, sizes) + 1.0)[ends], (c - before)[ends]
+            whole, all_ = np.repeat(sizes, sizes)[ends].astype(float), np.repeat(c[starts + sizes - 1], sizes)[ends] - before[ends]
+            ratio, own = _gain_ratio(nl, pl, whole, all_), node[ends]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            top = np.maximum.reduceat(ratio, first)
+            hit = np.flatnonzero(ratio == np.repeat(top, np.diff(np.append(first, len(own)))))
+            last = hit[np.searchsorted(hit, np.append(first[1:], len(own))) - 1]        # the smallest of equal thresholds
+            at = own[first]
+            better = top > best[at]
+            best[at[better]], cut[at[better]], feature[at[better]] = top[better], v[ends[last]][better], f
+        out.append((np.full(count, depth), np.arange(count), feature, cut, np.where(feature >= 0, best, np.nan), n, pos.astype(np.int64)))
+        split = np.flatnonzero(feature >= 0)
+        if not len(split):
+            return [np.concatenate(c) for c in zip(*out)]
+        number = np.full(count, -1)
+        number[split] = np.arange(len(split))
+        kept = alive[number[place[alive]] >= 0]
+        of = place[kept]
+        place[:] = -1
+        with np.errstate(invalid="ignore"):
+            place[kept] = 2 * number[of] + ~(x[feature[of], kept] >= cut[of])
+        alive, count, depth = kept, 2 * len(split), depth + 1
+
+
+_TREE_ROWS = "path string, at long, depth int, feature int, threshold double, gain_ratio double, n long, pos long"
+
+
+def build_tree(df: DataFrame, features, label: str, max_depth: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
+    """Grow the gain-ratio tree until no split has a positive gain ratio (a
+    pure node has none).  Returns one row per node: (node, depth, feature,
+    threshold, gain_ratio, n, pos, value, yes, no).  Ids
     number the nodes breadth-first from 1; ``yes`` (x >= threshold) and ``no``
     (the rest, nulls included) point to the children and are null in leaves.
-    The driver holds counts only; nodes and rows stay distributed."""
+
+    Nodes of more than ``node_rows`` rows are split level by level; the others move to
+    one task each, which finishes the subtree (rows with NaN or without label: none do).
+    While it grows a node is its path of turns; nodes and rows stay distributed."""
+    spark = df.sparkSession
+    ship_package(spark)
     names = [f"x{i}" for i in range(len(features))]
     cur = cut_lineage(df.select(*[F.col(c).cast("double").alias(x) for c, x in zip(features, names)],
-                                F.col(label).cast("int").alias("_y"), F.lit(1).cast("long").alias("node")))
-    tree, depth, made = None, 0, 1
+                                F.col(label).cast("int").alias("_y"), F.lit("").alias("node")))
+    odd = reduce(lambda a, b: a | b, [F.coalesce(F.isnan(x), F.lit(False)) for x in names], F.col("_y").isNull())
+    if not cur.where(odd).isEmpty():
+        node_rows = 0           # tasks would not tell NaN from null
+
+    def finish(pdf):
+        path = pdf["node"].iat[0]
+        nodes = grow_gain_ratio(pdf[names].to_numpy(float, na_value=np.nan).T.copy(), pdf["_y"].to_numpy(np.int64), len(path), max_depth)
+        out = pd.DataFrame(dict(zip(["depth", "at", "feature", "threshold", "gain_ratio", "n", "pos"], nodes)))
+        leaf = out["feature"] < 0
+        out["feature"] = out["feature"].astype("Int32").mask(leaf)
+        for c in ("threshold", "gain_ratio"):
+            out[c] = out[c].astype(object).mask(leaf, None)
+        return out.assign(path=path)[[c.split()[0] for c in _TREE_ROWS.split(", ")]]
+
+    tree, depth = None, 0
     while True:
-        stats = cur.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"))
-        best = best_splits(cur, names, "_y").where("gain_ratio > 0")
-        if max_depth is not None and depth >= max_depth:
-            best = best.limit(0)
-        splits = cut_lineage(best)
-        grown = splits.count()
-        splits = _numbered(splits, made)
-        level = stats.join(splits, "node", "left").select(
-            "node", F.lit(depth).alias("depth"), F.col("feature").cast("int").alias("feature"), "threshold", "gain_ratio",
-            "n", "pos", (F.col("pos") * 2 >= F.col("n")).cast("int").alias("value"), "yes", "no")
-        level = cut_lineage(level)
-        tree = level if tree is None else tree.unionByName(level)
+        stats = cut_lineage(cur.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos")))
+        few = stats.where(F.col("n") <= node_rows).select("node")
+        level = None
+        if not few.isEmpty():
+            level = cut_lineage(cur.join(few, "node").groupBy("node").applyInPandas(finish, _TREE_ROWS))
+        large = stats.where(F.col("n") > node_rows)
+        grown = 0
+        if not large.isEmpty():
+            best = best_splits(cur.join(large.select("node"), "node"), names, "_y").where("gain_ratio > 0")
+            if max_depth is not None and depth >= max_depth:
+                best = best.limit(0)
+            splits = cut_lineage(best)
+            grown = splits.count()
+            here = cut_lineage(large.join(splits, "node", "left").select(
+                F.col("node").alias("path"), F.lit(0).cast("long").alias("at"), F.lit(depth).alias("depth"),
+                F.col("feature").cast("int").alias("feature"), "threshold", "gain_ratio", "n", "pos"))
+            level = here if level is None else here.unionByName(level)
+        if level is not None:
+            tree = level if tree is None else tree.unionByName(level)
         if depth % 32 == 31:
             tree = cut_lineage(tree)
         if grown == 0:
-            return tree
+            break
         x = F.element_at(F.array(*names), F.col("feature") + 1)
         cur = cut_lineage(cur.join(splits, "node").select(
-            *names, "_y", F.when(x >= F.col("threshold"), F.col("yes")).otherwise(F.col("no")).alias("node")))
-        made += 2 * grown
+            *names, "_y", F.concat("node", F.when(x >= F.col("threshold"), F.lit("0")).otherwise(F.lit("1"))).alias("node")))
         depth += 1
+    if tree is None:
+        tree = spark.createDataFrame([], _TREE_ROWS)
+    # breadth first: children take the next two numbers in the order of their parents
+    split = F.col("feature").isNotNull()
+    numbered = prefix_sums(tree.withColumn("_split", split.cast("long")), ["depth", "path", "at"], ["_split"], out_cols=["_made"], rank_col="node")
+    return numbered.select("node", "depth", "feature", "threshold", "gain_ratio", "n", "pos", (F.col("pos") * 2 >= F.col("n")).cast("int").alias("value"),
+                           F.when(split, 2 * F.col("_made")).alias("yes"), F.when(split, 2 * F.col("_made") + 1).alias("no"))
 
 
 def tree_predict(df: DataFrame, features, tree: DataFrame, out: str = "prediction") -> DataFrame:

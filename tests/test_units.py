@@ -239,6 +239,23 @@ def test_tree_numbers_nodes_by_level(spark):
     assert sum(r["n"] for r in leaves) == 5 and max(r["depth"] for r in nodes) >= 2
 
 
+def test_tree_in_tasks_equals_levels(spark, monkeypatch):
+    """Subtrees finished in tasks are those of the levels, number by number; each depth took a level of jobs before."""
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b) if b else None, int((a > 3) ^ (i % 7 == 0))) for i, (a, b) in enumerate(rng.integers(0, 6, (40, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    level = learn.build_tree(df, ["a", "b"], "y", node_rows=10).orderBy("node").collect()
+    assert level[0]["n"] == 40 and max(r["depth"] for r in level) > 2
+    monkeypatch.setattr(learn, "best_splits", None)         # no level needed
+    assert level == learn.build_tree(df, ["a", "b"], "y").orderBy("node").collect()
+
+
+def test_logarithm_is_that_of_spark(spark):
+    p = np.concatenate([np.arange(1, n) / n for n in (2, 3, 7, 97, 1000, 4096)] + [1 - 2.0 ** -np.arange(15, 30), 2.0 ** -np.arange(1, 40)])
+    found = spark.createDataFrame([(float(v),) for v in p], "p double").select(F.log2("p")).collect()
+    assert [r[0] for r in found] == learn._log2(p).tolist()
+
+
 # ------------------------------------------------------------------ schedule
 def test_schedule_capacity_boundary(spark):
     at_cap = spark.createDataFrame([(i, 1, 1, 8 + i, 1.0) for i in range(8)],
