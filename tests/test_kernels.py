@@ -55,6 +55,18 @@ def test_fits_are_optimal_and_keep_out_their_fold(spark):
         assert np.abs(gradient).max() < 1e-4 * max(1.0, 2 * c * len(s) / 10)
 
 
+def test_moments_of_a_block_are_shared_by_its_fits():
+    rng = np.random.default_rng(6)
+    z, sign, f = rng.normal(size=(500, 6)), rng.choice([-1.0, 1.0], 500), rng.integers(0, 3, 500)
+    weights = 0.3 * rng.normal(size=(6, 1)) + 0.05 * rng.normal(size=(6, 7))
+    weights[:, 5] = 5.0
+    held = [0, 1, 2, 0, 1, 2, 9]            # one fold without rows
+    for j, (zz, zy, loss) in enumerate(KN._block_moments(z, sign, f, weights, held)):
+        gap = 1 - sign * (z @ weights[:, j])
+        at = (gap > 0) & (f != held[j])
+        assert np.allclose(zz, z[at].T @ z[at]) and np.allclose(zy, z[at].T @ sign[at]) and np.isclose(loss, (gap[at] ** 2).sum())
+
+
 def test_grid(spark):
     df, _, y = _rings(spark)
     found = KN.kernel_grid(df, ["a", "b"], "label", "id", "fold", gamma_names=("scale", 0.1), costs=(0.1, 100), width=32).collect()
