@@ -342,6 +342,22 @@ def test_lsi_matches_numpy_svd(spark):
     assert top.where("topic = 0 AND rank = 1").first()["term"] == lead
 
 
+def test_lsi_packs_documents_and_multiplies_inside_blocks(spark):
+    import pandas as pd
+    docs = spark.createDataFrame([([5, 9], [1.0, 2.0]), ([9], [3.0]), ([2, 5, 9], [1.0, 1.0, 1.0])], "tids array<long>, ws array<double>")
+    block = docs.coalesce(1).mapInPandas(topics._pack, topics._BLOCK).toPandas()
+    assert len(block) == 1 and np.frombuffer(block["ids"][0], np.int64).tolist() == [2, 5, 9]
+    a, z = np.array([[0, 1, 2], [0, 0, 3], [1, 1, 1]], float), np.array([[1, 2], [0, 1], [3, -1]], float)
+    turn = np.array([[2.0, 0.0], [1.0, 1.0]])
+    mine = pd.DataFrame({"tid": [9, 2, 5], "spot": [2, 0, 1], "v": [z[i].tobytes() for i in (2, 0, 1)]})
+    got = topics._products(turn)(block, mine)
+    y = a @ z @ turn
+    assert got["tid"].tolist() == [2, 5, 9, -1, -2]
+    assert np.allclose(np.frombuffer(b"".join(got["v"])).reshape(-1, 2), np.vstack([a.T @ y, y.T @ y]))
+    empty = spark.createDataFrame([], "doc long, term string, tfidf double")
+    assert topics.lsi(empty, "doc", 2)[1].count() == 0
+
+
 def test_ranking_with_a_hot_group_spanning_partitions(spark):
     # one group holds a third of all rows and must span several range partitions
     df = spark.range(0, 900).select(
