@@ -75,6 +75,27 @@ def test_booster_equals_recursion(data):
     assert np.allclose([got[i] for i in range(len(y))], 1 / (1 + np.exp(-margin)))
 
 
+def test_one_model_writes_margins_every_few_rounds(data, monkeypatch):
+    names, write = [], BO._written
+    monkeypatch.setattr(BO, "_written", lambda df, name: names.append(name) or write(df, name))
+    spec = [BO.Spec(7, 0.3, 3, 0.7, 1)]
+    a, b = (BO.fit(data, X, "label", "id", spec, "fold", [3, 6, 7], max_bins=16, one_task=size) for size in (BO.ONE_TASK, 0))
+    assert a.trees == b.trees and a.scores == b.scores and names.count("margins") == 1
+
+
+def test_splits_of_a_level_equal_those_of_its_nodes():
+    rng = np.random.default_rng(8)
+    bins, place = rng.integers(0, 9, (3, 400)).astype(np.uint8), rng.integers(0, 5, 400)
+    g, h = rng.integers(-50, 50, 400) * BO.SCALE / 16, rng.integers(1, 9, 400) * BO.SCALE / 16
+    sums = BO._histograms(bins, 9, place, None, 4, (g, h))       # place 4: in no node
+    found = list(zip(*BO.splits_of_histograms(*sums, BO.Spec())))
+    for node in range(4):
+        own = [np.stack([np.bincount(b[place == node], w[place == node], 9) for b in bins]) for w in (g, h)]
+        assert found[node] == BO.split_of_histogram(*own, BO.Spec())
+    rows = np.flatnonzero(place < 2)
+    assert (BO._histograms(bins, 9, place[rows], rows, 2, (g, h)) == sums[:, :2]).all()
+
+
 def test_boosting_in_passes_equals_tasks(data):
     specs = [BO.Spec(3, 0.3, 3, 0.7, f) for f in (0, 1)] + [BO.Spec(2, 0.1, 2)]
     a, b = (BO.fit(data, X, "label", "id", specs, "fold", [1, 2, 3], max_bins=16, one_task=size) for size in (BO.ONE_TASK, 0))
