@@ -75,6 +75,24 @@ def test_booster_equals_recursion(data):
     assert np.allclose([got[i] for i in range(len(y))], 1 / (1 + np.exp(-margin)))
 
 
+def test_a_tree_cut_off_gives_the_shares_of_its_upper_nodes():
+    x, y = table(600)
+    key, depth, feature, threshold, w, pos, n = FO.grow(x.T, y, np.ones(600), 3, FO.Spec(1, max_features=2))
+    walk, order = FO.Walk(key, feature, threshold, pos / w), np.argsort(key)
+    for most, least in ((99, 2), (0, 2), (3, 2), (99, 25), (5, 60)):
+        stop = (n < least) | (depth >= most)
+        want = FO.Walk(key, np.where(stop, -1, feature), threshold, pos / w).shares(x.T)
+        assert (walk.share[walk.under(stop[order])][walk.leaves(x.T)] == want).all()
+
+
+def test_only_drawn_features_are_scored(monkeypatch):
+    x, y = table(600)
+    places, score = [], FO._score
+    monkeypatch.setattr(FO, "_score", lambda wl, *rest: places.append(len(wl)) or score(wl, *rest))
+    FO.grow(x.T, y, np.ones(600), 3, FO.Spec(1, max_depth=1, max_features=1))
+    assert len(places) == 1     # of four features
+
+
 def test_one_model_writes_margins_every_few_rounds(data, monkeypatch):
     names, write = [], BO._written
     monkeypatch.setattr(BO, "_written", lambda df, name: names.append(name) or write(df, name))
