@@ -1,9 +1,8 @@
 """Nearest neighbours, graphs on them, SMOTE.
 
-Exact kNN sends queries to cells around pivots: rows move only where a
-bound allows one of the k nearest.  Each pair of a query block and a chunk of a cell
-returns only its local top-k per query row, and the global top-k is a
-window per query id over these.  Ties are broken by the neighbour id, so
+Exact kNN puts base rows in cells around pivots: a cell goes only to blocks of queries
+for which a bound allows one of the k nearest.  A block is a task that keeps its queries'
+k nearest while base rows pass by in chunks.  Ties are broken by the neighbour id, so
 results are deterministic.
 """
 from __future__ import annotations
@@ -19,49 +18,141 @@ from quarry.plans.ranking import row_number
 from quarry.session import cut_lineage, ship_package
 
 
+def _local_topk(qid, qm, bid, bm, reach, k: int, exclude_self: bool):
+    """Rows (query place, base place, distance) of the k nearest of each query within ``reach``, in order.
+    A matrix product names the pairs that may belong to them, their distances come from differences."""
+    kk = min(k, len(bid))
+    found = []
+    for s, d, slack in pair_squares(qm, bm):
+        own = qid[s:s + len(d)]
+        if exclude_self:
+            d[same_ids(own, bid)] = np.inf
+        limit = reach[s:s + len(d)] ** 2 * (1 + 1e-12) + 2 * slack
+        open_ = ~np.isfinite(limit)
+        if open_.any():
+            kth = np.partition(d[open_], kk - 1, axis=1)[:, kk - 1]
+            limit[open_] = np.where(np.isnan(kth), np.inf, kth) + 2 * slack[open_]
+        with np.errstate(invalid="ignore"):
+            i, j = np.nonzero(d <= limit[:, None])
+        if exclude_self:
+            other = own[i] != bid[j]
+            i, j = i[other], j[other]
+        # per row: order by (distance, neighbour id), keep the first k
+        dist = distances_of(qm[s:s + len(d)], bm, i, j)
+        i, j, dist = (v[np.isfinite(dist)] for v in (i, j, dist))
+        order = np.lexsort((bid[j], dist, i))
+        i, j, dist = i[order], j[order], dist[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < kk
+        found.append((s + i[keep], j[keep], dist[keep]))
+    return tuple(np.concatenate(v) for v in zip(*found))
+
+
 def _topk_kernel(k: int, exclude_self: bool):
-    """Local top-k of each query row.  A matrix product names the pairs that may belong to it
-    (within ``reach``, where known), their distances come from differences."""
+    """Local top-k of each query row (within ``reach``, where known)."""
     def fn(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"src": pd.Series([], dtype="int64"),
-                              "dst": pd.Series([], dtype="int64"),
-                              "dist": pd.Series([], dtype="float64")})
         if len(q) == 0 or len(b) == 0:
-            return empty
-        qm, bm = as_matrix(q["qv"]), as_matrix(b["bv"])
+            return pd.DataFrame({"src": pd.Series([], dtype="int64"),
+                                 "dst": pd.Series([], dtype="int64"),
+                                 "dist": pd.Series([], dtype="float64")})
         qid = q["qid"].to_numpy(dtype=np.int64)
         bid = b["bid"].to_numpy(dtype=np.int64)
         reach = q["reach"].fillna(np.inf).to_numpy(float) if "reach" in q else np.full(len(q), np.inf)
-        kk = min(k, len(bid))
-        out_s, out_d, out_x = [], [], []
-        for s, d, slack in pair_squares(qm, bm):
-            own = qid[s:s + len(d)]
-            if exclude_self:
-                d[same_ids(own, bid)] = np.inf
-            limit = reach[s:s + len(d)] ** 2 * (1 + 1e-12) + 2 * slack
-            open_ = ~np.isfinite(limit)
-            if open_.any():
-                kth = np.partition(d[open_], kk - 1, axis=1)[:, kk - 1]
-                limit[open_] = np.where(np.isnan(kth), np.inf, kth) + 2 * slack[open_]
-            with np.errstate(invalid="ignore"):
-                i, j = np.nonzero(d <= limit[:, None])
-            if exclude_self:
-                other = own[i] != bid[j]
-                i, j = i[other], j[other]
-            # per row: order by (distance, neighbour id), keep the first k
-            dist = distances_of(qm[s:s + len(d)], bm, i, j)
-            i, j, dist = (v[np.isfinite(dist)] for v in (i, j, dist))
-            order = np.lexsort((bid[j], dist, i))
-            i, j, dist = i[order], j[order], dist[order]
-            keep = np.arange(len(i)) - np.searchsorted(i, i) < kk
-            out_s.append(own[i[keep]])
-            out_d.append(bid[j[keep]])
-            out_x.append(dist[keep])
-        return pd.DataFrame({"src": np.concatenate(out_s), "dst": np.concatenate(out_d),
-                             "dist": np.concatenate(out_x)})
+        i, j, dist = _local_topk(qid, as_matrix(q["qv"]), bid, as_matrix(b["bv"]), reach, k, exclude_self)
+        return pd.DataFrame({"src": qid[i], "dst": bid[j], "dist": dist})
     return fn
 
 
+class _Chunk:
+    """Base rows ready for products: less ``centre``, transposed, their squares as a last row."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, centre: np.ndarray):
+        sound = np.isfinite(rows).all(1)                    # others are no one's neighbours
+        self.ids, self.rows = ids[sound], rows[sound]
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.moved = self.rows - centre
+            self.squares = np.einsum("ij,ij->i", self.moved, self.moved)
+            self.top, self.plain_top = self.squares.max(initial=0.0), np.einsum("ij,ij->i", self.rows, self.rows).max(initial=0.0)
+        self._sides = {}
+
+    def side(self, kind) -> np.ndarray:
+        if kind not in self._sides:
+            self._sides[kind] = np.vstack([self.moved.T, self.squares]).astype(kind)
+        return self._sides[kind]
+
+
+class _Nearest:
+    """The k nearest of some queries among the chunks of base rows offered so far.
+
+    A product in single precision, whose error ``slack`` bounds, names the pairs that may be as near as
+    the k-th so far; their distances come from differences.  Where it names too many (rows that lie close
+    together far from the centre) the product is made in doubles."""
+
+    TILE = 1 << 21          # pairs of a product held at a time
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, centre: np.ndarray, k: int, exclude_self: bool):
+        self.ids, self.rows, self.k, self.exclude_self, self.kind = ids, rows, k, exclude_self, np.float32
+        self.sound = np.isfinite(rows).all(1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            moved = rows - centre
+            self.squares, self.plain = np.einsum("ij,ij->i", moved, moved), np.einsum("ij,ij->i", rows, rows)
+        self.factor = np.hstack([-2.0 * moved, np.ones((len(rows), 1))])
+        self.kth, self.last = np.full(len(rows), np.inf), np.full(len(rows), np.iinfo(np.int64).max)
+        self.found, self.waiting, self.n_waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), [], 0
+
+    def add(self, i: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        self.waiting.append((i, ids, dist))
+        self.n_waiting += len(i)
+
+    def settle(self) -> None:
+        """Of what waits and was found before, the k first of each query by (distance, id)."""
+        i, ids, dist = (np.concatenate(v) for v in zip(self.found, *self.waiting))
+        order = np.lexsort((ids, dist, i))
+        i, ids, dist = i[order], ids[order], dist[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < self.k
+        self.found, self.waiting, self.n_waiting = (i[keep], ids[keep], dist[keep]), [], 0
+        many = np.bincount(self.found[0], minlength=len(self.ids))
+        full = many >= self.k
+        end = (np.cumsum(many) - 1)[full]
+        self.kth[full], self.last[full] = self.found[2][end], self.found[1][end]
+
+    def offer(self, who: np.ndarray, chunk: _Chunk) -> None:
+        """Compare the queries at places ``who`` with a chunk."""
+        who = who[self.sound[who]]
+        if not len(who) or not len(chunk.ids):
+            return
+        large = not max(self.plain[who].max(), chunk.plain_top) < 1e300
+        first = who if large else who[np.isinf(self.kth[who])]
+        if len(first):
+            i, j, dist = _local_topk(self.ids[first], self.rows[first], chunk.ids, chunk.rows, self.kth[first], self.k, self.exclude_self)
+            self.add(first[i], chunk.ids[j], dist)
+            self.settle()
+        if large:
+            return
+        who = who[~np.isin(who, first)] if len(first) else who
+        step = max(1, self.TILE // len(chunk.ids))
+        for s in range(0, len(who), step):
+            self._compare(who[s:s + step], chunk)
+
+    def _compare(self, who: np.ndarray, chunk: _Chunk) -> None:
+        kind = self.kind if max(self.squares[who].max(), chunk.top) < 1e30 else np.float64
+        d = self.rows.shape[1]
+        slack = 8 * (d + 8) * (np.finfo(kind).eps * (self.squares[who] + chunk.top) + np.finfo(float).eps * (self.plain[who] + chunk.plain_top))
+        limit = self.kth[who] ** 2 * (1 + 1e-12) + 2 * slack - self.squares[who]
+        limit = np.nextafter(limit.astype(kind), kind(np.inf))
+        near = self.factor[who].astype(kind) @ chunk.side(kind) <= limit[:, None]
+        i, j = np.divmod(np.flatnonzero(near), len(chunk.ids))
+        if self.exclude_self:
+            other = self.ids[who[i]] != chunk.ids[j]
+            i, j = i[other], j[other]
+        dist, i = distances_of(self.rows, chunk.rows, who[i], j), who[i]
+        kept = (dist < self.kth[i]) | ((dist == self.kth[i]) & (chunk.ids[j] <= self.last[i]))
+        if len(kept) > 64 * len(who) and kept.sum() < len(kept) // 8:
+            self.kind = np.float64
+        self.add(i[kept], chunk.ids[j[kept]], dist[kept])
+        if self.n_waiting > max(len(self.ids) * self.k, 1 << 16):
+            self.settle()
+
+
 def _pivot_distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of rows to pivots, in slices of bounded memory."""
     if not len(v):
@@ -124,6 +215,7 @@ class Cells:
         n_pivots = max(1, min(-(-n // block_rows), self.MAX_PIVOTS))
         drawn = base.withColumn("_h", hash_int("bid", "pivot")).orderBy("_h", "bid").limit(n_pivots if n_pivots > 1 else 0)
         pivots = as_matrix(drawn.select("bv").toPandas()["bv"])
+        pivots = pivots[np.isfinite(pivots).all(1)]
         bounds = self.bounds = Bounds(pivots)
         self.block_rows, self.many = block_rows, len(pivots) > 1
         if not self.many:
@@ -133,6 +225,7 @@ class Cells:
         def assign(batches):
             for part in _slices(batches, SLICE // len(pivots)):
                 d = _pivot_distances(as_matrix(part["bv"]), pivots)
+                d[np.isnan(d)] = np.inf
                 cell = d.argmin(1)
                 yield part.assign(cell=cell.astype(np.int32), d=d[np.arange(len(d)), cell])
         kind = base.schema["bv"].dataType.simpleString()
@@ -156,12 +249,12 @@ def _parts(queries: DataFrame, cells: Cells) -> np.ndarray:
     return parts
 
 
-def _sent(queries: DataFrame, cells: Cells, choose, parts: np.ndarray | None = None) -> DataFrame:
-    """(qid, qv, and reach if given, block, cell): queries with each cell that ``choose(distances, batch)`` names.
+def _sent(queries: DataFrame, cells: Cells, choose, parts: np.ndarray | None = None, along=("qid", "qv", "reach")) -> DataFrame:
+    """(qid, qv, and reach if given, block, cell), of these only ``along``: queries with each cell that ``choose(distances, batch)`` names.
     Near queries share a block: it is the nearest pivot, cut by hash into ``parts``."""
     pivots = cells.bounds.pivots
     parts = _parts(queries, cells) if parts is None else parts
-    held = [c for c in ("qid", "qv", "reach") if c in queries.columns]
+    held, read = ([c for c in names if c in queries.columns] for names in (along, ("qid", "qv", "reach")))
 
     def run(batches):
         for part in _slices(batches, SLICE // len(pivots)):
@@ -169,7 +262,7 @@ def _sent(queries: DataFrame, cells: Cells, choose, parts: np.ndarray | None = N
             who, cell = np.nonzero(choose(d, part))
             yield part[held].iloc[who].assign(own=d.argmin(1)[who].astype(np.int32), cell=cell.astype(np.int32))
     kinds = ", ".join(f"{c} {queries.schema[c].dataType.simpleString()}" for c in held)
-    sent = queries.select(*held).mapInPandas(run, f"{kinds}, own int, cell int")
+    sent = queries.select(*read).mapInPandas(run, f"{kinds}, own int, cell int")
     cut = F.element_at(F.array(*map(F.lit, parts.tolist())), F.col("own") + 1)
     return sent.select(*held, F.struct("own", F.pmod(hash_int("qid", "part"), cut).cast("int").alias("part")).alias("block"), "cell")
 
@@ -186,11 +279,146 @@ def _met(sent: DataFrame, cells: Cells):
 
 
 def _candidates(sent: DataFrame, cells: Cells, k: int, exclude_self: bool) -> DataFrame:
-    asked, held = _met(cut_lineage(sent) if cells.many else sent, cells)
+    asked, held = _met(sent, cells)
     key = ["block", "cell", "chunk"]
     return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(_topk_kernel(k, exclude_self), "src long, dst long, dist double")
 
 
+CHUNK_ROWS, QUERY_ROWS = 8192, 2048     # base rows compared at a time; queries that keep their neighbours together
+PACK_ROWS, PACKS_HELD = 1024, 1 << 16   # base rows of a cell that move together; rows that a task holds to pack them
+
+
+def _matrix(column) -> np.ndarray:
+    """Rows of an Arrow list column."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1)
+
+
+def _stretches(batches):
+    """Rows of Arrow batches, cut where ``at`` changes."""
+    for batch in batches:
+        at = batch.column("at").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for s, e in zip(cuts, cuts[1:]):
+            if e > s:
+                yield int(at[s]), batch.slice(s, e - s)
+
+
+def _packed(cells: Cells) -> DataFrame:
+    """(cell, bids, rows): base rows of a cell as matrices, for they move to many blocks."""
+    import pyarrow as pa
+    kind = np.float32 if cells.rows.schema["bv"].dataType.simpleString() == "array<float>" else np.float64
+
+    def run(batches):
+        held, n = [], 0
+
+        def packs():
+            ids, rows, cell = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(cell, kind="stable")
+            ends = np.flatnonzero(np.diff(cell[order])) + 1
+            for own in np.split(order, ends):
+                for s in range(0, len(own), PACK_ROWS):
+                    some = own[s:s + PACK_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([cell[some[0]]], pa.int32()), pa.array([ids[some].tobytes()], pa.binary()),
+                                                      pa.array([rows[some].astype(kind).tobytes()], pa.binary())], ["cell", "bids", "rows"])
+        for batch in batches:
+            held.append((batch.column("bid").to_numpy(), _matrix(batch.column("bv")), batch.column("cell").to_numpy()))
+            n += batch.num_rows
+            if n >= PACKS_HELD:
+                yield from packs()
+                held, n = [], 0
+        if n:
+            yield from packs()
+    return cut_lineage(cells.rows.select("bid", "bv", "cell").mapInArrow(run, "cell int, bids binary, rows binary"))
+
+
+def _scan(cells: Cells, kind, choose, k: int, exclude_self: bool):
+    """A task's pass: a block of queries, then the base rows of the cells it asked for, one cell after the other.
+    Queries, their k nearest and one chunk are all it holds."""
+    import pyarrow as pa
+    bounds, stride = cells.bounds, len(cells.bounds.pivots) + 1
+    centre = bounds.pivots.mean(0)
+
+    def begun(rows):
+        block = pa.Table.from_batches(rows).combine_chunks()
+        out = []
+        for s in range(0, block.num_rows, QUERY_ROWS):
+            part = block.slice(s, QUERY_ROWS).combine_chunks().to_batches()[0]
+            v = _matrix(part.column("v"))
+            best = _Nearest(part.column("id").to_numpy(), v, centre, k, exclude_self)
+            many = part.column("ids").value_lengths().fill_null(0).to_numpy()
+            best.add(np.repeat(np.arange(len(v)), many), part.column("ids").flatten().to_numpy(), part.column("dists").flatten().to_numpy())
+            best.settle()
+            step = max(1, SLICE // len(bounds.pivots))
+            wanted = [choose(_pivot_distances(v[a:a + step], bounds.pivots), best.kth[a:a + step]) for a in range(0, len(v), step)]
+            out.append((best, np.concatenate(wanted), part))
+        return out
+
+    def offered(block, cell, pieces):
+        if pieces:
+            ids, rows = (np.concatenate(x) for x in zip(*pieces))
+            chunk = _Chunk(ids, rows.astype(float), centre)
+            for best, wanted, _ in block:
+                best.offer(np.flatnonzero(wanted[:, cell]), chunk)
+
+    def ended(block):
+        for best, _, part in block:
+            best.settle()
+            i, ids, dist = best.found
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(best.ids)))]), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), part.column("block"), pa.ListArray.from_arrays(ends, pa.array(ids)),
+                                              pa.ListArray.from_arrays(ends, pa.array(dist)), pa.array(best.kth)], ["qid", "qv", "block", "ids", "dists", "reach"])
+
+    def run(batches):
+        block, asked, pieces, before = [], [], [], 0
+        for at, piece in _stretches(batches):
+            if at != before:
+                offered(block, before % stride - 1, pieces)
+                pieces = []
+            if at % stride == 0:
+                if at != before:
+                    yield from ended(begun(asked) if asked else block)
+                    block, asked = [], []
+                asked.append(piece)
+            else:
+                if asked:
+                    block, asked = begun(asked), []
+                for ids, rows in zip(piece.column("bids"), piece.column("rows")):
+                    pieces.append((np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(rows.as_buffer(), kind).reshape(-1, len(centre))))
+                    if sum(len(x) for x, _ in pieces) >= CHUNK_ROWS:
+                        offered(block, at % stride - 1, pieces)
+                        pieces = []
+            before = at
+        offered(block, before % stride - 1, pieces)
+        yield from ended(begun(asked) if asked else block)
+    return run
+
+
+def _searched(asked: DataFrame, cells: Cells, packs: DataFrame, choose, parts: np.ndarray, k: int, exclude_self: bool) -> DataFrame:
+    """``asked`` (qid, qv, block, ids, dists, reach) with the k nearest, those of the cells that ``choose(distances, reach)``
+    names included.  A block of queries is a task; base rows go to each block that asks for their cell, once."""
+    stride, first = len(cells.bounds.pivots) + 1, (np.cumsum(parts) - parts).tolist()
+    number = F.element_at(F.array(*map(F.lit, first)), F.col("block.own") + 1) + F.col("block.part")
+    keys = (_sent(asked, cells, lambda d, pdf: choose(d, pdf["reach"].fillna(np.inf).to_numpy(float)), parts, along=("qid",))
+            .select("cell", number.cast("int").alias("block")).distinct().groupBy("cell").agg(F.collect_list("block").alias("to")))
+    at = lambda key: (F.col("block").cast("long") * stride + key).alias("at")
+    queries = asked.select("block", at(F.lit(0)), F.col("qid").alias("id"), F.col("qv").alias("v"), "ids", "dists")
+    base = packs.join(F.broadcast(keys), "cell").select("cell", "bids", "rows", F.explode("to").alias("block")).select("block", at(F.col("cell") + 1), "bids", "rows")
+    dealt = queries.unionByName(base, allowMissingColumns=True).repartitionById(int(parts.sum()), "block").sortWithinPartitions("at")
+    kind = asked.schema["qv"].dataType.simpleString()
+    scan = _scan(cells, np.float32 if kind == "array<float>" else np.float64, choose, k, exclude_self)
+    return dealt.mapInArrow(scan, f"qid long, qv {kind}, block int, ids array<long>, dists array<double>, reach double")
+
+
+def _numbered(queries: DataFrame, cells: Cells, parts: np.ndarray) -> DataFrame:
+    """Queries with the number of their block and no neighbours yet."""
+    first = (np.cumsum(parts) - parts).tolist()
+    own = F.col("block.own") + 1
+    placed = _sent(queries, cells, lambda d, _: np.arange(d.shape[1]) == d.argmin(1)[:, None], parts)
+    return placed.select("qid", "qv", (F.element_at(F.array(*map(F.lit, first)), own) + F.col("block.part")).cast("int").alias("block"),
+                         F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<double>").alias("dists"), F.lit(None).cast("double").alias("reach"))
+
+
 def knn(queries: DataFrame, base: DataFrame | None, k: int, id_col: str, vec: str,
         exclude_self: bool | None = None, block_rows: int | None = None,
         materialize: bool = True) -> DataFrame:
@@ -201,16 +429,18 @@ def knn(queries: DataFrame, base: DataFrame | None, k: int, id_col: str, vec: st
     id (ids, not positions, decide what "self" is).
 
     Base rows lie in cells around pivots.  A query first meets the nearest cells that
-    hold k rows; its k-th distance there bounds the rest: it is sent to another
-    cell only if ring and plane bounds allow a row as near.  Base rows move only
-    to query blocks that were sent to their cell, in chunks of at most
-    about ``block_rows`` rows (by default growing with the root of the rows).  Few rows (one cell) are compared directly.  With ``materialize``
+    hold k rows; its k-th distance there bounds the rest: it is compared with another
+    cell only if ring and plane bounds allow a row as near.  Base rows move, packed, only
+    to blocks (of about ``block_rows`` queries, by default growing with the root of the rows) that asked for their
+    cell; queries move once a pass, with the neighbours found.  Few rows (one cell) are compared directly.  With ``materialize``
     (default) the n·k result is written to the checkpoint folder, so graph operators that read
     it several times do not recompute it.
     """
     ship_package(queries.sparkSession)
     same = base is None
     base = queries if same else base
+    if queries.schema[vec].dataType != base.schema[vec].dataType:
+        queries, base = (x.withColumn(vec, F.col(vec).cast("array<double>")) for x in (queries, base))    # one kind of rows
     exclude_self = same if exclude_self is None else exclude_self
     n = base.count()
     block_rows = rows_a_block(n) if block_rows is None else block_rows
@@ -218,15 +448,14 @@ def knn(queries: DataFrame, base: DataFrame | None, k: int, id_col: str, vec: st
     cells = Cells(base.select(F.col(id_col).cast("long").alias("bid"), F.col(vec).alias("bv")), n, block_rows)
     if cells.many:
         need, bounds, parts = k + int(exclude_self), cells.bounds, _parts(q, cells)
-        first = _candidates(_sent(q, cells, lambda d, _: bounds.home(d, need), parts), cells, k, exclude_self)
-        near = Window.partitionBy("src").orderBy("dist", "dst")
-        best = cut_lineage(first.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k))
-        reach = best.where(F.col("rank") == k).select(F.col("src").alias("qid"), F.col("dist").alias("reach"))
-
-        def others(d, pdf):
-            return bounds.within(d, pdf["reach"].fillna(np.inf).to_numpy(float)) & ~bounds.home(d, need)
-        more = _candidates(_sent(q.join(reach, "qid", "left"), cells, others, parts), cells, k, exclude_self)
-        found = best.drop("rank").union(more)
+        asked = cut_lineage(_numbered(q, cells, parts))
+        packs = _packed(cells)
+        best = cut_lineage(_searched(asked, cells, packs, lambda d, _: bounds.home(d, need), parts, k, exclude_self))
+        found = _searched(best, cells, packs, lambda d, reach: bounds.within(d, reach) & ~bounds.home(d, need), parts, k, exclude_self)
+        found = found.select(F.col("qid").alias("src"), F.posexplode(F.arrays_zip("ids", "dists"))).select(
+            "src", F.col("col.ids").alias("dst"), F.col("col.dists").alias("dist"), (F.col("pos") + 1).alias("rank"))
+        if not asked.groupBy("qid").count().where("count > 1").limit(1).count():       # a query's neighbours are in one place, in order
+            return cut_lineage(found) if materialize else found
     else:
         tasks = n_blocks(queries.count(), block_rows, 2 * queries.sparkSession.sparkContext.defaultParallelism)
         block = F.struct(F.lit(0).alias("own"), F.pmod(hash_int("qid", "part"), F.lit(tasks)).cast("int").alias("part"))

@@ -106,3 +106,57 @@ def test_graph_over_several_blocks_of_queries(spark):
     x = rng.normal(size=(260, 8)).astype(np.float32).astype(float)
     x[200:] = x[0]                          # more copies than a block holds
     assert rows(N.knn(frame(spark, x), None, 3, "id", "v", block_rows=25)) == all_pairs(x, x, 3, True)
+
+
+def test_rows_without_a_distance_and_repeated_ids(spark):
+    """A row with a NaN is no one's neighbour and hides none of its cell; rows of one id share their places."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6))
+    x[7, 2] = np.nan
+    got = rows(N.knn(frame(spark, x), None, 4, "id", "v", block_rows=30))
+    sound = np.delete(np.arange(300), 7)
+    want = {(int(sound[s]), int(sound[d]), dist, r) for s, d, dist, r in all_pairs(x[sound], x[sound], 4, True)}
+    assert got == want
+    y = x[:200].copy()
+    y[7, 2] = 0.0
+    twice = frame(spark, y).unionByName(frame(spark, y[:100] + 1e-3))       # ids 0..99 come with two rows
+    got = N.knn(twice, None, 3, "id", "v", block_rows=30).collect()
+    ids, v = np.r_[0:200, 0:100], np.vstack([y, y[:100] + 1e-3])
+    for src in (0, 50, 99, 100, 199):
+        pairs = sorted((round(float(np.linalg.norm(a - b)), 9), int(i)) for a in v[ids == src] for b, i in zip(v, ids) if i != src)[:3]
+        assert [(round(r["dist"], 9), r["dst"]) for r in sorted(got, key=lambda r: r["rank"]) if r["src"] == src] == pairs
+    assert len(got) == 600
+
+
+@pytest.mark.parametrize("shift,scale", [(0.0, 1.0), (1e4, 1.0), (0.0, 1e25), (0.0, 1e160)])
+def test_chunks_one_by_one_equal_all_pairs(shift, scale):
+    """Products in single precision only name pairs: rows far from the centre, large ones and heaps of copies keep exact places."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(900, 10)) + shift) * scale
+    x[100:400] = x[0]
+    x[401] = x[400] * (1 + 1e-12)
+    ids = np.arange(900) * 3
+    best = N._Nearest(ids, x, np.zeros(10), 5, True)
+    for s in range(0, 900, 128):
+        best.offer(np.arange(900), N._Chunk(ids[s:s + 128], x[s:s + 128], np.zeros(10)))
+        assert best.n_waiting <= max(900 * 5, 1 << 16)
+    best.settle()
+    i, dst, dist = best.found
+    i_, j_, d_ = N._local_topk(ids, x, ids, x, np.full(900, np.inf), 5, True)
+    assert np.array_equal(i, i_) and np.array_equal(dst, ids[j_]) and np.array_equal(dist, d_)
+
+
+def test_a_query_moves_once_and_a_base_row_once_a_block(spark, clustered, monkeypatch):
+    """What a task gets grows with its block and the cells it asked for, not with pairs of queries and cells."""
+    x = clustered[:600]
+    seen, plain = [], N._scan
+    monkeypatch.setattr(N, "_scan", lambda cells, *rest: (seen.append(cells), plain(cells, *rest))[1])
+    read = []
+    deal = type(spark.range(1)).repartitionById
+    monkeypatch.setattr(type(spark.range(1)), "repartitionById", lambda self, n, by: (read.append((n, self)), deal(self, n, by))[1])
+    assert rows(N.knn(frame(spark, x), None, 5, "id", "v", block_rows=20)) == all_pairs(x, x, 5, True)
+    assert len(read) == 2
+    for n, dealt in read:
+        assert dealt.where("v is not null").count() == 600
+        base = dealt.where("rows is not null").selectExpr("block", "at", "explode(transform(sequence(0, length(bids) div 8 - 1), i -> hex(substring(bids, i * 8 + 1, 8)))) as id")
+        assert base.count() == base.distinct().count() < 600 * n / 4
