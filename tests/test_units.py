@@ -250,6 +250,37 @@ def test_tree_in_tasks_equals_levels(spark, monkeypatch):
     assert level == learn.build_tree(df, ["a", "b"], "y").orderBy("node").collect()
 
 
+@pytest.mark.parametrize("max_depth", [None, 2])
+def test_large_nodes_are_split_over_rows_that_stay_in_place(spark, monkeypatch, max_depth):
+    """Blocks of a few rows, values on both sides of a block's end, nulls, signed zeros, a feature without values."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(600):
+        a, b = (None if v < 2 else [-0.0, 0.0, -1.5][v - 2] if v < 5 else float(v) for v in rng.integers(0, 20, 2))
+        rows.append((a, b, None, int((a or 0) + rng.random() * 9 > (b or 1))))
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int").repartition(3)
+    whole = learn.build_tree(df, ["a", "b", "c"], "y", max_depth).orderBy("node").collect()
+    monkeypatch.setattr(learn, "best_splits", None)         # a level is no query over all values
+    monkeypatch.setattr(learn, "VALUE_ROWS", 50)
+    assert learn.build_tree(df, ["a", "b", "c"], "y", max_depth, node_rows=40).orderBy("node").collect() == whole
+    assert len(whole) > (5 if max_depth else 40)
+
+
+def test_cuts_near_the_best_hold_the_best():
+    """The quick gain ratio drops no cut that the exact one would choose, of runs of large and small counts."""
+    rng = np.random.default_rng(13)
+    for n in (7, 400, 50_000_000):
+        size = min(n, 400)
+        nl = np.sort(rng.choice(np.arange(1, n + 1), size, replace=False)).astype(float)
+        nl[-1] = n
+        p = int(rng.integers(1, n))
+        pl = np.clip(np.floor(nl * p / n + rng.integers(-3, 4, size)), np.maximum(0, nl - (n - p)), np.minimum(nl, p))
+        args = nl, pl, np.full(size, float(n)), np.full(size, float(p))
+        ratio, near = learn._gain_ratio(*args), learn._near_best(*args, np.zeros(1, int))
+        assert set(np.flatnonzero(ratio == ratio.max())) <= set(near) and (n < 1000 or len(near) < size)
+
+
+
 def test_logarithm_is_that_of_spark(spark):
     p = np.concatenate([np.arange(1, n) / n for n in (2, 3, 7, 97, 1000, 4096)] + [1 - 2.0 ** -np.arange(15, 30), 2.0 ** -np.arange(1, 40)])
     found = spark.createDataFrame([(float(v),) for v in p], "p double").select(F.log2("p")).collect()
