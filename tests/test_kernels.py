@@ -84,3 +84,22 @@ def test_wide_rows_are_dealt_by_their_size(spark):
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert got.rdd.getNumPartitions() == max(20, spark.sparkContext.defaultParallelism)
     assert sum(sizes) == 6000 and max(sizes) < 600
+
+
+def test_the_svm_fit_gets_what_it_reads_and_no_second_copy(spark, monkeypatch):
+    """The fit keeps blocks of the features itself: rows beside them would be kept for nothing."""
+    from conftest import SF_SMALL
+    from quarry.operators import learn
+    from quarry.plans import q_models
+    seen, make = [], learn.estimator
+
+    class Spy:
+        def __init__(self, est):
+            self.est = est
+
+        def fit(self, train):
+            seen.append((train.columns, train.storageLevel.useMemory or train.storageLevel.useDisk))
+            return self.est.fit(train)
+    monkeypatch.setattr(learn, "estimator", lambda kind, **params: Spy(make(kind, **params)))
+    assert q_models.k9_svm_rff(spark, SF_SMALL).count() == 1
+    assert seen == [(["features", "label"], False)]
